@@ -28,29 +28,30 @@ from .common import id_column
 from .kernel import HashTable, U, _BYTE_HASH, blocks, prefix, span
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+CACHE = 1 << 18
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SCHEMA = "doc_id long, tokens array<int>, n_tokens int, decoded_equal boolean"
 
 
-def _class_table() -> np.ndarray:
-    table = np.zeros(sys.maxunicode + 1, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            table[c] = LETTER if kind == "L" else NUMBER
-    for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        table[c] = SPACE
-    return table
+_WHITE = np.array([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_UNSEEN = 255
+_classes = np.full(sys.maxunicode + 1, _UNSEEN, np.uint8)
+_classes[_WHITE] = SPACE
 
 
-_tables: list[np.ndarray] = []
+def _kinds(code: np.ndarray) -> np.ndarray:
+    """Class of each character; a character is looked up when it is first seen."""
+    kind = _classes[code]
+    if (new := kind == _UNSEEN).any():
+        for c in np.unique(code[new]).tolist():
+            _classes[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+        kind = _classes[code]
+    return kind
 
 
 def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Joined bytes, where in them the pieces start, and the first piece of each text with
     the count of pieces at the end. The texts are valid UTF-8."""
-    if not _tables:
-        _tables.append(_class_table())
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(size)
@@ -60,7 +61,7 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return data, np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     begins = np.searchsorted(head, np.concatenate([[0], ends]))  # first character of each text
-    kind = _tables[0][code]
+    kind = _kinds(code)
     text_start = np.zeros(n + 1, bool)
     text_start[begins] = True
     change = text_start[:n].copy()
@@ -114,41 +115,53 @@ class Codec:
                 if left is not None and right is not None:
                     pairs.append(left << 32 | right)
                     merged.append(rank)
-        self.pairs, self.merged = HashTable(np.array(pairs, U)), np.array(merged, np.int64)
+        self.pairs, self.merged = HashTable(np.array(pairs, U)), np.array(merged, np.int32)
         lengths = np.array([len(self.token.get(r, b"")) for r in range(size)])
         self.length, self.offset = lengths, np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(self.token.get(r, b"") for r in range(size)), np.uint8)
-        # One character of two-byte pieces has no merge of its own above; the cache has all.
         self.known = HashTable(np.zeros(0, U))
         self.known_start, self.known_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def merge(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of token ids padded with -1, all merged to the end."""
         rows, size = rows.copy(), size.copy()
-        active = np.arange(len(rows))
-        worst = np.iinfo(np.int64).max
-        while len(active):
-            part = rows[active, : size[active].max()]
-            if part.shape[1] < 2:
-                break
-            left, right = part[:, :-1], part[:, 1:]
-            rank = np.full(left.shape, worst)
-            valid = right >= 0
-            place = self.pairs.find((left[valid].astype(U) << U(32)) | right[valid].astype(U))
-            rank[valid] = np.where(place >= 0, self.merged[place], worst)
+        worst = np.iinfo(np.int32).max
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            place = self.pairs.find((left.astype(U) << U(32)) | right.astype(U))
+            return np.where(place >= 0, self.merged[place], worst)
+
+        rank = np.full((len(rows), max(1, rows.shape[1] - 1)), worst, np.int32)
+        valid = rows[:, 1:] >= 0
+        rank[:, : rows.shape[1] - 1][valid] = ranks(rows[:, :-1][valid], rows[:, 1:][valid])
+        done, part, width = np.arange(len(rows)), rows, size
+        while len(done):
             at = rank.argmin(1)  # the leftmost of equal ranks
-            best = rank[np.arange(len(part)), at]
+            line = np.arange(len(part))
+            best = rank[line, at]
             going = best < worst
-            active, at, best, part = active[going], at[going], best[going], part[going]
-            if not len(active):
-                break
-            column = np.arange(part.shape[1])
-            source = np.minimum(column + (column > at[:, None]), part.shape[1] - 1)
-            closed = np.take_along_axis(part, source, 1)
-            size[active] -= 1
-            closed[column >= size[active][:, None]] = -1
-            closed[np.arange(len(active)), at] = best
-            rows[active, : part.shape[1]] = closed
+            if not going.all():  # finished rows leave, the rest moves together
+                rows[done[~going], : part.shape[1]] = part[~going]
+                size[done[~going]] = width[~going]
+                done, part, rank, width = done[going], part[going], rank[going], width[going]
+                at, best = at[going], best[going]
+                if not len(done):
+                    break
+                line = np.arange(len(part))
+            # Close the gap behind the merged pair, then rank its two new neighbourhoods.
+            columns = np.arange(part.shape[1])
+            source = np.minimum(columns + (columns > at[:, None]), part.shape[1] - 1)
+            part = np.take_along_axis(part, source, 1)
+            part[line, at] = best
+            width = width - 1
+            part[line, width] = -1
+            columns = columns[:-1]
+            source = np.minimum(columns + (columns >= at[:, None]), rank.shape[1] - 1)
+            rank = np.take_along_axis(rank, source, 1)
+            rank[line, np.maximum(width - 1, 0)] = worst
+            for k in (at - 1, at):
+                there = np.flatnonzero((k >= 0) & (k + 1 < width))
+                rank[there, k[there]] = ranks(part[there, k[there]], part[there, k[there] + 1])
         return rows, size
 
     def _encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +180,7 @@ class Codec:
             column = np.arange(int(length[chosen].max()))
             at = start[chosen][:, None] + column
             inside = column < length[chosen][:, None]
-            rows = np.where(inside, self.byte_id[data[np.where(inside, at, 0)]], -1)
+            rows = np.where(inside, self.byte_id[data[np.where(inside, at, 0)]], -1).astype(np.int32)
             rows, size = self.merge(rows, length[chosen])
             kept = rows[:, : size.max()]
             flat = kept[kept >= 0].astype(np.int32)
@@ -185,30 +198,20 @@ class Codec:
         keys = span(prefix(_BYTE_HASH[data]), start, end) ^ (end - start).astype(U)
         place = self.known.find(keys)
         new = np.flatnonzero(place < 0)
+        ids, begins = self.known_ids, self.known_start
         if len(new):
-            _, one = np.unique(keys[new], return_index=True)
-            one = new[one]
-            ids, edge = self._encode_pieces(data, start[one], end[one])
-            if len(self.known.keys) + len(one) > 1 << 19:  # the cache is bounded
-                keep = slice(0, 0)
-                self.known_ids, self.known_start = self.known_ids[keep], np.zeros(1, np.int64)
-                self.known = HashTable(np.zeros(0, U))
-                missing = np.flatnonzero(place >= 0)
-                if len(missing):
-                    _, two = np.unique(keys[missing], return_index=True)
-                    two = missing[two]
-                    more, more_edge = self._encode_pieces(data, start[two], end[two])
-                    ids, edge = np.concatenate([ids, more]), np.concatenate([edge, more_edge[1:] + edge[-1]])
-                    one = np.concatenate([one, two])
-            self.known_start = np.concatenate([self.known_start, edge[1:] + self.known_start[-1]])
-            self.known_ids = np.concatenate([self.known_ids, ids])
-            self.known = HashTable(np.concatenate([self.known.keys, keys[one]]))
-            place = self.known.find(keys)
-        begin = self.known_start[place]
-        count = self.known_start[place + 1] - begin
+            unique, one, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            more, edge = self._encode_pieces(data, start[new[one]], end[new[one]])
+            place[new] = len(begins) - 1 + which
+            ids, begins = np.concatenate([ids, more]), np.concatenate([begins, edge[1:] + begins[-1]])
+            if len(self.known.keys) < CACHE:  # then it stays as it is
+                self.known_ids, self.known_start = ids, begins
+                self.known = HashTable(np.concatenate([self.known.keys, unique]))
+        begin = begins[place]
+        count = begins[place + 1] - begin
         total = np.concatenate([[0], np.cumsum(count)])
         gather = np.arange(total[-1]) + np.repeat(begin - total[:-1], count)
-        return self.known_ids[gather], total[first]
+        return ids[gather], total[first]
 
     def decode(self, ids: np.ndarray, edge: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bytes of all texts, joined, and the offset of each."""
