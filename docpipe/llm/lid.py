@@ -18,6 +18,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,10 +55,9 @@ class Pieces:
         self.maybe = np.zeros(1 << 21, bool)
         self.maybe[(self.table.keys >> U(43)).astype(np.int64)] = True
 
-    def edges(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(word, from, to, piece) of every piece that occurs in a word, ordered by `to`;
+    def edges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """sums: prefix sums of the words' data. (word, from, to, piece) of every piece that occurs in a word, ordered by `to`;
         from and to count bytes within the word."""
-        sums = prefix(_BYTE_HASH[data])
         size = end - start
         word = np.repeat(np.arange(len(start)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -129,11 +129,11 @@ def _logs(edges: tuple, size: np.ndarray, logp: np.ndarray) -> np.ndarray:
 
 def likelihood(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, logp: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word in each language."""
-    size = end - start
+    size, sums = end - start, prefix(_BYTE_HASH[data])
     out = np.zeros((len(start), logp.shape[1]))
     lifted = np.exp(logp + p.length[:, None] * np.log(LIFT))
     for rows, plain in _chunks(size):
-        edges, own = p.edges(data, start[rows], end[rows]), size[rows]
+        edges, own = p.edges(sums, start[rows], end[rows]), size[rows]
         last = np.cumsum(own + 1) - 1
         if plain:
             out[rows] = np.log(_plain(edges, own, lifted)[last]) - own[:, None] * np.log(LIFT)
@@ -145,11 +145,11 @@ def likelihood(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray,
 def expected(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, logp: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected counts (columns of weight x pieces): the word w counts weight[w, k] times.
     logp has one column."""
-    size = end - start
+    size, sums = end - start, prefix(_BYTE_HASH[data])
     out = np.zeros((weight.shape[1], len(p.pieces)))
     lifted = np.exp(logp + p.length[:, None] * np.log(LIFT))
     for rows, plain in _chunks(size):
-        edges, own = p.edges(data, start[rows], end[rows]), size[rows]
+        edges, own = p.edges(sums, start[rows], end[rows]), size[rows]
         word, a, b, piece = edges
         # Backward sums are the forward sums of the mirrored lattice.
         order = np.argsort((own[word] - a) * 64 + np.minimum(b - a, 63), kind="stable")
@@ -300,14 +300,21 @@ class Scorer:
         return sums[w.first[1:]] - sums[w.first[:-1]], np.diff(w.first)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, predicted, confidence, n_words) for every row; confidence is the posterior
     under equal priors."""
     langs, logp = model
     shipped = docs.sparkSession.sparkContext.broadcast(logp)
+    name = uuid.uuid4().hex  # a worker keeps its word scores from task to task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(pieces(vocabulary), shipped.value) if langs else None
+        if langs and name not in _scorers:
+            _scorers.clear()
+            _scorers[name] = Scorer(pieces(vocabulary), shipped.value)
+        scorer = _scorers[name] if langs else None
         for batch in batches:
             ids = batch.column(0)
             for row, texts in blocks(batch.column(1)):
