@@ -215,14 +215,13 @@ def _score_joined(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for row, part in blocks(batch.column(1)):
                 keys, doc = sequences(part, order)
-                both = np.unique(np.stack([doc.astype(np.int64), keys.view(np.int64)]), axis=1, return_counts=True)
-                (d, g), n = both
-                ids = batch.column(0).slice(row, len(part)).take(pa.array(d))
-                yield pa.record_batch([ids, pa.array(d + row), pa.array(g), pa.array(n)], ["doc_id", "r", "g", "n"])
-
-    # Rows that repeat a doc_id stay apart by a row number of their own.
-    rows = texts.withColumn("r", F.xxhash64("text"))
-    grams = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, r long, g long, n long")
+                (d, g), n = np.unique(np.stack([doc.astype(np.int64), keys.view(np.int64)]), axis=1, return_counts=True)
+                rows = pa.array(d + row)
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(g), pa.array(n)], ["doc_id", "r", "g", "n"])
+
+    # Rows that repeat a doc_id stay apart by the hash of their text.
+    rows = texts.withColumn("r", F.xxhash64("text")).distinct()
+    grams = rows.mapInArrow(run, "doc_id long, r long, g long, n long")
     top = model.where("kind = 1").select(F.col("key").alias("g"), F.col("ratio").alias("a"))
     context = model.where("kind = 0").select(F.col("key").alias("h"), F.col("ratio").alias("b"))
     joined = grams.withColumn("h", F.shiftright("g", 8)).join(top, "g", "left").join(context, "h", "left")
