@@ -50,12 +50,13 @@ N_FEATURES = 2 * (len(TAGS) + 1) + CLASS_BUCKETS + 12
 
 
 class Tree:
-    """Nodes in document order: tag, parent, depth, text, attributes; gold labels if any."""
+    """Nodes in document order: tag (label markup shows as div), name as written, parent, depth,
+    text, attributes; gold labels if any."""
 
-    __slots__ = ("tag", "parent", "depth", "text", "attrs", "gold", "labelled")
+    __slots__ = ("tag", "name", "parent", "depth", "text", "attrs", "gold", "labelled")
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.depth = ["#root"], [-1], [0]
+        self.tag, self.name, self.parent, self.depth = ["#root"], ["#root"], [-1], [0]
         self.text, self.attrs, self.gold = [""], [""], [False]
         self.labelled = False
         open_nodes = [0]
@@ -77,14 +78,14 @@ class Tree:
             name = name.lower()
             if m[1]:
                 for k in range(len(open_nodes) - 1, 0, -1):
-                    if self.tag[open_nodes[k]] == name:
+                    if self.name[open_nodes[k]] == name:
                         del open_nodes[k:]
                         break
                 continue
             closes = CLOSES.get(name)
             if closes:
                 for k in range(len(open_nodes) - 1, 0, -1):
-                    tag = self.tag[open_nodes[k]]
+                    tag = self.name[open_nodes[k]]
                     if tag in closes:
                         del open_nodes[k:]
                         if name not in ("td", "th", "tr", "li", "dt", "dd"):
@@ -103,6 +104,7 @@ class Tree:
     def _add(self, tag: str, open_nodes: list[int], text: str, attrs: str = "") -> int:
         parent = open_nodes[-1]
         gold = self.gold[parent]
+        self.name.append(tag)
         if tag != "#text" and (tag in ("article", "main") or attrs and LABELS.search(attrs)):
             gold = self.labelled = True
             tag, attrs = "div", ""

@@ -3,19 +3,26 @@
 Tokens are bytes of the folded text, white space as one space, so expressions of several words
 and disguised spellings are seen alike; a sequence of ORDER bytes is packed into one integer
 exactly, without hashing. The highest order has counts of its own for toxic and for ordinary
-labelled documents. All lower orders are shared: Kneser-Ney continuation counts (in how many
-different contexts a byte occurs) over every document, labelled or not.
+labelled documents. What they back off to is shared: the same order counted over every document,
+labelled or not, and below it Kneser-Ney continuation counts (in how many different contexts
+a byte occurs) over every document.
 
-  p_c(w | h) = max(n_c(hw) - D, 0) / n_c(h) + gamma_c(h) p_shared(w | h')
+  k_c(w | h) = max(n_c(hw) - D, 0) / n_c(h) + gamma_c(h) p(w | h)
   gamma_c(h) = D * (different w seen after h in class c) / n_c(h), or 1 if h was never seen
+  p_c(w | h) = MIX k_c(w | h) + (1 - MIX) p(w | h),  p shared by both classes
+
+MIX keeps what a small class happens not to have seen from counting as evidence: toxic
+documents are mostly ordinary text.
 
 A document's score is the difference of its two log-likelihoods over its length. Sequences
-seen in either class have their log ratio in a table; for others p_shared cancels and the
-ratio is gamma_toxic(h) / gamma_ordinary(h), so a context table suffices. Both tables are
+seen in either class have their log ratio in a table; for others p cancels and the ratio
+depends on the context h alone, which has a table too. Both tables are
 computed by DataFrame joins. Scoring ships them if they have at most SHIP rows, else sequence
 counts join them; both ways give the same scores.
 
-The threshold is the one that separates the labelled documents best, by F1, over all of them.
+The threshold is the one that separates the labelled documents best, by F1, when each is
+scored by the half of the labelled documents that it doesn't belong to: the counts are kept
+by halves, so both models come from the same pass as the whole one, which scores all.
 
 Defined results: null and empty texts have no score and are never toxic; rows with null
 doc_id, and labels that are null or contradict each other, are ignored in training, and null
@@ -31,12 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut, id_column
 from .kernel import HashTable, U, Words, blocks
 
-ORDER, DISCOUNT, SHIP = 6, 0.75, 1 << 22
+ORDER, DISCOUNT, MIX, SHIP = 6, 0.75, 0.2, 1 << 22
+COUNTS = ("t0", "o0", "t1", "o1", "n")
 _ONE_SPACE = bytes(32 if b < 33 else b for b in range(256))
 
 
@@ -59,10 +67,10 @@ def sequences(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nd
 
 
 def _count(order: int):
-    """Per task: every different sequence with its counts by class (0 for no label)."""
+    """Per task: every different sequence with its counts by half and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros(0, U), np.zeros((0, 2), np.int64))]
+        held = [(np.zeros(0, U), np.zeros((0, 5), np.int64))]
         waiting = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -79,12 +87,13 @@ def _count(order: int):
                 keys, doc = sequences(texts, order)
                 own = klass[row : row + len(texts)][doc]
                 part = []
-                for c in (1, 0, -1):
+                for c in range(-1, 4):
                     sort = np.sort(keys[own == c])
                     head = np.flatnonzero(np.append(True, sort[1:] != sort[:-1])) if len(sort) else np.zeros(0, int)
-                    counts = np.zeros((len(head), 2), np.int64)
+                    counts = np.zeros((len(head), 5), np.int64)
+                    counts[:, 4] = np.diff(np.append(head, len(sort)))
                     if c >= 0:
-                        counts[:, 1 - c] = np.diff(np.append(head, len(sort)))
+                        counts[:, c] = counts[:, 4]
                     part.append((sort[head], counts))
                 held += part
                 waiting += sum(len(k) for k, _ in part)
@@ -94,26 +103,27 @@ def _count(order: int):
         keys, counts = merged()
         for row in range(0, len(keys), 100_000):
             s = slice(row, row + 100_000)
-            yield pa.record_batch([pa.array(keys[s].view(np.int64)), pa.array(counts[s, 0]), pa.array(counts[s, 1])], ["g", "toxic", "ordinary"])
+            yield pa.record_batch([pa.array(keys[s].view(np.int64)), *(pa.array(counts[s, c]) for c in range(5))], ["g", *COUNTS])
 
     return run
 
 
+def _half(doc_id: str | Column) -> Column:
+    return F.xxhash64(doc_id).bitwiseAND(F.lit(1)).cast("int")
+
+
 def count(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, toxic, ordinary) for every sequence of the corpus."""
+    """(g, and COUNTS: toxic and ordinary in each half, and all) for every sequence of the corpus."""
     known = (
         labels.select(id_column(labels), labels["toxic"].cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1)")
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
-        .where("toxic = most").drop("most")
+        .where("toxic = most").select("doc_id", (2 * _half("doc_id") + 1 - F.col("toxic")).cast("int").alias("class"))
     )
     texts = docs.select(id_column(docs), docs["text"].cast("string").alias("text")).where("text is not null")
-    # The labels' ids and classes are small beside the texts: only those are moved where the
-    # optimiser finds it worthwhile.
-    labelled = texts.join(known, "doc_id", "left").select("text", "toxic")
-    return labelled.mapInArrow(_count(order), "g long, toxic long, ordinary long").groupBy("g").agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
-    )
+    labelled = texts.join(known, "doc_id", "left").select("text", "class")
+    counted = labelled.mapInArrow(_count(order), ", ".join(["g long", *(f"{c} long" for c in COUNTS)]))
+    return counted.groupBy("g").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def shared_probability(grams: DataFrame, order: int, discount: float = DISCOUNT) -> DataFrame:
@@ -141,57 +151,72 @@ def shared_probability(grams: DataFrame, order: int, discount: float = DISCOUNT)
     return below.select(F.col("g").alias("s"), "p")
 
 
-def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
-    """(kind, key, ratio): kind 1 has the log ratio of a sequence, kind 0 that of the backoff
-    weights of a context."""
-    seen = grams.where("toxic + ordinary > 0").withColumn("h", F.shiftright("g", 8))
+def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, mix: float = MIX) -> DataFrame:
+    """(kind, key, r, r0, r1): kind 1 has the log ratio of a sequence, kind 0 that of the
+    backoff weights of a context; r is the whole model's, r0 and r1 those of the models
+    without half 0 and without half 1."""
     context = W.partitionBy("h")
-    for c in ("toxic", "ordinary"):
-        seen = seen.withColumn(f"{c}_all", F.sum(c).over(context)).withColumn(
-            f"{c}_kinds", F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).over(context)
-        )
-    gamma = {c: F.when(F.col(f"{c}_all") > 0, discount * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(1.0) for c in ("toxic", "ordinary")}
-    seen = seen.withColumn("gt", gamma["toxic"]).withColumn("go", gamma["ordinary"])
-    seen = seen.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)))
-    shared = shared_probability(grams, order, discount)
-
-    def p(c: str, g: str):
-        own = F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - discount, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0)
-        return own + F.col(g) * F.col("p")
-
-    top = seen.join(shared, "s").select(F.lit(1).alias("kind"), F.col("g").alias("key"), F.log(p("toxic", "gt") / p("ordinary", "go")).alias("ratio"))
-    contexts = seen.groupBy("h").agg(F.first("gt").alias("gt"), F.first("go").alias("go")).select(
-        F.lit(0).alias("kind"), F.col("h").alias("key"), F.log(F.col("gt") / F.col("go")).alias("ratio")
+    every = grams.withColumn("h", F.shiftright("g", 8))
+    every = every.withColumn("nall", F.sum("n").over(context)).withColumn("nkinds", F.count("*").over(context))
+    seen = every.where(" + ".join(COUNTS[:4]) + " > 0")
+    parts = {"r": ("t0 + t1", "o0 + o1"), "r0": ("t1", "o1"), "r1": ("t0", "o0")}
+    own, sums = {}, {}
+    for r, both in parts.items():
+        for c, n in zip("to", both):
+            own[f"{r}{c}n"] = F.expr(n)
+            sums[f"{r}{c}all"] = F.sum(F.expr(n)).over(context)
+            sums[f"{r}{c}kinds"] = F.sum(F.when(F.expr(n) > 0, 1).otherwise(0)).over(context)
+    seen = seen.withColumns(own | sums)
+    gamma = {
+        f"{r}{c}g": F.when(F.col(f"{r}{c}all") > 0, discount * F.col(f"{r}{c}kinds") / F.col(f"{r}{c}all")).otherwise(1.0)
+        for r in parts for c in "to"
+    }
+    seen = seen.withColumns(gamma).withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)))
+
+    def p(rc: str) -> Column:
+        top = F.when(F.col(f"{rc}all") > 0, F.greatest(F.col(f"{rc}n") - discount, F.lit(0.0)) / F.col(f"{rc}all")).otherwise(0.0)
+        return mix * top + (mix * F.col(f"{rc}g") + 1 - mix) * F.col("p")
+
+    shared = (F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("nkinds") * F.col("p")) / F.col("nall")
+    top = seen.join(shared_probability(grams, order, discount), "s").withColumn("p", shared).select(
+        F.lit(1).alias("kind"), F.col("g").alias("key"), *(F.log(p(f"{r}t") / p(f"{r}o")).alias(r) for r in parts)
     )
-    return top.union(contexts)
+    contexts = seen.groupBy("h").agg(*(F.first(F.log((mix * F.col(f"{r}tg") + 1 - mix) / (mix * F.col(f"{r}og") + 1 - mix))).alias(r) for r in parts))
+    return top.union(contexts.select(F.lit(0), F.col("h"), *parts))
 
 
 class Tables:
-    def __init__(self, kind: np.ndarray, key: np.ndarray, ratio: np.ndarray):
+    def __init__(self, kind: np.ndarray, key: np.ndarray, *ratio: np.ndarray):
         top = kind == 1
-        self.top, self.top_ratio = HashTable(key[top].view(U)), np.append(ratio[top], 0.0)
-        self.context, self.context_ratio = HashTable(key[~top].view(U)), np.append(ratio[~top], 0.0)
+        table = np.stack(ratio, 1)
+        none = np.zeros((1, table.shape[1]))
+        self.top, self.top_ratio = HashTable(key[top].view(U)), np.concatenate([table[top], none])
+        self.context, self.context_ratio = HashTable(key[~top].view(U)), np.concatenate([table[~top], none])
 
-    def score(self, texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of log ratios, and bytes, of each text."""
+    def score(self, texts: list[bytes], order: int, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of log ratios, by all and by the model without the text's half; bytes."""
         keys, doc = sequences(texts, order)
         place = self.top.find(keys)
-        value = self.top_ratio[place]
+        column = 1 + half[doc]
+        value, held = self.top_ratio[place, 0], self.top_ratio[place, column]
         unseen = np.flatnonzero(place < 0)
-        value[unseen] = self.context_ratio[self.context.find(keys[unseen] >> U(8))]
-        return np.bincount(doc, value, len(texts)), np.bincount(doc, minlength=len(texts))
+        at = self.context.find(keys[unseen] >> U(8))
+        value[unseen], held[unseen] = self.context_ratio[at, 0], self.context_ratio[at, column[unseen]]
+        return np.bincount(doc, value, len(texts)), np.bincount(doc, held, len(texts)), np.bincount(doc, minlength=len(texts))
 
 
 _tables: dict[str, Tables] = {}
+SCORES = "doc_id long, score double, held_score double, n_bytes long"
 
 
 def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHIP) -> DataFrame:
-    """(doc_id, score, n_bytes) for every row with a doc_id and a text that isn't blank."""
+    """SCORES for every row with a doc_id and a text that isn't blank."""
     texts = docs.select(id_column(docs), docs["text"].cast("string").alias("text")).where("doc_id is not null and text is not null")
+    texts = texts.withColumn("half", _half("doc_id"))
     if model.count() > ship:
         return _score_joined(texts, model, order)
-    table = model.toArrow()
-    shipped = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("kind", "key", "ratio")))
+    table = model.toArrow()  # SHIP rows at most
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("kind", "key", "r", "r0", "r1")))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +224,16 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHI
             _tables.clear()
             _tables[name] = Tables(*shipped.value)
         for batch in batches:
-            ids = batch.column(0)
+            half = batch.column(2).to_numpy()
             for row, part in blocks(batch.column(1)):
-                total, n = _tables[name].score(part, order)
+                total, held, n = _tables[name].score(part, order, half[row : row + len(part)])
                 some = np.flatnonzero(n)
-                yield pa.record_batch([ids.slice(row, len(part)).take(pa.array(some)), pa.array(total[some] / n[some]), pa.array(n[some])], ["doc_id", "score", "n_bytes"])
+                yield pa.record_batch(
+                    [batch.column(0).slice(row, len(part)).take(pa.array(some)), pa.array(total[some] / n[some]), pa.array(held[some] / n[some]), pa.array(n[some])],
+                    ["doc_id", "score", "held_score", "n_bytes"],
+                )
 
-    return texts.mapInArrow(run, "doc_id long, score double, n_bytes long")
+    return texts.mapInArrow(run, SCORES)
 
 
 def _score_joined(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -217,26 +245,28 @@ def _score_joined(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
                 keys, doc = sequences(part, order)
                 (d, g), n = np.unique(np.stack([doc.astype(np.int64), keys.view(np.int64)]), axis=1, return_counts=True)
                 rows = pa.array(d + row)
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(g), pa.array(n)], ["doc_id", "r", "g", "n"])
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(3).take(rows), pa.array(g), pa.array(n)], ["doc_id", "r", "g", "n"])
 
     # Rows that repeat a doc_id stay apart by the hash of their text.
     rows = texts.withColumn("r", F.xxhash64("text")).distinct()
-    grams = rows.mapInArrow(run, "doc_id long, r long, g long, n long")
-    top = model.where("kind = 1").select(F.col("key").alias("g"), F.col("ratio").alias("a"))
-    context = model.where("kind = 0").select(F.col("key").alias("h"), F.col("ratio").alias("b"))
-    joined = grams.withColumn("h", F.shiftright("g", 8)).join(top, "g", "left").join(context, "h", "left")
-    value = F.coalesce("a", "b", F.lit(0.0))
-    return joined.groupBy("doc_id", "r").agg(F.sum(value * F.col("n")).alias("s"), F.sum("n").alias("n_bytes")).select(
-        "doc_id", (F.col("s") / F.col("n_bytes")).alias("score"), "n_bytes"
-    )
+    grams = rows.mapInArrow(run, "doc_id long, r long, g long, n long").withColumn("h", F.shiftright("g", 8))
+    held = F.when(_half("doc_id") == 0, F.col("r0")).otherwise(F.col("r1"))
+    tables = {}
+    for kind, key in ((1, "g"), (0, "h")):
+        tables[key] = model.where(f"kind = {kind}").select(F.col("key").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("r", "r0", "r1")))
+    joined = grams.join(tables["g"], "g", "left").join(tables["h"], "h", "left")
+    value = {c: F.coalesce(f"g_{c}", f"h_{c}", F.lit(0.0)) * F.col("n") for c in ("r", "r0", "r1")}
+    held = F.when(_half("doc_id") == 0, value["r0"]).otherwise(value["r1"])
+    n = F.sum("n")
+    return joined.groupBy("doc_id", "r").agg((F.sum(value["r"]) / n).alias("score"), (F.sum(held) / n).alias("held_score"), n.alias("n_bytes")).drop("r")
 
 
 def threshold(scores: DataFrame, labels: DataFrame) -> float:
-    """The score with the best F1 on all labelled documents, from class counts by score."""
+    """The held-out score with the best F1 on all labelled documents, from class counts by step."""
     known = scores.join(
         labels.select(id_column(labels), labels["toxic"].cast("int").alias("toxic")).where("toxic in (0, 1)"), "doc_id"
     )
-    step = known.groupBy((F.floor(F.col("score") * 2000) / 2000).alias("s")).agg(
+    step = known.groupBy((F.floor(F.col("held_score") * 2000) / 2000).alias("s")).agg(
         F.sum("toxic").alias("t"), F.count("*").alias("n")
     )
     rows = sorted(((r["s"], r["t"], r["n"]) for r in step.collect()), reverse=True)  # as many as there are steps
@@ -254,11 +284,10 @@ def threshold(scores: DataFrame, labels: DataFrame) -> float:
 def toxic_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, score, n_bytes) of the documents found toxic; score is in nats a byte."""
     grams = cut(count(docs, labels, order))
-    classes = grams.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    scores = score(docs, cut(ratios(grams, order)), order) if classes[0] and classes[1] else None
-    if scores is None:
+    classes = grams.agg(F.sum(F.expr("t0 + t1")), F.sum(F.expr("o0 + o1"))).first()
+    if not (classes[0] and classes[1]):
         return docs.sparkSession.createDataFrame([], "doc_id long, score double, n_bytes long")
-    scores = cut(scores)
+    scores = cut(score(docs, cut(ratios(grams, order)), order))
     return scores.where(F.col("score") >= threshold(scores, labels)).groupBy("doc_id").agg(
         F.max("score").alias("score"), F.max_by("n_bytes", "score").alias("n_bytes")
     )
