@@ -266,8 +266,10 @@ def train(pages: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.
     marked = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["html"].cast("string").alias("html")).where(
         "page_id is not null and html rlike '(?i)<(article|main)[\\\\s>]|role\\\\s*=\\\\s*[\"\\']?main|articleBody'"
     )
-    chosen = marked.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(max_train)
-    trees = [Tree(row["html"]) for row in chosen.collect()]  # max_train pages at most
+    # The draw sorts ids alone; only the pages drawn travel, one for an id that repeats.
+    drawn = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_train)
+    chosen = marked.join(F.broadcast(drawn), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    trees = [Tree(row["html"]) for row in chosen.orderBy(F.xxhash64("page_id"), "page_id").collect()]  # max_train pages at most
     return fit([t for t in trees if t.labelled])
 
 
