@@ -1,10 +1,591 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the library's own operators, and their SQL.
+
+A query takes (spark, folder of tables). ORACLE holds DuckDB SQL with the same columns and
+values where SQL can say the same; queries without an entry run parsers that SQL can't express
+and are tested against expected documents instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T, values as V
+from ..operators import chunk as C, extract as E, layout as L, relational as R, render, status
+from ..sources import detect as D
+from ..streaming.ingest import changed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+#: Unicode white space, as a class of the SQL side's regular expressions.
+WS = r"\x{09}-\x{0D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql.replace("{WS}", WS)
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- strings --
+
+@query(r"""
+with p as (select conv_id, turn, list_filter(list_transform(string_split(text, chr(10) || chr(10)),
+             x -> regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), x -> x <> '') as l from conversations)
+select conv_id, turn, generate_subscripts(l, 1) - 1 as par, unnest(l) as text from p""")
+def text_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(E.paragraphs_of(F.col("text"))).alias("par", "text"))
+    return found.withColumn("par", F.col("par").cast("long"))
+
+
+_KEEP = r"regexp_replace({x}, '([\p{L}\p{N}])_([\p{L}\p{N}])', '\1' || chr(57344) || '\2', 'g')"
+
+
+@query(f"""
+with m as (select doc_id, regexp_replace(text, '([\\\\`*\\[\\]<])', '\\\\\\1', 'g') as t from documents),
+     k as (select doc_id, {_KEEP.replace('{x}', _KEEP.replace('{x}', 't'))} as t from m)
+select doc_id, replace(replace(t, '_', chr(92) || '_'), chr(57344), '_') as md from k""")
+def escape_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", T.escape_markdown(F.col("text")).alias("md"))
+
+
+@query(r"""
+select doc_id, sum(case when regexp_matches(line, '^[{WS}]*([#>|]|[-+] |[0-9]+[.)] )') then 1 else 0 end)::bigint as escaped,
+       string_agg(regexp_replace(line, '^([{WS}]*)([#>|]|[-+] |[0-9]+[.)] )', '\1' || chr(92) || chr(92) || '\2'), chr(10) order by i) as md
+from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+group by doc_id""")
+def escape_leading(spark: SparkSession, folder: str) -> DataFrame:
+    lines = F.split("text", "\n")
+    shown = F.transform(lines, T.escape_leading)
+    n = F.aggregate(F.zip_with(lines, shown, lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
+    return table(spark, folder, "documents").select("doc_id", n.cast("long").alias("escaped"), F.array_join(shown, "\n").alias("md"))
+
+
+@query(r"""select doc_id, trim(regexp_replace(text, '[{WS}]+', ' ', 'g')) as line, regexp_replace(text, '[{WS}]+', ' ', 'g') as squeezed from documents""")
+def one_line_ws(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", T.one_line(F.col("text")).alias("line"), T.squeeze(F.col("text")).alias("squeezed"))
+
+
+@query("""
+with u as (select page_id, case when page_id % 3 = 0 then url when page_id % 3 = 1 then url || ' (a>b)' else replace(url, '?', '(') end as url from pages)
+select page_id, case when regexp_matches(url, '[ ()]') then '<' || replace(url, '>', '%3E') || '>' else url end as href from u""")
+def href_escape(spark: SparkSession, folder: str) -> DataFrame:
+    k, url = F.col("page_id") % 3, F.col("url")
+    own = F.when(k == 0, url).when(k == 1, F.concat(url, F.lit(" (a>b)"))).otherwise(F.replace(url, F.lit("?"), F.lit("(")))
+    return table(spark, folder, "pages").select("page_id", T.escape_href(own).alias("href"))
+
+
+@query(r"""
+select doc_id, '---' || chr(10) || case when doc_id % 2 = 0 then 'title: "' || replace(replace(left(text, 60), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' || chr(10) else '' end
+  || 'language: "' || lang || '"' || chr(10) || 'pages: ' || n_chars || chr(10) || 'format: "txt"' || chr(10) || '---' || chr(10) || chr(10) as front from documents""")
+def yaml_front_matter(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    none = F.lit(None).cast("string")
+    meta = F.struct(
+        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 60)).alias("title"), none.alias("author"), none.alias("created"), F.col("lang").alias("language"),
+        none.alias("publisher"), F.col("n_chars").cast("int").alias("page_count"), F.lit("txt").alias("source_format"), none.alias("source_path"),
+    )
+    return docs.select("doc_id", meta.alias("meta")).select("doc_id", render.front_matter(F.col("meta")).alias("front"))
+
+
+@query(r"""
+with l as (select doc_id, '```rust`' || chr(10) || text || chr(10) as code from documents),
+     r as (select doc_id, code, list_max(list_transform(regexp_extract_all(code, '`+'), x -> length(x))) as n from l)
+select doc_id, repeat('`', (greatest(n, 2) + 1)::int) || 'txt' || chr(10) || regexp_replace(code, '[{WS}]+$', '') || chr(10) || repeat('`', (greatest(n, 2) + 1)::int) as md from r""")
+def code_fence(spark: SparkSession, folder: str) -> DataFrame:
+    code = F.concat(F.lit("```rust`\n"), "text", F.lit("\n"))
+    return table(spark, folder, "documents").select("doc_id", T.code_fence(F.lit("txt"), code).alias("md"))
+
+
+@query("""
+select doc_id, 'sha256:' || sha256(lang || chr(31) || source || chr(30) || text) as hash,
+       'sha256:' || left(sha256(lang || chr(31) || source || chr(30) || text), 12) || '…' as short from documents""")
+def chunk_hash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", T.content_hash(F.array("lang", "source"), F.col("text")).alias("hash"))
+    return docs.withColumn("short", T.short_hash(F.col("hash")))
+
+
+@query(r"""
+with s as (select page_id, string_split('OEBPS/text/' || regexp_replace(case when page_id % 2 = 0 then '../img/./' else '' end || replace(url, 'http://', ''), '[#?].*$', ''), '/') as p from pages)
+select page_id, case when page_id % 2 = 0 then array_to_string(list_concat(['OEBPS'], list_filter(p[4:], x -> x not in ('', '.', '..'))), '/') else array_to_string(list_filter(p, x -> x not in ('', '.')), '/') end as entry from s""")
+def entry_paths(spark: SparkSession, folder: str) -> DataFrame:
+    href = F.concat(F.when(F.col("page_id") % 2 == 0, "../img/./").otherwise(""), F.replace("url", F.lit("http://"), F.lit("")))
+    return table(spark, folder, "pages").select("page_id", T.resolve_path(F.lit("OEBPS/text/"), href).alias("entry"))
+
+
+# -------------------------------------------------------------- detection --
+
+_NAMES = ("a.TXT", "b.text", "c.log", "d.md", "e.Markdown", "f.csv", "g.htm", "h.xhtml", "i.rtf", "j.docx", "k.pptx", "l.xlsx", "m.odt", "n.odp", "o.ods", "p.epub", "q.pdf", "r.bin", "noextension", ".hidden")
+_ALIAS_SQL = "case " + " ".join(f"when e in ({', '.join(repr(k) for k, v in D.ALIASES.items() if v == f)}) then '{f}'" for f in dict.fromkeys(D.ALIASES.values())) + " end"
+
+
+@query(f"""
+with n as (select page_id, list_value({', '.join(map(repr, _NAMES))})[(page_id % {len(_NAMES)} + 1)::int] as name from pages),
+     e as (select page_id, name, nullif(lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)), '') as e from n)
+select page_id, name, {_ALIAS_SQL} as format from e""")
+def detect_by_extension(spark: SparkSession, folder: str) -> DataFrame:
+    names = F.array(*map(F.lit, _NAMES))
+    named = table(spark, folder, "pages").select("page_id", F.element_at(names, (F.col("page_id") % len(_NAMES) + 1).cast("int")).alias("name"))
+    return named.withColumn("format", D.by_extension(D.extension(F.col("name"))))
+
+
+_LOCAL = b"PK\x03\x04" + b"\0" * 22
+_HEADS = (
+    b"%PDF-1.7\n", b"{\\rtf1\\ansi", _LOCAL + b"\x13\0\0\0[Content_Types].xmlword/", _LOCAL + b"\x05\0\0\0a.xmlppt/slides", _LOCAL + b"\x05\0\0\0a.xmlxl/workbook",
+    *(_LOCAL + b"\x08\0\0\0mimetype" + m.encode() + b"PK" for m in D.MIMETYPES), _LOCAL + b"\x08\0\0\0mimetypeapplication/x-other\0word/", b"<!DOCTYPE HTML><p>", b"plain",
+)
+_FOUND = ("pdf", "rtf", "docx", "pptx", "xlsx", "epub", "odt", "odp", "ods", None, "html", None)
+
+
+@query(f"select page_id, list_value({', '.join('NULL' if f is None else repr(f) for f in _FOUND)})[(page_id % {len(_FOUND)} + 1)::int] as format from pages")
+def detect_by_signature(spark: SparkSession, folder: str) -> DataFrame:
+    heads = F.array(*(F.lit(bytearray(h)) for h in _HEADS))
+    found = table(spark, folder, "pages").select("page_id", F.element_at(heads, (F.col("page_id") % len(_HEADS) + 1).cast("int")).alias("head"))
+    return found.select("page_id", D.detect(F.col("head"), F.lit(None).cast("string")).alias("format"))
+
+
+@query("select page_id, contains(lower(left(html, 512)), '<!doctype html') or contains(lower(left(html, 512)), '<html') as is_html from pages")
+def detect_html_sniff(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", D.looks_like_html(F.encode("html", "UTF-8")).alias("is_html"))
+
+
+# ------------------------------------------------------------------- HTML --
+
+def _pages(spark: SparkSession, folder: str, full: bool = False) -> DataFrame:
+    return E.html_documents(table(spark, folder, "pages"), "page_id", "html", full)
+
+
+@query(r"""
+with t as (select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as t, regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1) as l from pages)
+select page_id, nullif(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^[{WS}]+|[{WS}]+$', '', 'g'), '') as title,
+       nullif(l, '') as language from t""")
+def html_title(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select(F.col("doc_id").alias("page_id"), "meta.title", "meta.language")
+
+
+@query()
+def html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    found = _pages(spark, folder, True).select("doc_id", F.explode("blocks").alias("b"))
+    return found.select("doc_id", "b.block_idx", "b.parent_idx", "b.item_no", "b.depth", "b.type", "b.level", "b.ordered", "b.plain", "b.md")
+
+
+@query()
+def html_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return render.rendered(_pages(spark, folder), "md", metadata=True)
+
+
+@query()
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return render.rendered(_pages(spark, folder), "text")
+
+
+@query()
+def html_json(spark: SparkSession, folder: str) -> DataFrame:
+    return render.rendered(_pages(spark, folder), "json")
+
+
+@query()
+def html_block_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder, True).select(F.explode("blocks").alias("b")).groupBy("b.type", "b.depth").agg(F.count("*").alias("n"))
+
+
+# -------------------------------------------------------------- rendering --
+
+@query("""
+with c as (select n_nationkey as k, n_nationkey::varchar as a, n_name as b, n_regionkey::varchar as c from nation),
+     w as (select greatest(3, 11, max(length(a))) as wa, greatest(3, 6, max(length(b))) as wb, greatest(3, 11, max(length(c))) as wc from c)
+select '| ' || rpad('n_nationkey', wa::int, ' ') || ' | ' || rpad('n_name', wb::int, ' ') || ' | ' || rpad('n_regionkey', wc::int, ' ') || ' |' || chr(10)
+    || '| ' || repeat('-', wa::int) || ' | ' || repeat('-', wb::int) || ' | ' || repeat('-', wc::int) || ' |' || chr(10)
+    || string_agg('| ' || rpad(a, wa::int, ' ') || ' | ' || rpad(b, wb::int, ' ') || ' | ' || rpad(c, wc::int, ' ') || ' |', chr(10) order by k) as markdown
+from c, w group by wa, wb, wc""")
+def csv_table_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return E.table_markdown(table(spark, folder, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+
+
+@query(r"""
+with i as (select conv_id, turn, row_number() over (partition by conv_id order by turn, role, text) as n, text from conversations where text is not null)
+select conv_id, string_agg(n || '. ' || regexp_replace(text, '\n([^\n])', chr(10) || repeat(' ', length(n::varchar) + 2) || '\1', 'g'), chr(10) order by n) as md from i group by conv_id""")
+def list_render(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("l"))
+
+    def item(x, k):
+        marker = F.concat((k + 1).cast("string"), F.lit(". "))
+        pad = F.repeat(F.lit(" "), F.length(marker))
+        return F.concat(marker, F.regexp_replace(x["text"], r"\n([^\n])", F.concat(F.lit("\n"), pad, F.lit("$1"))))
+
+    return items.select("conv_id", F.array_join(F.transform("l", item), "\n").alias("md"))
+
+
+# --------------------------------------------------------------- chunking --
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").where("text is not null and text <> ''")
+
+
+@query("""
+select conv_id, turn, role, coalesce(sum(strlen(text) + 2) over w, 0)::bigint as start, (coalesce(sum(strlen(text) + 2) over w, 0) + strlen(text))::bigint as stop
+from conversations where text is not null and text <> '' window w as (partition by conv_id order by turn, role rows between unbounded preceding and 1 preceding)""")
+def block_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    return C.offsets(_turns(spark, folder), "conv_id", ["turn", "role"], "text").select("conv_id", "turn", "role", "start", "stop")
+
+
+@query("""
+with b as (select conv_id, turn, case when turn % 2 = 0 then turn % 5 + 1 end as level, left(text, 12) as h from (select distinct on (conv_id, turn) * from conversations where text is not null and text <> '' order by conv_id, turn, role, text))
+select b.conv_id, b.turn, coalesce(string_agg(a.h, ' > ' order by a.turn), '') as path
+from b left join b a on a.conv_id = b.conv_id and a.turn <= b.turn and a.level is not null
+  and not exists (select 1 from b c where c.conv_id = a.conv_id and c.turn > a.turn and c.turn <= b.turn and c.level is not null and c.level <= a.level)
+group by b.conv_id, b.turn""")
+def heading_path(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _turns(spark, folder).groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("turn") % 5 + 1).alias("level"), F.substring("r.text", 1, 12).alias("h"))
+    found = C.heading_paths(rows, "conv_id", ["turn"], "level", "h")
+    return found.select("conv_id", "turn", F.array_join("heading_path", " > ").alias("path"))
+
+
+_PACK = """
+with recursive s as (select conv_id, row_number() over (partition by conv_id order by turn, role) - 1 as i, length(text) as n from conversations where text is not null and text <> ''),
+p as (select conv_id, i, n as chars, i as start from s where i = 0
+      union all
+      select s.conv_id, s.i, case when p.chars + 2 + s.n > 400 then s.n else p.chars + 2 + s.n end, case when p.chars + 2 + s.n > 400 then s.i else p.start end
+      from p join s on s.conv_id = p.conv_id and s.i = p.i + 1)
+"""
+
+
+@query(_PACK + "select conv_id, start::bigint as first, max(i)::bigint as last, max(chars)::bigint as chars from p group by conv_id, start")
+def pack_segments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _turns(spark, folder).select("conv_id", "turn", "role", F.length("text").alias("n"))
+    sizes = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "n"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["n"]).alias("sizes"))
+    found = C.packed(rows, "conv_id", ["turn", "role"], "n", 400).join(sizes, "conv_id")
+    group = found.select("conv_id", "sizes", "starts", "n", F.posexplode("starts").alias("k", "first"))
+    group = group.withColumn("last", F.coalesce(F.get("starts", F.col("k") + 1), "n") - 1)
+    chars = F.aggregate(F.slice("sizes", F.col("first") + 1, F.col("last") - F.col("first") + 1), F.lit(-2), lambda acc, x: acc + x + 2)
+    return group.select("conv_id", F.col("first").cast("long"), F.col("last").cast("long"), chars.cast("long").alias("chars"))
+
+
+@query(_PACK + """, g as (select conv_id, start, max(i) as last from p group by conv_id, start),
+h as (select conv_id, start, last, lag(start) over (partition by conv_id order by start) as before from g),
+o as (select h.conv_id, h.start, h.before, s.i, sum(s.n + 2) over (partition by h.conv_id, h.start order by s.i desc) as taken from h join s on s.conv_id = h.conv_id and s.i < h.start and s.i > h.before)
+select h.conv_id, h.start::bigint as first, coalesce(min(case when o.taken <= 200 then o.i end), h.start)::bigint as begins from h left join o on o.conv_id = h.conv_id and o.start = h.start group by h.conv_id, h.start""")
+def pack_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _turns(spark, folder).select("conv_id", "turn", "role", F.length("text").alias("n"))
+    sizes = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "n"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["n"]).alias("sizes"))
+    found = C.packed(rows, "conv_id", ["turn", "role"], "n", 400).join(sizes, "conv_id").select("conv_id", "sizes", "starts", F.posexplode("starts").alias("k", "first"))
+    before = F.when(F.col("k") > 0, F.get("starts", F.col("k") - 1)).otherwise(F.col("first"))
+    # Whole segments from the right, as long as the budget lasts, never the whole group before.
+    room = F.reverse(F.slice("sizes", before + 2, F.greatest(F.col("first") - before - 1, F.lit(0))))
+    taken = F.aggregate(
+        room, F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(True).alias("on")),
+        lambda acc, x: F.when(acc["on"] & (acc["chars"] + x + 2 <= 200), F.struct((acc["n"] + 1).alias("n"), (acc["chars"] + x + 2).alias("chars"), F.lit(True).alias("on")))
+        .otherwise(F.struct(acc["n"].alias("n"), acc["chars"].alias("chars"), F.lit(False).alias("on"))),
+        lambda acc: acc["n"],
+    )
+    return found.select("conv_id", F.col("first").cast("long"), (F.col("first") - taken).cast("long").alias("begins"))
+
+
+@query(r"""
+with recursive t as (select doc_id, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') as text from documents),
+c as (select doc_id, 0 as k, ''::varchar as piece, text as rest, false as done from t where text <> ''
+      union all
+      select doc_id, k + 1,
+        case when length(rest) <= 200 then rest else regexp_replace(left(rest, cut::int), '[{WS}]+$', '') end,
+        case when length(rest) <= 200 then '' else regexp_replace(substr(rest, cut::int + 1), '^[{WS}]+', '') end, length(rest) <= 200
+      from (select *, case when length(regexp_extract(left(rest, 200), '(?s)^(.+\n)', 1)) > 1 then length(regexp_extract(left(rest, 200), '(?s)^(.+\n)', 1))
+                          when regexp_matches(left(rest, 200), '(?s)^.+[.!?…]([{WS}]|$)') then length(regexp_extract(left(rest, 200), '(?s)^(.+[.!?…])([{WS}]|$)', 1))
+                          when regexp_matches(left(rest, 200), '(?s)^.+[{WS}]') then length(regexp_extract(left(rest, 200), '(?s)^(.+)[{WS}]', 1)) else 200 end as cut
+            from c where rest <> '' and not done))
+select doc_id, (k - 1)::bigint as piece_no, piece from c where k > 0 and piece <> ''""")
+def split_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts cut into pieces of at most 200 characters."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: tuple[list, list, list] = ([], [], [])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, (a, b) in enumerate(C.pieces(text, 200)):
+                    for column, value in zip(rows, (doc, k, text[a:b])):
+                        column.append(value)
+            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], ["doc_id", "piece_no", "piece"])
+
+    texts = table(spark, folder, "documents").select("doc_id", T.trimu(F.col("text")).alias("text")).where("text <> ''")
+    return texts.mapInArrow(run, "doc_id long, piece_no long, piece string")
+
+
+@query()
+def chunks_full(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents and pages to chunks of 800 characters with an overlap of 80."""
+    texts = E.text_documents(table(spark, folder, "documents"), "doc_id", "text")
+    pages = _pages(spark, folder)
+    name = lambda kind: F.concat(F.lit(f"{kind}/"), F.col("doc_id").cast("string")).alias("doc_id")
+    both = [d.select(name(kind), "meta", "blocks", "reason") for d, kind in ((texts, "documents"), (pages, "pages"))]
+    return C.chunks(both[0].unionByName(both[1]), 800, 80)
+
+
+@query()
+def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages to one Markdown file of chunks each."""
+    return C.rendered(C.chunks(_pages(spark, folder), 400, 40), "md")
+
+
+@query("""
+with n as (select doc_id, 'sha256:' || sha256(chr(30) || case when doc_id % 7 = 0 then text || '!' else text end) as hash from documents),
+     o as (select doc_id, 'sha256:' || sha256(chr(30) || text) as hash from documents where doc_id % 11 <> 0)
+select doc_id, hash from n except select doc_id, hash from o""")
+def chunk_changes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    hashed = lambda text: T.content_hash(F.array().cast("array<string>"), text).alias("hash")
+    new = docs.select("doc_id", hashed(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    old = docs.where("doc_id % 11 <> 0").select("doc_id", hashed(F.col("text")))
+    return changed(new, old)
+
+
+# -------------------------------------------------------- dates and numbers --
+
+@query("""
+with d as (select o_orderkey, o_orderkey % 60000 + case when o_orderkey % 3 = 0 then 0.5 when o_orderkey % 3 = 1 then 0.25 else 0 end as serial from orders),
+     x as (select o_orderkey, floor(serial)::int as day, serial - floor(serial) as rest from d),
+     c as (select o_orderkey, day, rest, printf('%02d:%02d:%02d', (round(rest * 86400)::bigint // 3600)::int, (round(rest * 86400)::bigint % 3600 // 60)::int, (round(rest * 86400)::bigint % 60)::int) as clock from x)
+select o_orderkey, case when day = 0 then clock else strftime((case when day < 60 then date '1899-12-31' else date '1899-12-30' end) + day, '%Y-%m-%d') || case when rest < 1e-9 then '' else ' ' || clock end end as shown from c""")
+def excel_dates(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    serial = (k % 60000).cast("double") + F.when(k % 3 == 0, 0.5).when(k % 3 == 1, 0.25).otherwise(0.0)
+    return table(spark, folder, "orders").select("o_orderkey", V.serial_date(serial).alias("shown"))
+
+
+@query("""
+with s as (select event_id, round(value / 100 * 86400)::bigint as s, round(value * 86400)::bigint as d from events)
+select event_id, printf('%02d:%02d:%02d', (s // 3600)::int, (s % 3600 // 60)::int, (s % 60)::int) as clock, printf('%d:%02d:%02d', (d // 3600)::int, (d % 3600 // 60)::int, (d % 60)::int) as elapsed from s""")
+def times_and_durations(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", V.time_of_day(F.col("value") / 100).alias("clock"), V.duration(F.col("value")).alias("elapsed"))
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, case when l_extendedprice = floor(l_extendedprice) then l_extendedprice::bigint::varchar else l_extendedprice::varchar end as price,
+       case when l_quantity = floor(l_quantity) then l_quantity::bigint::varchar else l_quantity::varchar end as quantity from lineitem""")
+def number_display(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", V.number_text(F.col("l_extendedprice")).alias("price"), V.number_text(F.col("l_quantity")).alias("quantity"))
+
+
+@query("""select event_id, case when event_id % 5 <> 0 then strftime(ts, '%Y-%m-%d') end as created from events""")
+def pdf_dates(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    said = F.when(k == 0, F.date_format("ts", "'D:'yyyyMM")).when(k == 1, F.date_format("ts", "yyyyMMdd")).otherwise(F.concat(F.date_format("ts", "'D:'yyyyMMddHHmmss"), F.lit("+00'00'")))
+    return table(spark, folder, "events").select("event_id", V.pdf_date(said).alias("created"))
+
+
+# ----------------------------------------------------------------- layout --
+
+def _glyphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines seen as glyphs of a page for each supplier."""
+    return table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("page"), (F.col("l_orderkey").cast("long") * 100000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("tie"),
+        F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 1000 + 1).alias("size"),
+    )
+
+
+_GLYPH_SQL = "g as (select l_suppkey as page, l_orderkey::bigint * 100000 + l_partkey * 10 + l_linenumber as tie, l_extendedprice as y, l_quantity as x, l_discount * 1000 + 1 as size from lineitem)"
+
+
+@query(f"""
+with {_GLYPH_SQL}, n as (select *, case when abs(y - lag(y) over w) > greatest(lag(size) over w, size) * 0.5 then 1 else 0 end as new from g window w as (partition by page order by y, x, tie)),
+c as (select page, tie, sum(new) over (partition by page order by y, x, tie rows unbounded preceding) as line_no from n)
+select page, line_no::bigint as line_no, count(*) as glyphs, min(tie) as first from c group by page, line_no""")
+def line_cluster(spark: SparkSession, folder: str) -> DataFrame:
+    found = L.line_clusters(_glyphs(spark, folder), "page", "y", "x", "size", "tie")
+    return found.groupBy("page", F.col("line_no").cast("long").alias("line_no")).agg(F.count("*").alias("glyphs"), F.min("tie").alias("first"))
+
+
+@query(f"""
+with {_GLYPH_SQL}, m as (select *, max(x) over (partition by page) as edge from g),
+n as (select *, case when y - lag(y) over w > lag(size) over w * 1.8 or lag(x) over w < edge - lag(size) over w * 2.0 or abs(size - lag(size) over w) > lag(size) over w * 0.2 then 1 else 0 end as new from m window w as (partition by page order by y, tie))
+select page, sum(new)::bigint + 1 as paragraphs, count(*) as lines from n group by page""")
+def paragraph_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = L.paragraph_breaks(_glyphs(spark, folder), "page", "y", "x", "size", "tie")
+    return found.groupBy("page").agg((F.max("paragraph_no") + 1).cast("long").alias("paragraphs"), F.count("*").alias("lines"))
+
+
+@query("""
+with s as (select user_id as page, (event_id % 97) * 10.0 as a, (event_id % 97) * 10.0 + value / 10 as b from events),
+m as (select *, max(b) over (partition by page order by a, b rows between unbounded preceding and 1 preceding) as reach from s),
+i as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by page order by a, b rows unbounded preceding) as k from m),
+j as (select page, k, min(a) as a, max(b) as b from i group by page, k),
+w as (select *, max(b) over (partition by page) - min(a) over (partition by page) as width, max(b) over (partition by page order by a, b rows between unbounded preceding and 1 preceding) as reach from j),
+f as (select *, sum(case when reach is null or a - reach >= greatest(width * 0.04, 12.0 * 2.0) then 1 else 0 end) over (partition by page order by a, b rows unbounded preceding) as c from w)
+select page, (c - 1)::int as column_no, min(a) as a, max(b) as b from f group by page, c""")
+def column_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    start = (F.col("event_id") % 97) * F.lit(10.0)
+    spans = table(spark, folder, "events").select(F.col("user_id").alias("page"), start.alias("s"), (start + F.col("value") / 10).alias("e"))
+    return L.column_bounds(spans, "page", "s", "e", F.lit(12.0))
+
+
+@query("""
+with b as (select page_id, floor(page_id / 50)::bigint as page, (page_id % 50) * 10.0 as x from pages),
+c as (select * from (values (0, 0.0, 120.0), (1, 150.0, 300.0), (2, 320.0, 400.0)) t(column_no, a, b))
+select page_id, coalesce(c.column_no, 0) as column_no from b left join c on x between c.a and c.b""")
+def glyph_columns(spark: SparkSession, folder: str) -> DataFrame:
+    glyphs = table(spark, folder, "pages").select("page_id", F.floor(F.col("page_id") / 50).alias("page"), ((F.col("page_id") % 50) * F.lit(10.0)).alias("x"))
+    bounds = glyphs.select("page").distinct().select("page", F.explode(F.array(*(F.struct(F.lit(k).alias("column_no"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in ((0, 0.0, 120.0), (1, 150.0, 300.0), (2, 320.0, 400.0))))).alias("c")).select("page", "c.*")
+    return L.in_columns(glyphs, bounds, "page", "x").select("page_id", "column_no")
+
+
+@query("""
+with recursive v as (select n_nationkey as page, list_sort(list(s_acctbal)) as l from supplier join nation on s_nationkey = n_nationkey group by 1),
+k as (select page, l, 1 as i, l[1] as last, 1 as kept from v
+      union all select page, l, i + 1, case when abs(l[i + 1] - last) < 500 then last else l[i + 1] end, kept + case when abs(l[i + 1] - last) < 500 then 0 else 1 end from k where i < len(l))
+select page, max(kept)::bigint as kept, max(last) as last from k group by page""")
+def dedup_tolerance(spark: SparkSession, folder: str) -> DataFrame:
+    joined = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    kept = joined.groupBy(F.col("n_nationkey").alias("page")).agg(L.kept_baselines(F.collect_list("s_acctbal"), F.lit(500.0)).alias("k"))
+    return kept.select("page", F.size("k").cast("long").alias("kept"), F.element_at("k", -1).alias("last"))
+
+
+@query("select l_suppkey as page, list_sort(list(l_extendedprice))[(count(*) // 2 + 1)::int] as size from lineitem group by l_suppkey")
+def upper_median(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(L.upper_median("l_extendedprice").alias("size"))
+
+
+@query(f"""
+with {_GLYPH_SQL}, k as (select page, round(size / 8 * 2) / 2 as key, sum(floor(x))::bigint as n, min(tie) as first from g group by 1, 2)
+select page, arg_max(key, (n, first)) as body_size from k group by page""")
+def body_size_mode(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _glyphs(spark, folder).select("page", (F.col("size") / 8).alias("size"), F.floor("x").alias("chars"), "tie")
+    return L.body_sizes(rows, "page", "size", "chars", "tie")
+
+
+@query("""
+select p_partkey, case when p_size % 4 <= 2 and length(p_name) <= 120 then case when p_retailprice / 1000.0 >= 1.7 then 1 when p_retailprice / 1000.0 >= 1.35 then 2 when p_retailprice / 1000.0 >= 1.15 then 3 end end as level from part""")
+def heading_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", V.heading_level(F.col("p_retailprice"), F.lit(1000.0), F.col("p_size") % 4, F.col("p_name")).alias("level"))
+
+
+# ------------------------------------------------------------------ joins --
+
+@query("""
+with r as (select c_custkey % 1000 as rel, arg_max(c_name, c_custkey) as target from customer group by 1)
+select o_orderkey, coalesce(target, '') as target from orders left join r on o_custkey = rel""")
+def rel_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    rels = table(spark, folder, "customer").select((F.col("c_custkey") % 1000).alias("rel"), F.col("c_name").alias("target"), F.col("c_custkey").alias("seq"))
+    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("rel"))
+    return R.lookup_last(rows, rels, ["rel"], "target", "seq", "").select("o_orderkey", "target")
+
+
+@query("""
+select s_suppkey, coalesce(o, false) as ordered from (select s_suppkey, s_nationkey, (s_suppkey % 3)::int as level from supplier) s
+left join (select n_nationkey, l.level, case when (n_regionkey + l.level) % 3 = 0 then false when (n_regionkey + l.level) % 3 = 1 then true else false end as o
+           from nation join region on n_regionkey = r_regionkey, (values (0), (1)) l(level)) f on f.n_nationkey = s.s_nationkey and f.level = s.level""")
+def numbering_join(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("num_id"), (F.col("s_suppkey") % 3).cast("int").alias("level"))
+    nums = table(spark, folder, "nation").select(F.col("n_nationkey").alias("num_id"), F.col("n_regionkey").alias("abstract_id"))
+    levels = table(spark, folder, "region").select(F.col("r_regionkey").alias("abstract_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("level"))
+    kind = (F.col("abstract_id") + F.col("level")) % 3
+    abstracts = levels.withColumn("format", F.when(kind == 0, "bullet").when(kind == 1, "decimal").otherwise("none"))
+    return R.ordered_lists(items, nums, abstracts).select("s_suppkey", "ordered")
+
+
+@query("""
+with m as (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey) as n from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem)),
+s as (select o_orderkey, k as position, (o_orderkey + k) % 7 + 1 as ref from orders, (values (0), (1), (2)) p(k))
+select o_orderkey as doc, position, l_partkey as entry from s join m on o_orderkey = l_orderkey and ref = l_linenumber and n = 1""")
+def spine_join(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("item"), F.col("l_partkey").alias("entry")).distinct()
+    spine = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.array(*map(F.lit, range(3)))).alias("position"))
+    spine = spine.withColumn("ref", (F.col("doc") + F.col("position")) % 7 + 1)
+    return R.in_spine_order(spine, manifest, "doc", "ref", "item", "position", "entry")
+
+
+@query("""
+select doc_id, lang, doc_id in (select doc_id from labels where quality = 1) as styled from documents where doc_id in (select doc_id from labels)
+union all select doc_id, lang, false from documents where doc_id not in (select doc_id from labels where doc_id is not null)""")
+def style_semi(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "lang"), table(spark, folder, "labels")
+    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("styled", F.lit(True))
+    known = docs.join(labels, "doc_id", "left_semi").join(good, "doc_id", "left").withColumn("styled", F.coalesce("styled", F.lit(False)))
+    return known.unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("styled", F.lit(False)))
+
+
+# ------------------------------------------------------ naming and status --
+
+@query("""
+select page_id, row_number() over (order by page_id // 100, page_id % 100, page_id) as rank from pages""")
+def natural_sort(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("page_id")
+    named = table(spark, folder, "pages").select("page_id", F.concat(F.lit("ppt/slides"), F.floor(k / 100).cast("string"), F.lit("/slide"), (k % 100).cast("string"), F.lit(".xml")).alias("name"))
+    return R.natural_rank(named, "name").select("page_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("select page_id, row_number() over (order by string_split(replace(url, 'http://', '') || '/' || page_id, '/')) as rank from pages")
+def path_sort(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.concat(F.replace("url", F.lit("http://"), F.lit("")), F.lit("/"), F.col("page_id").cast("string"))
+    return R.path_rank(table(spark, folder, "pages").select("page_id", path.alias("path")), "path").select("page_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(r"""
+with j as (select page_id, 'in/' || (page_id // 3) || case page_id % 3 when 0 then '.pdf' when 1 then '.docx' else '' end as relative from pages where page_id % 7 <> 1),
+s as (select *, regexp_replace(relative, '([^/])\.[^./]*$', '\1') || '.md' as short from j)
+select page_id, case when count(*) over (partition by short) > 1 then relative || '.md' else short end as target from s""")
+def target_names(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("page_id")
+    relative = F.concat(F.lit("in/"), F.floor(k / 3).cast("string"), F.when(k % 3 == 0, ".pdf").when(k % 3 == 1, ".docx").otherwise(""))
+    return status.with_targets(table(spark, folder, "pages").where("page_id % 7 <> 1").select("page_id", relative.alias("relative")), "md").select("page_id", "target")
+
+
+def _statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as inputs whose reason follows from their labels."""
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    docs = table(spark, folder, "documents").select("doc_id").join(labels, "doc_id", "left")
+    reason = F.when(F.col("t") == 1, "parse_error").when(F.col("q") == 0, "no_text_layer").when(F.col("doc_id") % 13 == 5, "unsupported_format")
+    docs = docs.select(F.col("doc_id"), F.col("doc_id").alias("ord"), reason.alias("reason"), (F.col("doc_id") % 2 == 0).alias("discovered"), F.lit("txt").alias("format"), F.lit(False).alias("ocr"))
+    docs = docs.withColumn("target", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    listed = spark.createDataFrame([(0, "missing.txt", "no such file", False), (1, "locked", "no permission", True)], "ord long, source string, message string, skip boolean")
+    return status.statuses(docs, listed, "target")
+
+
+_STATUS_SQL = """l as (select doc_id, max(quality) as q, max(toxic) as t from labels group by doc_id),
+r as (select d.doc_id, case when t = 1 then 'parse_error' when q = 0 then 'no_text_layer' when d.doc_id % 13 = 5 then 'unsupported_format' end as reason from documents d left join l using (doc_id)),
+s as (select 1 as part, doc_id as ord, doc_id::varchar as source, reason, case when reason is null then 'extracted' when doc_id % 2 = 0 and reason in ('unsupported_format', 'no_text_layer') then 'skipped' else 'error' end as status,
+             case when reason is null then doc_id::varchar || '.md' end as output, 'txt' as format from r
+      union all select 0, 0, 'missing.txt', 'io_error', 'error', null, null union all select 0, 1, 'locked', 'io_error', 'error', null, null),
+c as (select *, case when source = 'locked' then 'skipped' else status end as counts_as, case reason when 'no_text_layer' then 4 when 'unsupported_format' then 5 else 1 end as code from s)"""
+
+
+@query(f"""with {_STATUS_SQL}
+select count(*) filter (counts_as = 'extracted') as extracted, count(*) filter (counts_as = 'skipped') as skipped, count(*) filter (counts_as = 'error') as failed,
+  coalesce(arg_min(code, (part, ord)) filter (counts_as = 'error'), case when count(*) filter (counts_as = 'extracted') = 0 then arg_min(code, (part, ord)) filter (counts_as = 'skipped') end, 0)::int as exit_code from c""")
+def status_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return status.roll_up(_statuses(spark, folder))
+
+
+@query(f"with {_STATUS_SQL} select source, case when reason is not null then code end as exit_code from c")
+def exit_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return _statuses(spark, folder).select("source", status.exit_code(F.col("reason")).alias("exit_code"))
+
+
+@query(f"with {_STATUS_SQL} select source, output, status, reason, format, row_number() over (order by part, ord) as line from c")
+def manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    rows = _statuses(spark, folder).withColumn("line", F.row_number().over(W.orderBy("ord")).cast("long"))
+    return rows.select("source", "output", "status", "reason", "format", "line")
+
+
+@query("""
+select 'documents' as part, doc_id as ord, length(text) as chars from documents union all
+select 'conversations', conv_id * 1000 + turn, length(text) from conversations""")
+def union_order(spark: SparkSession, folder: str) -> DataFrame:
+    chars = F.length("text").cast("long").alias("chars")
+    a = table(spark, folder, "documents").select(F.lit("documents").alias("part"), F.col("doc_id").alias("ord"), chars)
+    return a.unionByName(table(spark, folder, "conversations").select(F.lit("conversations").alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), chars))
+
