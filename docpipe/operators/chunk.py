@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..functions.text import WS, content_hash, py_one_line, short_hash
 
 SIZE, OVERLAP = 800, 0
-CHUNK = (("chunk_idx", "int"), ("text", "string"), ("heading_path", "array<string>"), ("source", "string"), ("byte_range", "array<bigint>"))
+CHUNK = "chunk_idx int, text string, heading_path array<string>, source string, byte_range array<bigint>"
 _ENDS = re.compile(rf"[.!?…](?=[{WS}]|$)")
 _SPACE = re.compile(f"[{WS}]")
 
@@ -124,9 +124,7 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, source: st
     A size of 0 means the default."""
     size = size or SIZE
     key = docs.schema["doc_id"]
-    schema = StructType([key])
-    for name, kind in CHUNK:
-        schema = schema.add(name, kind)
+    schema = StructType([key, *StructType.fromDDL(CHUNK).fields])
     arrow = to_arrow_schema(schema)
     where = F.col(source).cast("string") if source else F.col("meta.source_path")
     slim = F.transform("blocks", lambda b: F.struct(b["type"].alias("type"), b["level"].alias("level"), F.when(b["type"] == "heading", b["plain"]).alias("plain"), b["md"].alias("md")))

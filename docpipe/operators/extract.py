@@ -35,9 +35,7 @@ def extract(files: DataFrame, pages: str | None = None, full: bool = False, ocr=
     chosen = formats.page_range(pages) if pages else None
     extractors = dict(formats.EXTRACTORS)
     keep = [f for f in files.schema.fields if f.name != "content"]
-    schema = StructType(keep)
-    for name, kind in (("meta", META), ("blocks", f"array<{FULL if full else SLIM}>"), ("reason", "string"), ("message", "string"), ("ocr", "boolean")):
-        schema = schema.add(name, kind)
+    schema = StructType(keep + StructType.fromDDL(f"meta {META}, blocks array<{FULL if full else SLIM}>, reason string, message string, ocr boolean").fields)
     arrow = to_arrow_schema(schema)
     rows_of = B.flat if full else B.slim
     broken = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)

@@ -42,7 +42,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query(r"""
 with p as (select conv_id, turn, list_filter(list_transform(string_split(text, chr(10) || chr(10)),
-             x -> regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), x -> x <> '') as l from conversations)
+             lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda x: x <> '') as l from conversations)
 select conv_id, turn, generate_subscripts(l, 1) - 1 as par, unnest(l) as text from p""")
 def text_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(E.paragraphs_of(F.col("text"))).alias("par", "text"))
@@ -101,7 +101,7 @@ def yaml_front_matter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""
 with l as (select doc_id, '```rust`' || chr(10) || text || chr(10) as code from documents),
-     r as (select doc_id, code, list_max(list_transform(regexp_extract_all(code, '`+'), x -> length(x))) as n from l)
+     r as (select doc_id, code, list_max(list_transform(regexp_extract_all(code, '`+'), lambda x: length(x))) as n from l)
 select doc_id, repeat('`', (greatest(n, 2) + 1)::int) || 'txt' || chr(10) || regexp_replace(code, '[{WS}]+$', '') || chr(10) || repeat('`', (greatest(n, 2) + 1)::int) as md from r""")
 def code_fence(spark: SparkSession, folder: str) -> DataFrame:
     code = F.concat(F.lit("```rust`\n"), "text", F.lit("\n"))
@@ -118,7 +118,7 @@ def chunk_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""
 with s as (select page_id, string_split('OEBPS/text/' || regexp_replace(case when page_id % 2 = 0 then '../img/./' else '' end || replace(url, 'http://', ''), '[#?].*$', ''), '/') as p from pages)
-select page_id, case when page_id % 2 = 0 then array_to_string(list_concat(['OEBPS'], list_filter(p[4:], x -> x not in ('', '.', '..'))), '/') else array_to_string(list_filter(p, x -> x not in ('', '.')), '/') end as entry from s""")
+select page_id, case when page_id % 2 = 0 then array_to_string(list_concat(['OEBPS'], list_filter(p[4:], lambda x: x not in ('', '.', '..'))), '/') else array_to_string(list_filter(p, lambda x: x not in ('', '.')), '/') end as entry from s""")
 def entry_paths(spark: SparkSession, folder: str) -> DataFrame:
     href = F.concat(F.when(F.col("page_id") % 2 == 0, "../img/./").otherwise(""), F.replace("url", F.lit("http://"), F.lit("")))
     return table(spark, folder, "pages").select("page_id", T.resolve_path(F.lit("OEBPS/text/"), href).alias("entry"))
@@ -143,7 +143,7 @@ def detect_by_extension(spark: SparkSession, folder: str) -> DataFrame:
 _LOCAL = b"PK\x03\x04" + b"\0" * 22
 _HEADS = (
     b"%PDF-1.7\n", b"{\\rtf1\\ansi", _LOCAL + b"\x13\0\0\0[Content_Types].xmlword/", _LOCAL + b"\x05\0\0\0a.xmlppt/slides", _LOCAL + b"\x05\0\0\0a.xmlxl/workbook",
-    *(_LOCAL + b"\x08\0\0\0mimetype" + m.encode() + b"PK" for m in D.MIMETYPES), _LOCAL + b"\x08\0\0\0mimetypeapplication/x-other\0word/", b"<!DOCTYPE HTML><p>", b"plain",
+    *(_LOCAL + b"\x08\0\0\0mimetype" + m.encode() + b"PK\x03\x04" for m in D.MIMETYPES), _LOCAL + b"\x08\0\0\0mimetypeapplication/x-other\0word/", b"<!DOCTYPE HTML><p>", b"plain",
 )
 _FOUND = ("pdf", "rtf", "docx", "pptx", "xlsx", "epub", "odt", "odp", "ods", None, "html", None)
 
@@ -568,9 +568,9 @@ def status_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return status.roll_up(_statuses(spark, folder))
 
 
-@query(f"with {_STATUS_SQL} select source, case when reason is not null then code end as exit_code from c")
+@query(f"with {_STATUS_SQL} select source, case when reason is not null then code::varchar end as exit_code from c")
 def exit_codes(spark: SparkSession, folder: str) -> DataFrame:
-    return _statuses(spark, folder).select("source", status.exit_code(F.col("reason")).alias("exit_code"))
+    return _statuses(spark, folder).select("source", status.exit_code(F.col("reason")).cast("string").alias("exit_code"))
 
 
 @query(f"with {_STATUS_SQL} select source, output, status, reason, format, row_number() over (order by part, ord) as line from c")

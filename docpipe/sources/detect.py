@@ -43,7 +43,7 @@ def _zip_flavour(chars: Column) -> Column:
     extra = _short(chars, 28)
     named = (_short(chars, 26) == 8) & (F.substring(chars, 31, 8) == "mimetype")
     value = F.substr(chars, F.lit(39) + extra)
-    mimetype = F.when(named, F.regexp_extract(value, "^[A-Za-z0-9.+/-]+", 0)).otherwise("")
+    mimetype = F.when(named, F.regexp_extract(value, "^([A-Za-z0-9.+/-]*?)(?:PK\x03\x04|[^A-Za-z0-9.+/-]|$)", 1)).otherwise("")
     folders = F.when(chars.contains("word/"), "docx").when(chars.contains("ppt/"), "pptx").when(chars.contains("xl/"), "xlsx")
     return F.when(mimetype != "", _lookup(mimetype, MIMETYPES)).otherwise(folders)
 
