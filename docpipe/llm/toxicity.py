@@ -1,30 +1,34 @@
 """Toxic documents by class-conditional Kneser-Ney models.
 
-Tokens are bytes of the folded text, white space as one space, so expressions of several words
-and disguised spellings are seen alike; a sequence of ORDER bytes is packed into one integer
-exactly, without hashing. The highest order has counts of its own for toxic and for ordinary
-labelled documents. What they back off to is shared: the same order counted over every document,
+A word is a sequence of bytes between two marks, and its bytes are predicted one by one from up
+to ORDER - 1 bytes before them in the word; such a sequence is packed into one integer exactly,
+without hashing. The highest order has counts of its own for toxic and for ordinary labelled
+documents. What they back off to is shared: the same order counted over every document,
 labelled or not, and below it Kneser-Ney continuation counts (in how many different contexts
 a byte occurs) over every document.
 
-  k_c(w | h) = max(n_c(hw) - D, 0) / n_c(h) + gamma_c(h) p(w | h)
-  gamma_c(h) = D * (different w seen after h in class c) / n_c(h), or 1 if h was never seen
-  p_c(w | h) = MIX k_c(w | h) + (1 - MIX) p(w | h),  p shared by both classes
+  p_c(w | h) = max(n_c(hw) - D, 0) / (n_c(h) + SHARED) + gamma_c(h) p(w | h)
+  gamma_c(h) = (D * (different w seen after h in class c) + SHARED) / (n_c(h) + SHARED)
 
-MIX keeps what a small class happens not to have seen from counting as evidence: toxic
-documents are mostly ordinary text.
+with p shared by both classes. SHARED counts are added to each class in the proportions of p:
+what a class has seen a few times, or happens not to have seen, is no evidence, and a sequence
+that both classes see rarely has the same probability in both. Toxic documents are mostly
+ordinary text, so a few words decide: a document's score
+is that of its most toxic passage, the difference of the two log-likelihoods of PASSAGE
+consecutive words over their number (a shorter text is one passage).
 
-A document's score is the difference of its two log-likelihoods over its length. Sequences
-seen in either class have their log ratio in a table; for others p cancels and the ratio
-depends on the context h alone, which has a table too. Both tables are
-computed by DataFrame joins. Scoring ships them if they have at most SHIP rows, else sequence
-counts join them; both ways give the same scores.
+Sequences seen in either class have their log ratio in a table; for others p cancels and the
+ratio depends on the context h alone, which has a table too. Both tables are computed by
+DataFrame joins. Scoring ships them if they have at most SHIP rows, else the corpus's different
+words join them; both ways give the same scores.
 
-The threshold is the one that separates the labelled documents best, by F1, when each is
-scored by the half of the labelled documents that it doesn't belong to: the counts are kept
-by halves, so both models come from the same pass as the whole one, which scores all.
+There are two models, each of one half of the labelled documents; both come from one pass,
+which counts by halves. A document's score is the mean of theirs, so that an expression counts
+in full only if both halves have it: what stands in one toxic document alone doesn't. The
+threshold is the one that separates the labelled documents best, by F1, when each is scored by
+the model of the half that it doesn't belong to.
 
-Defined results: null and empty texts have no score and are never toxic; rows with null
+Defined results: null and wordless texts have no score and are never toxic; rows with null
 doc_id, and labels that are null or contradict each other, are ignored in training, and null
 doc_ids are not reported; rows that repeat a doc_id are scored one by one and the highest
 score counts; if one class has no labelled document nothing is reported; further columns are
@@ -43,27 +47,27 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import cut, id_column
 from .kernel import HashTable, U, Words, blocks
 
-ORDER, DISCOUNT, MIX, SHIP = 6, 0.75, 0.2, 1 << 22
+ORDER, DISCOUNT, SHARED, PASSAGE, SHIP = 7, 0.75, 20.0, 2, 1 << 22
 COUNTS = ("t0", "o0", "t1", "o1", "n")
-_ONE_SPACE = bytes(32 if b < 33 else b for b in range(256))
-
-
-def sequences(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """All sequences of `order` bytes and the text of each. A text is preceded by order-1
-    spaces, so each of its bytes ends one sequence."""
-    pad = b" " * (order - 1)
-    folded = Words([pad + b" ".join(t.translate(_ONE_SPACE).split()) for t in texts])
-    data = np.where(folded.data == 10, np.uint8(32), folded.data)
-    ends = folded.base[1:] - 1
-    size = ends - folded.base[:-1] - (order - 1)
-    n = max(0, len(data) - order + 1)
-    keys = np.zeros(n, U)
-    for k in range(order):
+EDGE = 0x20  # stands before and behind each word
+
+
+def sequences(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence that ends in each byte of each word and in its closing mark, zeros in front
+    where the word has fewer bytes before; the word of each sequence; the text of each word."""
+    w = Words([b" " + t for t in texts])
+    data = w.data.copy()
+    data[w.start - 1] = EDGE
+    data[w.end] = EDGE
+    size = w.end - w.start + 1
+    word = np.repeat(np.arange(len(size)), size)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(w.start, size) + within
+    keys = np.zeros(len(at), U)
+    for back in range(order - 1, -1, -1):
         keys <<= U(8)
-        keys |= data[k : k + n]
-    doc = np.repeat(np.arange(len(texts)), np.maximum(size, 0))
-    at = np.arange(len(doc)) + np.repeat(folded.base[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-    return keys[at], doc
+        keys |= np.where(within + 1 >= back, data[at - np.minimum(back, within + 1)], 0).astype(U)
+    return keys, word, w.doc
 
 
 def _count(order: int):
@@ -84,8 +88,8 @@ def _count(order: int):
         for batch in batches:
             klass = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
             for row, texts in blocks(batch.column(0)):
-                keys, doc = sequences(texts, order)
-                own = klass[row : row + len(texts)][doc]
+                keys, word, doc = sequences(texts, order)
+                own = klass[row : row + len(texts)][doc[word]]
                 part = []
                 for c in range(-1, 4):
                     sort = np.sort(keys[own == c])
@@ -151,15 +155,15 @@ def shared_probability(grams: DataFrame, order: int, discount: float = DISCOUNT)
     return below.select(F.col("g").alias("s"), "p")
 
 
-def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, mix: float = MIX) -> DataFrame:
-    """(kind, key, r, r0, r1): kind 1 has the log ratio of a sequence, kind 0 that of the
-    backoff weights of a context; r is the whole model's, r0 and r1 those of the models
-    without half 0 and without half 1."""
+def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, shared: float = SHARED) -> DataFrame:
+    """(kind, key, r0, r1): kind 1 has the log ratio of a sequence, kind 0 that of the
+    backoff weights of a context; r0 and r1 are those of the models without half 0 and
+    without half 1."""
     context = W.partitionBy("h")
     every = grams.withColumn("h", F.shiftright("g", 8))
     every = every.withColumn("nall", F.sum("n").over(context)).withColumn("nkinds", F.count("*").over(context))
     seen = every.where(" + ".join(COUNTS[:4]) + " > 0")
-    parts = {"r": ("t0 + t1", "o0 + o1"), "r0": ("t1", "o1"), "r1": ("t0", "o0")}
+    parts = {"r0": ("t1", "o1"), "r1": ("t0", "o0")}
     own, sums = {}, {}
     for r, both in parts.items():
         for c, n in zip("to", both):
@@ -168,20 +172,20 @@ def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, mix
             sums[f"{r}{c}kinds"] = F.sum(F.when(F.expr(n) > 0, 1).otherwise(0)).over(context)
     seen = seen.withColumns(own | sums)
     gamma = {
-        f"{r}{c}g": F.when(F.col(f"{r}{c}all") > 0, discount * F.col(f"{r}{c}kinds") / F.col(f"{r}{c}all")).otherwise(1.0)
+        f"{r}{c}g": (discount * F.col(f"{r}{c}kinds") + shared) / (F.col(f"{r}{c}all") + shared)
         for r in parts for c in "to"
     }
     seen = seen.withColumns(gamma).withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)))
 
     def p(rc: str) -> Column:
-        top = F.when(F.col(f"{rc}all") > 0, F.greatest(F.col(f"{rc}n") - discount, F.lit(0.0)) / F.col(f"{rc}all")).otherwise(0.0)
-        return mix * top + (mix * F.col(f"{rc}g") + 1 - mix) * F.col("p")
+        top = F.greatest(F.col(f"{rc}n") - discount, F.lit(0.0)) / (F.col(f"{rc}all") + shared)
+        return top + F.col(f"{rc}g") * F.col("p")
 
-    shared = (F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("nkinds") * F.col("p")) / F.col("nall")
-    top = seen.join(shared_probability(grams, order, discount), "s").withColumn("p", shared).select(
+    every_p = (F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("nkinds") * F.col("p")) / F.col("nall")
+    top = seen.join(shared_probability(grams, order, discount), "s").withColumn("p", every_p).select(
         F.lit(1).alias("kind"), F.col("g").alias("key"), *(F.log(p(f"{r}t") / p(f"{r}o")).alias(r) for r in parts)
     )
-    contexts = seen.groupBy("h").agg(*(F.first(F.log((mix * F.col(f"{r}tg") + 1 - mix) / (mix * F.col(f"{r}og") + 1 - mix))).alias(r) for r in parts))
+    contexts = seen.groupBy("h").agg(*(F.first(F.log(F.col(f"{r}tg") / F.col(f"{r}og"))).alias(r) for r in parts))
     return top.union(contexts.select(F.lit(0), F.col("h"), *parts))
 
 
@@ -193,30 +197,50 @@ class Tables:
         self.top, self.top_ratio = HashTable(key[top].view(U)), np.concatenate([table[top], none])
         self.context, self.context_ratio = HashTable(key[~top].view(U)), np.concatenate([table[~top], none])
 
-    def score(self, texts: list[bytes], order: int, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of log ratios, by all and by the model without the text's half; bytes."""
-        keys, doc = sequences(texts, order)
+    def score(self, texts: list[bytes], order: int, half: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The mean score of both models, that of the model without the text's half, and the
+        number of words."""
+        keys, word, doc = sequences(texts, order)
         place = self.top.find(keys)
-        column = 1 + half[doc]
-        value, held = self.top_ratio[place, 0], self.top_ratio[place, column]
+        value = self.top_ratio[place]
         unseen = np.flatnonzero(place < 0)
-        at = self.context.find(keys[unseen] >> U(8))
-        value[unseen], held[unseen] = self.context_ratio[at, 0], self.context_ratio[at, column[unseen]]
-        return np.bincount(doc, value, len(texts)), np.bincount(doc, held, len(texts)), np.bincount(doc, minlength=len(texts))
+        value[unseen] = self.context_ratio[self.context.find(keys[unseen] >> U(8))]
+        n = np.bincount(doc, minlength=len(texts))
+        both = [passages(np.bincount(word, value[:, k], len(doc)), n, passage) for k in (0, 1)]
+        return (both[0] + both[1]) / 2, np.where(half == 0, *both), n
+
+
+def passages(value: np.ndarray, n: np.ndarray, passage: int) -> np.ndarray:
+    """Of texts of n words each, the largest mean of `passage` consecutive words, or the mean of
+    a shorter text; 0 for one without words."""
+    sums = np.concatenate([[0.0], np.cumsum(value)])
+    out = np.zeros(len(n))
+    first = np.cumsum(n) - n
+    short = np.flatnonzero((n > 0) & (n < passage))
+    out[short] = (sums[first[short] + n[short]] - sums[first[short]]) / n[short]
+    long = np.flatnonzero(n >= passage)
+    if len(long):
+        means = (sums[passage:] - sums[:-passage]) / passage
+        ends = first[long] + n[long] - passage + 1
+        # Windows that run into the next text lie between a text's last window and the next's first.
+        bounds = np.stack([first[long], np.minimum(ends, len(means))], 1).reshape(-1)
+        padded = np.append(means, -np.inf)
+        out[long] = np.maximum.reduceat(padded, bounds)[::2]
+    return out
 
 
 _tables: dict[str, Tables] = {}
-SCORES = "doc_id long, score double, held_score double, n_bytes long"
+SCORES = "doc_id long, score double, held_score double, n_words long"
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHIP) -> DataFrame:
-    """SCORES for every row with a doc_id and a text that isn't blank."""
+def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHIP, passage: int = PASSAGE) -> DataFrame:
+    """SCORES for every row with a doc_id and a text with words."""
     texts = docs.select(id_column(docs), docs["text"].cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts = texts.withColumn("half", _half("doc_id"))
     if model.count() > ship:
-        return _score_joined(texts, model, order)
+        return _score_joined(texts, model, order, passage)
     table = model.toArrow()  # SHIP rows at most
-    shipped = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("kind", "key", "r", "r0", "r1")))
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("kind", "key", "r0", "r1")))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,39 +250,51 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHI
         for batch in batches:
             half = batch.column(2).to_numpy()
             for row, part in blocks(batch.column(1)):
-                total, held, n = _tables[name].score(part, order, half[row : row + len(part)])
+                mean, held, n = _tables[name].score(part, order, half[row : row + len(part)], passage)
                 some = np.flatnonzero(n)
                 yield pa.record_batch(
-                    [batch.column(0).slice(row, len(part)).take(pa.array(some)), pa.array(total[some] / n[some]), pa.array(held[some] / n[some]), pa.array(n[some])],
-                    ["doc_id", "score", "held_score", "n_bytes"],
+                    [batch.column(0).slice(row, len(part)).take(pa.array(some)), pa.array(mean[some]), pa.array(held[some]), pa.array(n[some])],
+                    ["doc_id", "score", "held_score", "n_words"],
                 )
 
     return texts.mapInArrow(run, SCORES)
 
 
-def _score_joined(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """For tables too large to ship: each document's different sequences join them."""
+def _score_joined(texts: DataFrame, model: DataFrame, order: int, passage: int) -> DataFrame:
+    """For tables too large to ship: the different words of the corpus are scored by joins, then
+    join their places in the texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, part in blocks(batch.column(1)):
-                keys, doc = sequences(part, order)
-                (d, g), n = np.unique(np.stack([doc.astype(np.int64), keys.view(np.int64)]), axis=1, return_counts=True)
-                rows = pa.array(d + row)
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(3).take(rows), pa.array(g), pa.array(n)], ["doc_id", "r", "g", "n"])
+                w = Words([b" " + t for t in part])
+                words = [w.data[a:b].tobytes() for a, b in zip(w.start, w.end)]
+                rows = pa.array(w.doc + row)
+                at = np.arange(len(words)) - w.first[w.doc]
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(3).take(rows), pa.array(at), pa.array(words, pa.binary())], ["doc_id", "r", "at", "word"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, word, _ = sequences(batch.column(0).to_pylist(), order)
+            yield pa.record_batch([batch.column(0).take(pa.array(word)), pa.array(keys.view(np.int64))], ["word", "g"])
 
     # Rows that repeat a doc_id stay apart by the hash of their text.
-    rows = texts.withColumn("r", F.xxhash64("text")).distinct()
-    grams = rows.mapInArrow(run, "doc_id long, r long, g long, n long").withColumn("h", F.shiftright("g", 8))
-    held = F.when(_half("doc_id") == 0, F.col("r0")).otherwise(F.col("r1"))
+    placed = texts.withColumn("r", F.xxhash64("text")).dropDuplicates(["doc_id", "r"]).mapInArrow(places, "doc_id long, r long, at long, word binary")
+    grams = placed.select("word").distinct().mapInArrow(spelled, "word binary, g long").withColumn("h", F.shiftright("g", 8))
     tables = {}
     for kind, key in ((1, "g"), (0, "h")):
-        tables[key] = model.where(f"kind = {kind}").select(F.col("key").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("r", "r0", "r1")))
+        tables[key] = model.where(f"kind = {kind}").select(F.col("key").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("r0", "r1")))
     joined = grams.join(tables["g"], "g", "left").join(tables["h"], "h", "left")
-    value = {c: F.coalesce(f"g_{c}", f"h_{c}", F.lit(0.0)) * F.col("n") for c in ("r", "r0", "r1")}
-    held = F.when(_half("doc_id") == 0, value["r0"]).otherwise(value["r1"])
-    n = F.sum("n")
-    return joined.groupBy("doc_id", "r").agg((F.sum(value["r"]) / n).alias("score"), (F.sum(held) / n).alias("held_score"), n.alias("n_bytes")).drop("r")
+    value = {c: F.coalesce(f"g_{c}", f"h_{c}", F.lit(0.0)) for c in ("r0", "r1")}
+    words = joined.groupBy("word").agg(*(F.sum(v).alias(f"v{c}") for c, v in value.items()))
+    own = W.partitionBy("doc_id", "r")
+    window = own.orderBy("at").rowsBetween(0, passage - 1)
+    seen = placed.join(words, "word").withColumn("n", F.count("*").over(own))
+    seen = seen.withColumns({k: F.avg(f"v{k}").over(window) for k in ("r0", "r1")})
+    whole = seen.where(F.col("at") <= F.greatest(F.lit(0), F.col("n") - passage))
+    best = whole.groupBy("doc_id", "r").agg(F.max("r0").alias("r0"), F.max("r1").alias("r1"), F.max("n").alias("n_words"))
+    held = F.when(_half("doc_id") == 0, F.col("r0")).otherwise(F.col("r1"))
+    return best.select("doc_id", ((F.col("r0") + F.col("r1")) / 2).alias("score"), held.alias("held_score"), "n_words")
 
 
 def threshold(scores: DataFrame, labels: DataFrame) -> float:
@@ -281,13 +317,13 @@ def threshold(scores: DataFrame, labels: DataFrame) -> float:
     return cut_at
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, score, n_bytes) of the documents found toxic; score is in nats a byte."""
+def toxic_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, shared: float = SHARED, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, score, n_words) of the documents found toxic; score is in nats a word."""
     grams = cut(count(docs, labels, order))
     classes = grams.agg(F.sum(F.expr("t0 + t1")), F.sum(F.expr("o0 + o1"))).first()
     if not (classes[0] and classes[1]):
-        return docs.sparkSession.createDataFrame([], "doc_id long, score double, n_bytes long")
-    scores = cut(score(docs, cut(ratios(grams, order)), order))
+        return docs.sparkSession.createDataFrame([], "doc_id long, score double, n_words long")
+    scores = cut(score(docs, cut(ratios(grams, order, shared=shared)), order, passage=passage))
     return scores.where(F.col("score") >= threshold(scores, labels)).groupBy("doc_id").agg(
-        F.max("score").alias("score"), F.max_by("n_bytes", "score").alias("n_bytes")
+        F.max("score").alias("score"), F.max_by("n_words", "score").alias("n_words")
     )
