@@ -17,7 +17,9 @@ ordinary text, so a few words decide: a document's score
 is that of its most toxic passage, the difference of the two log-likelihoods of PASSAGE
 consecutive words over their number (a shorter text is one passage).
 
-Sequences seen in either class have their log ratio in a table; for others p cancels and the
+The classes are counted over at most about MAX_LABELLED labelled documents, drawn by a hash of
+doc_id; so the labels can be sent to every task, and no text is shuffled. The shared counts are
+those of all documents. Sequences seen in either class have their log ratio in a table; for others p cancels and the
 ratio depends on the context h alone, which has a table too. Both tables are computed by
 DataFrame joins. Scoring ships them if they have at most SHIP rows, else the corpus's different
 words join them; both ways give the same scores.
@@ -48,6 +50,7 @@ from .common import cut, id_column
 from .kernel import HashTable, U, Words, blocks
 
 ORDER, DISCOUNT, SHARED, PASSAGE, SHIP = 7, 0.75, 20.0, 2, 1 << 22
+MAX_LABELLED = 200_000
 COUNTS = ("t0", "o0", "t1", "o1", "n")
 EDGE = 0x20  # stands before and behind each word
 
@@ -116,16 +119,19 @@ def _half(doc_id: str | Column) -> Column:
     return F.xxhash64(doc_id).bitwiseAND(F.lit(1)).cast("int")
 
 
-def count(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
+def count(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(g, and COUNTS: toxic and ordinary in each half, and all) for every sequence of the corpus."""
-    known = (
+    known = cut(
         labels.select(id_column(labels), labels["toxic"].cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1)")
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .where("toxic = most").select("doc_id", (2 * _half("doc_id") + 1 - F.col("toxic")).cast("int").alias("class"))
     )
+    n = known.count()
+    if n > max_labelled:
+        known = known.where(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 32)) < int((1 << 32) * max_labelled / n))
     texts = docs.select(id_column(docs), docs["text"].cast("string").alias("text")).where("text is not null")
-    labelled = texts.join(known, "doc_id", "left").select("text", "class")
+    labelled = texts.join(F.broadcast(known), "doc_id", "left").select("text", "class")
     counted = labelled.mapInArrow(_count(order), ", ".join(["g long", *(f"{c} long" for c in COUNTS)]))
     return counted.groupBy("g").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
