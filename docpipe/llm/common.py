@@ -47,6 +47,14 @@ def id_column(df: DataFrame, name: str = "doc_id") -> Column:
     return df[name].cast("long").alias(name)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); the component is its smallest node.
 
