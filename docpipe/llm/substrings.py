@@ -94,8 +94,29 @@ def _marks(min_words: int, gram: int):
     return run
 
 
+def _leaders(min_words: int):
+    """(mark, leader) of the marks of each text: marks at most min_words apart are of one
+    stretch, and the least of them leads it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, marks = (batch.column(k) for k in range(2))
+            edge = np.concatenate([[0], np.cumsum(marks.value_lengths().to_numpy(zero_copy_only=False))])
+            word, mark = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, marks))
+            if not len(mark):
+                continue
+            new = np.append(True, np.diff(word) > min_words)
+            new[edge[:-1][edge[:-1] < len(mark)]] = True
+            head = np.flatnonzero(new)
+            least = np.repeat(np.minimum.reduceat(mark, head), np.diff(np.append(head, len(mark))))
+            pairs = np.unique(np.stack([mark, least]), axis=1)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["mark", "leader"])
+
+    return run
+
+
 def _cutter(min_words: int, gram: int):
-    """Texts with their sorted marks to stretches of text, each with a mark of its own."""
+    """Texts with their sorted marks to stretches of text, each with its leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +135,7 @@ def _cutter(min_words: int, gram: int):
                             continue
                         a = w.start[w.first[k] + begin] - w.base[k]
                         b = w.end[w.first[k] + end - 1] - w.base[k]
-                        for column, value in zip(out, (batch.column(0)[row + k].as_py(), batch.column(1)[row + k].as_py(), int(a), text[a:b], mark[low], int(end - begin))):
+                        for column, value in zip(out, (batch.column(0)[row + k].as_py(), batch.column(1)[row + k].as_py(), int(a), text[a:b], min(mark[low:high]), int(end - begin))):
                             column.append(value)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(x if t != pa.string() else [b.decode("utf-8", "replace") for b in x], t) for x, t in zip(out, types)], ["doc_id", "text_hash", "begin", "text", "mark", "n"])
@@ -237,14 +258,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None
         several.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("word", "mark"))).alias("m"))
         .select("doc_id", "text_hash", F.col("m.word").alias("word"), F.col("m.mark").alias("mark"))
     )
-    # Nodes are marks; marks of one stretch are joined.
-    size = F.size("word")
-    links = by_text.where(size > 1).select(
-        F.explode(F.arrays_zip(
-            F.slice("mark", 1, size - 1).alias("a"), F.slice("mark", 2, size - 1).alias("b"),
-            F.slice("word", 1, size - 1).alias("x"), F.slice("word", 2, size - 1).alias("y"),
-        )).alias("e")
-    ).select("e.*").where(F.col("y") - F.col("x") <= min_words).select("a", "b").distinct()
+    # Stretches that share a mark belong together: their leaders are joined to the least of them,
+    # so the graph has a node for each different stretch and copies add nothing to it.
+    pairs = by_text.select("word", "mark").mapInArrow(_leaders(min_words), "mark long, leader long").repartition("mark").distinct()
+    links = pairs.withColumn("a", F.min("leader").over(own)).where("leader <> a").select("a", F.col("leader").alias("b")).distinct()
     parts = connected_components(links)
     stretches = (
         texts.join(by_text.withColumnRenamed("word", "words").withColumnRenamed("mark", "marks"), ["doc_id", "text_hash"])
