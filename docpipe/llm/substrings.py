@@ -23,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import connected_components, cut, id_column, scratch_root
+from .common import connected_components, cut, id_column, scratch_root, unused
 from .kernel import Words, blocks, signed, windows
-from .suffix import Scratch, evens, suffix_array
+from .suffix import Scratch, suffix_array
 
 MIN_WORDS, GRAM = 50, 25
-SHARD_WORDS, SORT_MEMORY = 1_500_000, 1 << 22
+SHARD_WORDS, SORT_MEMORY = 1_000_000, 1 << 21
 SPANS = "doc_id long, text_hash long, start long, stop long, n_words long, first_doc_id long"
 
 
@@ -144,7 +145,8 @@ def _cutter(min_words: int, gram: int):
 
 
 class Shard:
-    """Stretches of text on disk, sorted into repeated spans."""
+    """Stretches of text on disk, sorted into repeated spans. A stretch that repeats another
+    whole isn't sorted again: all of it is a later occurrence of what the first one starts with."""
 
     def __init__(self, scratch: Scratch):
         self.scratch = scratch
@@ -152,8 +154,18 @@ class Shard:
         self.out = open(self.hash_file, "wb")
         self.places = open(scratch.file(), "w+b")
         self.first, self.doc, self.text, self.vocabulary = [0], [], [], np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}  # digest of a stretch to its region
+        self.copies: list[tuple[int, ...]] = []  # region, doc, text, start, stop
 
     def add(self, doc: list[int], text_hash: list[int], begin: list[int], texts: list[bytes]) -> None:
+        new = []
+        for k, t in enumerate(texts):
+            region = self.known.setdefault(xxhash.xxh3_128_digest(t), len(self.doc) + len(new))
+            if region == len(self.doc) + len(new):
+                new.append(k)
+            else:
+                self.copies.append((region, doc[k], text_hash[k], begin[k], begin[k] + len(t)))
+        doc, text_hash, begin, texts = ([x[k] for k in new] for x in (doc, text_hash, begin, texts))
         w = Words(texts, space=True, fold=False)
         h = w.hashes()
         self.out.write(h)
@@ -207,6 +219,12 @@ class Shard:
         scratch.drop(sa)
         scratch.drop(lcp)
         begins = np.concatenate([np.flatnonzero(source[row : row + step]) + row for row in range(0, n, step)])
+        doc, text = np.array(self.doc, np.int64), np.array(self.text, np.int64)
+        if self.copies:
+            region, *columns = np.array(self.copies, np.int64).T
+            before = np.asarray(source[first[region]])
+            before = np.where(before > 0, np.searchsorted(first, np.maximum(before - 1, 0), "right") - 1, region)
+            yield pa.record_batch([*map(pa.array, columns), pa.array(np.diff(first)[region]), pa.array(doc[before])], [x.split()[0] for x in SPANS.split(", ")])
         if not len(begins):
             return
         region = np.searchsorted(first, begins, "right") - 1
@@ -215,7 +233,6 @@ class Shard:
         last = np.append(head[1:], len(begins)) - 1
         low, high, region = begins[head], begins[last] + min_words, region[head]
         origin = np.searchsorted(first, np.asarray(source[low]) - 1, "right") - 1
-        doc, text = np.array(self.doc, np.int64), np.array(self.text, np.int64)
         for row in range(0, len(low), 50_000):
             part = slice(row, row + 50_000)
             yield pa.record_batch(
@@ -286,16 +303,14 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the later occurrences of repeated passages. A document of which
     no word is left goes, since all of it stands elsewhere; documents that had none stay, and
     so do rows with a null doc_id. n_chars, where there is one, follows the new text."""
-    spans = repeated_spans(docs, min_words).groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans")
-    )
-    spans = cut(spans)
-    keyed = docs.withColumn("__hash", F.xxhash64(docs["text"].cast("string")))
-    changed = keyed.join(spans, (keyed["doc_id"].cast("long") == spans["doc_id"]) & (keyed["__hash"] == spans["text_hash"]), "left").select(
-        keyed["*"], spans["__spans"]
+    own, key = unused(docs, "__spans"), unused(docs, "__hash")
+    spans = cut(repeated_spans(docs, min_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(own)))
+    keyed = docs.withColumn(key, F.xxhash64(docs["text"].cast("string")))
+    changed = keyed.join(spans, (keyed["doc_id"].cast("long") == spans["doc_id"]) & (keyed[key] == spans["text_hash"]), "left").select(
+        *(keyed[c] for c in docs.columns), spans[own]
     )
-    untouched = F.col("__spans").isNull()
-    new = _cut_text(F.col("text"), F.col("__spans"))
+    untouched = F.col(own).isNull()
+    new = _cut_text(F.col("text"), F.col(own))
     result = changed.withColumn("text", F.when(untouched, F.col("text")).otherwise(new))
     result = result.where(untouched | (F.trim(F.regexp_replace("text", r"[\s]+", " ")) != ""))
     if "n_chars" in docs.columns:

@@ -45,7 +45,7 @@ class Scratch:
         return f"{self.path}/{self.count}"
 
     def drop(self, array: np.ndarray) -> None:
-        if isinstance(array, np.memmap) and os.path.exists(array.filename):
+        if isinstance(array, np.memmap) and array.filename and os.path.exists(array.filename):
             os.unlink(array.filename)
 
     def close(self) -> None:
@@ -164,9 +164,9 @@ def _induce(text: np.ndarray, n_symbols: int, seeds: np.ndarray, seed_lcp: np.nd
     """Fills sa and lcp (of the text with its sentinel, which is symbol 0 at the end) from
     the seeds, which come by symbol and, within a symbol, in order."""
     starts = np.concatenate([[0], np.cumsum(counts)])
-    of_seed = np.searchsorted(np.asarray(text[seeds]) if len(seeds) else np.zeros(0), np.arange(n_symbols + 1))
-    n_left = np.zeros(n_symbols, np.int64)
     step = max(1024, scratch.memory)
+    of_seed = np.concatenate([[0], np.cumsum(_symbol_counts(text, seeds, n_symbols, step))])
+    n_left = np.zeros(n_symbols, np.int64)
 
     def between(left: int, right: int) -> int:
         return min(_run(text, left, depth), _run(text, right, depth), depth)
@@ -238,11 +238,35 @@ def _induce(text: np.ndarray, n_symbols: int, seeds: np.ndarray, seed_lcp: np.nd
     sa[0], lcp[0] = len(text) - 1, 0
 
 
+def _symbol_counts(text: np.ndarray, at: np.ndarray, n_symbols: int, step: int) -> np.ndarray:
+    counts = np.zeros(n_symbols, np.int64)
+    for row in range(0, len(at), step):
+        counts += np.bincount(text[at[row : row + step]], minlength=n_symbols)
+    return counts
+
+
+def _by_symbol(text: np.ndarray, at: np.ndarray, n_symbols: int, scratch: Scratch) -> np.ndarray:
+    """The positions in a file, ordered by their symbol and, within it, as they come."""
+    step = max(1024, scratch.memory)
+    counts = _symbol_counts(text, at, n_symbols, step)
+    upto = np.cumsum(counts) - counts
+    out = scratch.array(len(at), np.int64)
+    for row in range(0, len(at), step):
+        own = np.asarray(at[row : row + step])
+        symbols = np.asarray(text[own])
+        order = np.argsort(symbols, kind="stable")
+        own, symbols = own[order], symbols[order]
+        here = np.bincount(symbols, minlength=n_symbols)
+        out[upto[symbols] + np.arange(len(own)) - (np.cumsum(here) - here)[symbols]] = own
+        upto += here
+    return out
+
+
 def _seed_positions(text: np.ndarray, scratch: Scratch) -> np.ndarray:
     """Positions of the leftmost of each ascent (the sentinel's is the last), in a file."""
     n = len(text)
-    found: list[np.ndarray] = []
-    rising, first = True, 0  # the type and symbol of the suffix right of the block
+    parts: list[tuple[str, int]] = []
+    rising = True  # the type of the suffix right of the block
     for high in range(n - 1, 0, -scratch.memory):
         low = max(0, high - scratch.memory)
         part = np.asarray(text[low : high + 1]).astype(np.int64)
@@ -251,13 +275,17 @@ def _seed_positions(text: np.ndarray, scratch: Scratch) -> np.ndarray:
         k = np.minimum.accumulate(k[::-1])[::-1]
         up = np.append(sign > 0, rising)[k]
         types = np.append(up, rising)  # of low .. high
-        found.append(np.flatnonzero(types[1:] & ~types[:-1]) + low + 1)
+        found = np.flatnonzero(types[1:] & ~types[:-1]) + low + 1
+        name = scratch.file()
+        found.astype(np.int64).tofile(name)
+        parts.append((name, len(found)))
         rising = bool(types[0])
-    out = scratch.array(sum(map(len, found)), np.int64)
+    out = scratch.array(sum(k for _, k in parts), np.int64)
     at = 0
-    for part in reversed(found):
-        out[at : at + len(part)] = part
-        at += len(part)
+    for name, k in reversed(parts):
+        out[at : at + k] = np.fromfile(name, np.int64)
+        os.unlink(name)
+        at += k
     return out
 
 
@@ -314,56 +342,66 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int, scratch: Scratch)
         counts += np.bincount(text[row : row + scratch.memory], minlength=n_symbols)
     places = _seed_positions(text, scratch)
     m = len(places)
+    step = max(1024, scratch.memory)
+    places_sorted, prefix = places, scratch.array(m, np.int32)
     if m > 1:
         # Sort the seeds' substrings (to the next seed) by one induction, then name them.
-        by_symbol = np.argsort(text[places], kind="stable")
-        _induce(text, n_symbols, places[by_symbol], np.zeros(m, np.int32), counts, sa, lcp, 1, scratch)
-        seeds = scratch.array(m, np.int64)
+        seeds = _by_symbol(text, places, n_symbols, scratch)
+        _induce(text, n_symbols, seeds, prefix, counts, sa, lcp, 1, scratch)
         filled = 0
-        for row in range(0, n, scratch.memory):
-            part = np.asarray(sa[row : row + scratch.memory])
-            k = np.searchsorted(places, part)
-            hit = places[np.minimum(k, m - 1)] == part
-            seeds[filled : filled + hit.sum()] = k[hit]
-            filled += hit.sum()
-        seeds = np.asarray(seeds)
-        at, end = places[seeds], places[np.minimum(seeds + 1, m - 1)]
-        size = end - at + 1
-        equal = np.zeros(m, bool)
-        same = np.flatnonzero(size[1:] == size[:-1]) + 1
-        equal[same] = _common(text, at[same], at[same - 1], np.zeros(len(same), np.int32), n) >= size[same] if len(same) < 64 else _equal(text, at[same], at[same - 1], size[same])
-        names = np.empty(m, np.int64)
-        names[seeds] = np.cumsum(~equal)
-        if names.max() < m:
+        for row in range(0, n, step):
+            part = np.asarray(sa[row : row + step])
+            k = np.minimum(np.searchsorted(places, part), m - 1)
+            k = k[places[k] == part]
+            seeds[filled : filled + len(k)] = k
+            filled += len(k)
+        names, last = scratch.array(m, np.int64), 0
+        for row in range(0, m, step):
+            own = np.asarray(seeds[max(0, row - 1) : row + step])
+            at = places[own]
+            size = places[np.minimum(own + 1, m - 1)] - at + 1
+            new = np.ones(len(own), bool)
+            same = np.flatnonzero(size[1:] == size[:-1]) + 1
+            new[same] = ~_equal(text, at[same], at[same - 1], size[same])
+            skip = int(row > 0)  # the one before the block is there to compare with only
+            named = np.cumsum(new[skip:]) + last
+            names[own[skip:]] = named
+            last = int(named[-1])
+        if last < m:
             if m <= scratch.memory:
-                order, agree = _double(names, depth)
+                order, agree = _double(np.asarray(names), depth)
                 agree = np.append(0, agree).astype(np.int64)
             else:
-                digits = int(np.sqrt(names.max())) + 1
+                digits = int(np.sqrt(last)) + 1
                 small = scratch.array(2 * m + 1, np.int32)
-                small[0 : 2 * m : 2], small[1 : 2 * m : 2] = names // digits + 1, names % digits + 1
+                for row in range(0, m, step):
+                    own = np.asarray(names[row : row + step])
+                    small[2 * row : 2 * (row + len(own)) : 2] = own // digits + 1
+                    small[2 * row + 1 : 2 * (row + len(own)) : 2] = own % digits + 1
                 small[2 * m] = 0
                 inner, prefixes = suffix_array(small, digits + 2, 2 * depth, scratch)
-                order, agree = evens(inner, prefixes)
-                order, agree = order // 2, agree // 2
+                order, agree = evens(inner, prefixes, scratch)
                 for x in (small, inner, prefixes):
                     scratch.drop(x)
-            # Names that agree cover the text from one seed to another; compare on from there.
-            # The last name covers nothing: the sentinel is the seed that it names.
-            past = np.minimum(order + agree, m - 1)
-            have = places[past] - places[order]
-            have[0] = 0
-            places_sorted = places[order]
-            prefix = np.zeros(m, np.int32)
-            prefix[1:] = _common(text, places_sorted[1:], places_sorted[:-1], have[1:], depth)
         else:
-            places_sorted = at
-            prefix = np.zeros(m, np.int32)
-            prefix[1:] = _common(text, at[1:], at[:-1], np.zeros(m - 1, np.int32), depth)
-    else:
-        places_sorted, prefix = np.asarray(places), np.zeros(m, np.int32)
+            order, agree = np.asarray(seeds), None
+        # Names that agree cover the text from one seed to another; compare on from there.
+        # The last name covers nothing: the sentinel is the seed that it names.
+        places_sorted = scratch.array(m, np.int64)
+        for row in range(0, m, step):
+            own = np.asarray(order[max(0, row - 1) : row + step])
+            at = places[own]
+            places_sorted[max(0, row - 1) : row + step] = at
+            have = np.zeros(len(own), np.int64)
+            if agree is not None:
+                have = places[np.minimum(own + agree[max(0, row - 1) : row + step], m - 1)] - at
+            prefix[max(1, row) : row + step] = _common(text, at[1:], at[:-1], have[1:], depth)
+        prefix[0] = 0
+        for x in (names, seeds, order, agree):
+            scratch.drop(x)
     _induce(text, n_symbols, places_sorted, prefix, counts, sa, lcp, depth, scratch)
-    scratch.drop(places)
+    for x in {id(x): x for x in (places, places_sorted, prefix)}.values():
+        scratch.drop(x)
     return sa, lcp
 
 
@@ -380,13 +418,23 @@ def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return out
 
 
-def evens(sa: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The even positions of a suffix array, without the sentinel, and their common prefixes."""
-    sa, lcp = np.asarray(sa), np.asarray(lcp)
-    keep = np.flatnonzero((sa % 2 == 0) & (sa < len(sa) - 1))
-    if not len(keep):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # The least prefix since the kept suffix before.
-    least = np.minimum.reduceat(lcp, np.append(0, keep[:-1] + 1))
-    least[-1] = lcp[(keep[-2] + 1 if len(keep) > 1 else 0) : keep[-1] + 1].min()
-    return sa[keep], least.astype(np.int64)
+def evens(sa: np.ndarray, lcp: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Halves of the even positions of a suffix array, without the sentinel, and of their common
+    prefixes, in files."""
+    n = len(sa) // 2
+    order, agree = scratch.array(n, np.int64), scratch.array(n, np.int64)
+    filled, least = 0, np.iinfo(np.int32).max  # the least prefix since the last kept suffix
+    for row in range(0, len(sa), max(1024, scratch.memory)):
+        part, own = np.asarray(sa[row : row + max(1024, scratch.memory)]), np.array(lcp[row : row + max(1024, scratch.memory)])
+        keep = np.flatnonzero((part % 2 == 0) & (part < len(sa) - 1))
+        if not len(keep):
+            least = min(least, int(own.min()))
+            continue
+        first = np.minimum.reduceat(own, np.append(0, keep[:-1] + 1))
+        first[-1] = own[(keep[-2] + 1 if len(keep) > 1 else 0) : keep[-1] + 1].min()
+        first[0] = min(first[0], least)
+        rest = own[keep[-1] + 1 :]
+        least = int(rest.min()) if len(rest) else np.iinfo(np.int32).max
+        order[filled : filled + len(keep)], agree[filled : filled + len(keep)] = part[keep] // 2, first // 2
+        filled += len(keep)
+    return order, agree
