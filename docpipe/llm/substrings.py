@@ -31,7 +31,7 @@ from .kernel import Words, blocks, signed, windows
 from .suffix import Scratch, suffix_array
 
 MIN_WORDS, GRAM = 50, 25
-SHARD_WORDS, SORT_MEMORY = 1_000_000, 1 << 21
+SHARD_WORDS, SORT_MEMORY, FILTER_BITS = 1_000_000, 1 << 21, 1 << 26
 SPANS = "doc_id long, text_hash long, start long, stop long, n_words long, first_doc_id long"
 
 
@@ -70,7 +70,7 @@ def _marks(min_words: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = min_words - gram + 1
         for batch in batches:
-            ids, texts_hash = batch.column(0), batch.column(2)
+            keys = batch.column(0)
             for row, texts in blocks(batch.column(1)):
                 w = Words(texts, space=True, fold=False)
                 grams = windows(w.hashes(), gram)
@@ -83,27 +83,46 @@ def _marks(min_words: int, gram: int):
                 at = _winnow(grams, size)
                 at = at[grams[at] != np.uint64(0xFFFFFFFFFFFFFFFF)]
                 doc = w.doc[at]
-                take = pa.array(doc)
                 yield pa.record_batch(
-                    [
-                        ids.slice(row, len(texts)).take(take), texts_hash.slice(row, len(texts)).take(take),
-                        pa.array(signed(grams[at])), pa.array((at - w.first[doc]).astype(np.int32)),
-                    ],
-                    ["doc_id", "text_hash", "mark", "word"],
+                    [keys.slice(row, len(texts)).take(pa.array(doc)), pa.array(signed(grams[at])), pa.array((at - w.first[doc]).astype(np.int32))],
+                    ["key", "mark", "word"],
                 )
 
     return run
 
 
+def _stretches(min_words: int):
+    """(key, leader, low, high): marks of a text at most min_words apart are of one stretch, and
+    the least of them leads it; low and high are the words of its first and last mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            edge = np.concatenate([[0], np.cumsum(size)])
+            word, mark = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+            if not len(mark):
+                continue
+            new = np.append(True, np.diff(word) > min_words)
+            new[edge[:-1][edge[:-1] < len(mark)]] = True
+            head = np.flatnonzero(new)
+            last = np.append(head[1:], len(mark)) - 1
+            text = np.repeat(np.arange(len(size)), size)[head]
+            yield pa.record_batch(
+                [batch.column(0).take(pa.array(text)), pa.array(np.minimum.reduceat(mark, head)), pa.array(word[head].astype(np.int32)), pa.array(word[last].astype(np.int32))],
+                ["key", "leader", "low", "high"],
+            )
+
+    return run
+
+
 def _leaders(min_words: int):
-    """(mark, leader) of the marks of each text: marks at most min_words apart are of one
-    stretch, and the least of them leads it."""
+    """(mark, leader) for the marks of each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, marks = (batch.column(k) for k in range(2))
-            edge = np.concatenate([[0], np.cumsum(marks.value_lengths().to_numpy(zero_copy_only=False))])
-            word, mark = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, marks))
+            size = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            edge = np.concatenate([[0], np.cumsum(size)])
+            word, mark = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             if not len(mark):
                 continue
             new = np.append(True, np.diff(word) > min_words)
@@ -117,29 +136,26 @@ def _leaders(min_words: int):
 
 
 def _cutter(min_words: int, gram: int):
-    """Texts with their sorted marks to stretches of text, each with its leader."""
+    """Texts (doc_id, text, text_hash, stretches) to their stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in blocks(batch.column(2)):
+            for row, texts in blocks(batch.column(1)):
                 w = Words(texts, space=True, fold=False)
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(5)]
                 for k, text in enumerate(texts):
-                    word = np.array(batch.column(3)[row + k].as_py(), np.int64)
-                    mark = batch.column(4)[row + k].as_py()
                     n = w.first[k + 1] - w.first[k]
-                    cuts = np.flatnonzero(np.diff(word) > min_words) + 1
-                    for low, high in zip(np.append(0, cuts), np.append(cuts, len(word))):
-                        begin = max(0, word[low] - (min_words - gram))
-                        end = min(n, word[high - 1] + min_words)
+                    for s in batch.column(3)[row + k].as_py():
+                        begin, end = max(0, s["low"] - (min_words - gram)), min(n, s["high"] + min_words)
                         if end - begin < min_words:
                             continue
                         a = w.start[w.first[k] + begin] - w.base[k]
                         b = w.end[w.first[k] + end - 1] - w.base[k]
-                        for column, value in zip(out, (batch.column(0)[row + k].as_py(), batch.column(1)[row + k].as_py(), int(a), text[a:b], min(mark[low:high]), int(end - begin))):
+                        for column, value in zip(out, (batch.column(0)[row + k].as_py(), batch.column(2)[row + k].as_py(), int(a), text[a:b], s["component"])):
                             column.append(value)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                yield pa.record_batch([pa.array(x if t != pa.string() else [b.decode("utf-8", "replace") for b in x], t) for x, t in zip(out, types)], ["doc_id", "text_hash", "begin", "text", "mark", "n"])
+                if out[0]:
+                    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types)], ["doc_id", "text_hash", "begin", "text", "component"])
 
     return run
 
@@ -171,7 +187,7 @@ class Shard:
         self.out.write(h)
         self.vocabulary = np.union1d(self.vocabulary, h)
         offset = np.array(begin, np.int64)[w.doc] - w.base[w.doc]
-        self.places.write(np.stack([w.start + offset, w.end + offset], 1).astype(np.int64))
+        self.places.write(np.stack([w.start + offset, w.end + offset], 1).astype(np.int32))
         self.first += (w.first[1:] + self.n).tolist()
         self.doc += doc
         self.text += text_hash
@@ -184,7 +200,7 @@ class Shard:
             return
         scratch, n = self.scratch, self.n
         hashes = np.memmap(self.hash_file, np.uint64, "r", shape=(n,))
-        places = np.memmap(self.places.name, np.int64, "r", shape=(n, 2))
+        places = np.memmap(self.places.name, np.int32, "r", shape=(n, 2))
         digits = int(np.sqrt(len(self.vocabulary))) + 1
         small = scratch.array(2 * n + 1, np.int32)
         for row in range(0, n, scratch.memory):
@@ -192,16 +208,19 @@ class Shard:
             small[2 * row : 2 * (row + len(word)) : 2] = word // digits + 1
             small[2 * row + 1 : 2 * (row + len(word)) : 2] = word % digits + 1
         small[2 * n] = 0
+        del hashes
+        os.unlink(self.hash_file)
         sa, lcp = suffix_array(small, digits + 2, 2 * min_words + 2, scratch)
+        scratch.drop(small)
         first = np.array(self.first, np.int64)
-        source = scratch.array(n, np.int64)  # of each word that starts a later occurrence: the first one, plus one
+        source = scratch.array(n, np.int32 if n < (1 << 31) - 1 else np.int64)  # of each word that starts a later occurrence: the first one, plus one
         step = max(1024, 2 * scratch.memory)
         row = 0
         while row < len(sa):
             stop = min(len(sa), row + step)
             while stop < len(sa) and lcp[stop] >= 2 * min_words:  # a group stays in one piece
                 stop += 1
-            at, common = np.asarray(sa[row:stop]), np.array(lcp[row:stop])
+            at, common = np.asarray(sa[row:stop]).astype(np.int64), np.array(lcp[row:stop])
             keep = np.flatnonzero((at % 2 == 0) & (at < 2 * n))
             if len(keep):
                 new = np.cumsum(common < 2 * min_words)[keep]
@@ -222,7 +241,7 @@ class Shard:
         doc, text = np.array(self.doc, np.int64), np.array(self.text, np.int64)
         if self.copies:
             region, *columns = np.array(self.copies, np.int64).T
-            before = np.asarray(source[first[region]])
+            before = np.asarray(source[first[region]]).astype(np.int64)
             before = np.where(before > 0, np.searchsorted(first, np.maximum(before - 1, 0), "right") - 1, region)
             yield pa.record_batch([*map(pa.array, columns), pa.array(np.diff(first)[region]), pa.array(doc[before])], [x.split()[0] for x in SPANS.split(", ")])
         if not len(begins):
@@ -236,7 +255,7 @@ class Shard:
         for row in range(0, len(low), 50_000):
             part = slice(row, row + 50_000)
             yield pa.record_batch(
-                [pa.array(x) for x in (doc[region[part]], text[region[part]], places[low[part], 0], places[high[part] - 1, 1], high[part] - low[part], doc[origin[part]])],
+                [pa.array(x) for x in (doc[region[part]], text[region[part]], places[low[part], 0].astype(np.int64), places[high[part] - 1, 1].astype(np.int64), high[part] - low[part], doc[origin[part]])],
                 [x.split()[0] for x in SPANS.split(", ")],
             )
 
@@ -247,11 +266,17 @@ def _sorter(root: str | None, min_words: int, memory: int):
         scratch = Scratch(own, memory)
         try:
             shard = Shard(scratch)
+            last = None
             for batch in batches:
                 docs, texts, begins = (batch.column(k).to_pylist() for k in range(3))
                 for row, part in blocks(batch.column(3)):
-                    rows = slice(row, row + len(part))
-                    shard.add(docs[rows], texts[rows], begins[rows], part)
+                    keep = []  # a row that repeats one is the same text
+                    for k in range(len(part)):
+                        own = docs[row + k], texts[row + k], begins[row + k]
+                        if own != last:
+                            keep.append(k)
+                        last = own
+                    shard.add(*([x[row + k] for k in keep] for x in (docs, texts, begins)), [part[k] for k in keep])
             yield from shard.spans(min_words)
         finally:
             scratch.close()
@@ -264,41 +289,45 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None
     joined where they overlap, with the document of the first occurrence."""
     spark = docs.sparkSession
     gram = gram or max(1, min_words // 2)
-    texts = _texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    marks = texts.mapInArrow(_marks(min_words, gram), "doc_id long, text_hash long, mark long, word int")
+    # A key stands for a document's text; rows that repeat one under one doc_id share it.
+    texts = _texts(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    marks = texts.select("key", "text").mapInArrow(_marks(min_words, gram), "key long, mark long, word int")
     own = W.partitionBy("mark")
-    # Rows that repeat a text under one doc_id must not make it a repeat of itself.
-    several = marks.withColumn("lo", F.min(F.struct("doc_id", "text_hash", "word")).over(own)).withColumn(
-        "hi", F.max(F.struct("doc_id", "text_hash", "word")).over(own)
-    ).where("lo <> hi")
+    several = marks.withColumn("lo", F.min(F.struct("key", "word")).over(own)).withColumn("hi", F.max(F.struct("key", "word")).over(own)).where("lo <> hi")
     by_text = cut(
-        several.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("word", "mark"))).alias("m"))
-        .select("doc_id", "text_hash", F.col("m.word").alias("word"), F.col("m.mark").alias("mark"))
+        several.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("word", "mark"))).alias("m"))
+        .select("key", F.col("m.word").alias("word"), F.col("m.mark").alias("mark"))
     )
     # Stretches that share a mark belong together: their leaders are joined to the least of them,
     # so the graph has a node for each different stretch and copies add nothing to it.
     pairs = by_text.select("word", "mark").mapInArrow(_leaders(min_words), "mark long, leader long").repartition("mark").distinct()
     links = pairs.withColumn("a", F.min("leader").over(own)).where("leader <> a").select("a", F.col("leader").alias("b")).distinct()
     parts = connected_components(links)
-    stretches = (
-        texts.join(by_text.withColumnRenamed("word", "words").withColumnRenamed("mark", "marks"), ["doc_id", "text_hash"])
-        .select("doc_id", "text_hash", "text", "words", "marks")
-        .mapInArrow(_cutter(min_words, gram), "doc_id long, text_hash long, begin long, text string, mark long, n long")
-    )
-    total = by_text.agg(F.sum(F.size("word"))).first()[0] or 0
+    placed = by_text.mapInArrow(_stretches(min_words), "key long, leader long, low int, high int").join(parts, F.col("leader") == F.col("node"), "left")
+    of_text = placed.groupBy("key").agg(F.collect_list(F.struct("low", "high", F.coalesce("component", "leader").alias("component"))).alias("stretches"))
+    total, n_texts = by_text.agg(F.sum(F.size("word")), F.count("*")).first()
     # A mark stands for about (min_words - gram + 2) / 2 words.
-    shards = max(1, round(total * (min_words - gram + 2) / 2 / shard_words))
+    shards = max(1, round((total or 0) * (min_words - gram + 2) / 2 / shard_words))
     placed = (
-        stretches.join(parts, stretches["mark"] == parts["node"], "left")
-        .select("doc_id", "text_hash", "begin", "text", F.coalesce("component", "mark").alias("component"))
-        .distinct()
-        .repartition(shards, "component")
-        .sortWithinPartitions("doc_id", "text_hash", "begin")
+        _perhaps(texts, by_text, n_texts).join(of_text, "key").select("doc_id", "text", "text_hash", "stretches")
+        .mapInArrow(_cutter(min_words, gram), "doc_id long, text_hash long, begin long, text binary, component long")
+        .repartition(shards, "component").sortWithinPartitions("doc_id", "text_hash", "begin")
         .select("doc_id", "text_hash", "begin", "text")
     )
     return placed.mapInArrow(_sorter(scratch_root(spark), min_words, memory), SPANS)
 
 
+def _perhaps(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The texts whose key is in wanted, and a few others: a bit for each of FILTER_BITS values of
+    a key says which can be dropped before they are shuffled. The bits are sent to all tasks;
+    their number is bounded, and with too many keys for it the filter merely drops less."""
+    bits = min(FILTER_BITS, 1 << max(12, (16 * max(1, n)).bit_length()))
+    slot = F.pmod(F.shiftright("key", 6), F.lit(bits // 64)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    filled = wanted.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("set"))
+    return texts.join(F.broadcast(filled), slot == F.col("slot")).where(F.col("set").bitwiseAND(bit) != 0).drop("slot", "set")
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the later occurrences of repeated passages. A document of which
     no word is left goes, since all of it stands elsewhere; documents that had none stay, and

@@ -230,7 +230,7 @@ def _induce(text: np.ndarray, n_symbols: int, seeds: np.ndarray, seed_lcp: np.nd
             after = between(int(sa[high - 1]), first) if first >= 0 else 0
             for upper in range(int(high), int(starts[c]), -step):
                 lower = max(int(starts[c]), upper - step)
-                at = np.asarray(sa[lower:upper])[::-1]
+                at = np.asarray(sa[lower:upper])[::-1].astype(np.int64)
                 prefixes = np.append(np.asarray(lcp[lower + 1 : upper]), after)[::-1]
                 after = int(lcp[lower])
                 scan_right(at, prefixes, c, False)
@@ -336,7 +336,8 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int, scratch: Scratch)
     """Suffix array and common prefixes (with the suffix before) of text, whose last symbol
     is 0 and whose others lie in 1 .. n_symbols-1; the sentinel's suffix comes first."""
     n = len(text)
-    sa, lcp = scratch.array(n, np.int64), scratch.array(n, np.int32)
+    sa = scratch.array(n, np.int32 if n < 1 << 31 else np.int64)
+    lcp = scratch.array(n, np.int16 if depth < 1 << 15 else np.int32)
     counts = np.zeros(n_symbols, np.int64)
     for row in range(0, n, scratch.memory):
         counts += np.bincount(text[row : row + scratch.memory], minlength=n_symbols)
@@ -350,7 +351,7 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int, scratch: Scratch)
         _induce(text, n_symbols, seeds, prefix, counts, sa, lcp, 1, scratch)
         filled = 0
         for row in range(0, n, step):
-            part = np.asarray(sa[row : row + step])
+            part = np.asarray(sa[row : row + step]).astype(np.int64)
             k = np.minimum(np.searchsorted(places, part), m - 1)
             k = k[places[k] == part]
             seeds[filled : filled + len(k)] = k
@@ -425,7 +426,7 @@ def evens(sa: np.ndarray, lcp: np.ndarray, scratch: Scratch) -> tuple[np.ndarray
     order, agree = scratch.array(n, np.int64), scratch.array(n, np.int64)
     filled, least = 0, np.iinfo(np.int32).max  # the least prefix since the last kept suffix
     for row in range(0, len(sa), max(1024, scratch.memory)):
-        part, own = np.asarray(sa[row : row + max(1024, scratch.memory)]), np.array(lcp[row : row + max(1024, scratch.memory)])
+        part, own = np.asarray(sa[row : row + max(1024, scratch.memory)]).astype(np.int64), np.array(lcp[row : row + max(1024, scratch.memory)])
         keep = np.flatnonzero((part % 2 == 0) & (part < len(sa) - 1))
         if not len(keep):
             least = min(least, int(own.min()))
