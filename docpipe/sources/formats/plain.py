@@ -30,7 +30,7 @@ def parse_csv(raw: bytes) -> list[tuple]:
     return [("table", rows[0], rows[1:])] if rows else []
 
 
-SKIPPED = frozenset("fonttbl colortbl stylesheet listtable listoverridetable filetbl rsidtbl generator pict object themedata datastore latentstyles xmlnstbl fldinst revtbl upr info creatim".split())
+SKIPPED = frozenset("colortbl creatim datastore filetbl fldinst fonttbl generator info latentstyles listoverridetable listtable object pict revtbl rsidtbl stylesheet themedata upr xmlnstbl".split())
 SIGNS = {"cell": "\t", "tab": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
 _RTF = re.compile(r"([{}])|\\([a-zA-Z]+)(-?[0-9]*) ?|\\'(.{0,2})|\\([^a-zA-Z'])|[\r\n]+|([^\\{}\r\n]+)|\\", re.S)
 

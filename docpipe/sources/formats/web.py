@@ -7,8 +7,8 @@ from ...functions.blocks import text, trim_spans
 from ...functions.text import WS, py_squeeze
 from .dom import HEADINGS, Node, parse as parse_dom
 
-DROPPED = frozenset("script style noscript template svg canvas iframe object embed audio video form button select textarea input nav footer aside".split())
-INLINE = frozenset("a abbr b cite code del em i ins kbd mark q s samp small span strong sub sup time tt u var".split())
+DROPPED = frozenset("aside audio button canvas embed footer form iframe input nav noscript object script select style svg template textarea video".split())
+INLINE = frozenset("strong small abbr cite code mark samp span time del ins kbd sub sup var em tt a b i q s u".split())
 STYLES = {"strong": "bold", "b": "bold", "em": "italic", "i": "italic"}
 CODE = frozenset("code kbd samp tt var".split())
 
