@@ -31,7 +31,7 @@ from .kernel import Words, blocks, signed, windows
 from .suffix import Scratch, suffix_array
 
 MIN_WORDS, GRAM = 50, 25
-SHARD_WORDS, SORT_MEMORY, FILTER_BITS = 1_000_000, 1 << 21, 1 << 26
+SHARD_WORDS, SORT_MEMORY, FILTER_BITS = 1_000_000, 1 << 20, 1 << 26
 SPANS = "doc_id long, text_hash long, start long, stop long, n_words long, first_doc_id long"
 
 
@@ -212,6 +212,7 @@ class Shard:
         os.unlink(self.hash_file)
         sa, lcp = suffix_array(small, digits + 2, 2 * min_words + 2, scratch)
         scratch.drop(small)
+        del small
         first = np.array(self.first, np.int64)
         source = scratch.array(n, np.int32 if n < (1 << 31) - 1 else np.int64)  # of each word that starts a later occurrence: the first one, plus one
         step = max(1024, 2 * scratch.memory)
@@ -237,6 +238,7 @@ class Shard:
             row = stop
         scratch.drop(sa)
         scratch.drop(lcp)
+        del sa, lcp
         begins = np.concatenate([np.flatnonzero(source[row : row + step]) + row for row in range(0, n, step)])
         doc, text = np.array(self.doc, np.int64), np.array(self.text, np.int64)
         if self.copies:

@@ -53,10 +53,10 @@ class Scratch:
 
 
 class Queues:
-    """A queue of (position, prefix) for each symbol; beyond `memory` tuples all go to disk."""
+    """A queue of (position, prefix) for each symbol; beyond a multiple of `memory` tuples all go to disk."""
 
     def __init__(self, n: int, scratch: Scratch):
-        self.limit, self.held = scratch.memory, 0
+        self.limit, self.held = 2 * scratch.memory, 0
         self.parts: list[list] = [[] for _ in range(n)]
         self.file = open(scratch.file(), "w+b", buffering=0)
 
@@ -193,7 +193,7 @@ def _induce(text: np.ndarray, n_symbols: int, seeds: np.ndarray, seed_lcp: np.nd
         n_left[c] = filled
         low, high = of_seed[c], of_seed[c + 1]
         if low < high:
-            own, prefixes = np.asarray(seeds[low:high]), np.array(seed_lcp[low:high])
+            own, prefixes = np.asarray(seeds[low:high]).astype(np.int64), np.array(seed_lcp[low:high]).astype(np.int32)
             prefixes[0] = between(last, int(own[0])) if last >= 0 else 0
             scan_left(own, prefixes, c)
     queues.close()
@@ -250,7 +250,7 @@ def _by_symbol(text: np.ndarray, at: np.ndarray, n_symbols: int, scratch: Scratc
     step = max(1024, scratch.memory)
     counts = _symbol_counts(text, at, n_symbols, step)
     upto = np.cumsum(counts) - counts
-    out = scratch.array(len(at), np.int64)
+    out = scratch.array(len(at), _index(len(text)))
     for row in range(0, len(at), step):
         own = np.asarray(at[row : row + step])
         symbols = np.asarray(text[own])
@@ -280,7 +280,7 @@ def _seed_positions(text: np.ndarray, scratch: Scratch) -> np.ndarray:
         found.astype(np.int64).tofile(name)
         parts.append((name, len(found)))
         rising = bool(types[0])
-    out = scratch.array(sum(k for _, k in parts), np.int64)
+    out = scratch.array(sum(k for _, k in parts), _index(n))
     at = 0
     for name, k in reversed(parts):
         out[at : at + k] = np.fromfile(name, np.int64)
@@ -332,19 +332,24 @@ def _double(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, _common(names, order[1:], order[:-1], np.zeros(max(0, n - 1), np.int32), depth)
 
 
+def _index(n: int) -> type:
+    """The type of positions in n symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def suffix_array(text: np.ndarray, n_symbols: int, depth: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and common prefixes (with the suffix before) of text, whose last symbol
     is 0 and whose others lie in 1 .. n_symbols-1; the sentinel's suffix comes first."""
     n = len(text)
-    sa = scratch.array(n, np.int32 if n < 1 << 31 else np.int64)
-    lcp = scratch.array(n, np.int16 if depth < 1 << 15 else np.int32)
+    index, short = _index(n), np.int16 if depth < 1 << 15 else np.int32
+    sa, lcp = scratch.array(n, index), scratch.array(n, short)
     counts = np.zeros(n_symbols, np.int64)
     for row in range(0, n, scratch.memory):
         counts += np.bincount(text[row : row + scratch.memory], minlength=n_symbols)
     places = _seed_positions(text, scratch)
     m = len(places)
     step = max(1024, scratch.memory)
-    places_sorted, prefix = places, scratch.array(m, np.int32)
+    places_sorted, prefix = places, scratch.array(m, short)
     if m > 1:
         # Sort the seeds' substrings (to the next seed) by one induction, then name them.
         seeds = _by_symbol(text, places, n_symbols, scratch)
@@ -356,10 +361,10 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int, scratch: Scratch)
             k = k[places[k] == part]
             seeds[filled : filled + len(k)] = k
             filled += len(k)
-        names, last = scratch.array(m, np.int64), 0
+        names, last = scratch.array(m, index), 0
         for row in range(0, m, step):
-            own = np.asarray(seeds[max(0, row - 1) : row + step])
-            at = places[own]
+            own = np.asarray(seeds[max(0, row - 1) : row + step]).astype(np.int64)
+            at = places[own].astype(np.int64)
             size = places[np.minimum(own + 1, m - 1)] - at + 1
             new = np.ones(len(own), bool)
             same = np.flatnonzero(size[1:] == size[:-1]) + 1
@@ -369,6 +374,10 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int, scratch: Scratch)
             names[own[skip:]] = named
             last = int(named[-1])
         if last < m:
+            # What is not needed below gives its room to the recursion.
+            for x in (sa, lcp, seeds):
+                scratch.drop(x)
+            del sa, lcp, seeds
             if m <= scratch.memory:
                 order, agree = _double(np.asarray(names), depth)
                 agree = np.append(0, agree).astype(np.int64)
@@ -376,30 +385,37 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int, scratch: Scratch)
                 digits = int(np.sqrt(last)) + 1
                 small = scratch.array(2 * m + 1, np.int32)
                 for row in range(0, m, step):
-                    own = np.asarray(names[row : row + step])
+                    own = np.asarray(names[row : row + step]).astype(np.int64)
                     small[2 * row : 2 * (row + len(own)) : 2] = own // digits + 1
                     small[2 * row + 1 : 2 * (row + len(own)) : 2] = own % digits + 1
                 small[2 * m] = 0
+                scratch.drop(names)
+                names = None  # a file's room is free once it is mapped no more
                 inner, prefixes = suffix_array(small, digits + 2, 2 * depth, scratch)
+                scratch.drop(small)
+                small = None
                 order, agree = evens(inner, prefixes, scratch)
-                for x in (small, inner, prefixes):
+                for x in (inner, prefixes):
                     scratch.drop(x)
+                del inner, prefixes
+            sa, lcp = scratch.array(n, index), scratch.array(n, short)
         else:
-            order, agree = np.asarray(seeds), None
+            order, agree = seeds, None
         # Names that agree cover the text from one seed to another; compare on from there.
         # The last name covers nothing: the sentinel is the seed that it names.
-        places_sorted = scratch.array(m, np.int64)
+        places_sorted = scratch.array(m, index)
         for row in range(0, m, step):
-            own = np.asarray(order[max(0, row - 1) : row + step])
-            at = places[own]
+            own = np.asarray(order[max(0, row - 1) : row + step]).astype(np.int64)
+            at = places[own].astype(np.int64)
             places_sorted[max(0, row - 1) : row + step] = at
             have = np.zeros(len(own), np.int64)
             if agree is not None:
                 have = places[np.minimum(own + agree[max(0, row - 1) : row + step], m - 1)] - at
             prefix[max(1, row) : row + step] = _common(text, at[1:], at[:-1], have[1:], depth)
         prefix[0] = 0
-        for x in (names, seeds, order, agree):
+        for x in (names, order, agree):
             scratch.drop(x)
+        del names, order, agree
     _induce(text, n_symbols, places_sorted, prefix, counts, sa, lcp, depth, scratch)
     for x in {id(x): x for x in (places, places_sorted, prefix)}.values():
         scratch.drop(x)
@@ -423,7 +439,7 @@ def evens(sa: np.ndarray, lcp: np.ndarray, scratch: Scratch) -> tuple[np.ndarray
     """Halves of the even positions of a suffix array, without the sentinel, and of their common
     prefixes, in files."""
     n = len(sa) // 2
-    order, agree = scratch.array(n, np.int64), scratch.array(n, np.int64)
+    order, agree = scratch.array(n, _index(n)), scratch.array(n, np.int32)
     filled, least = 0, np.iinfo(np.int32).max  # the least prefix since the last kept suffix
     for row in range(0, len(sa), max(1024, scratch.memory)):
         part, own = np.asarray(sa[row : row + max(1024, scratch.memory)]).astype(np.int64), np.array(lcp[row : row + max(1024, scratch.memory)])
