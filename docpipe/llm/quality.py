@@ -103,17 +103,21 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(4).slice(row, len(both)), bytes_of], ["y", "x"])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights, the intercept last, by Newton's method; the intercept isn't penalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25, block: int = 4096) -> np.ndarray:
+    """Weights, the intercept last, by Newton's method; the intercept isn't penalised. Sums are
+    taken block by block, in double precision."""
+    n, d = x.shape
+    penalty = np.full(d + 1, ridge)
     penalty[-1] = 1e-3
-    beta = np.zeros(x.shape[1])
-    weight = np.ones(len(x)) if weight is None else weight
+    beta = np.zeros(d + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - penalty * beta
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = -penalty * beta, np.diag(penalty)
+        for row in range(0, n, block):
+            part = np.ones((min(block, n - row), d + 1))
+            part[:, :-1] = x[row : row + block]
+            p = _sigmoid(part @ beta)
+            gradient += part.T @ (y[row : row + block] - p)
+            hessian += part.T @ (part * np.maximum(p * (1 - p), 1e-6)[:, None])
         step = np.linalg.solve(hessian, gradient)
         beta += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-5:
@@ -133,14 +137,17 @@ class Model:
     """Both views' classifiers, standardisation and calibration, and how they are combined."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE):
-        """x: both views side by side; y: 1, 0, or -1 without a label."""
+        """x: both views side by side, which is standardised in place; y: 1, 0, or -1 without a
+        label."""
         self.ok = bool((y == 1).any() and (y == 0).any())
         if not self.ok:
             return
         views = [x[:, :N_TEXT], x[:, N_TEXT:]]
-        self.mean = [v.mean(0) for v in views]
-        self.scale = [np.maximum(v.std(0), 1e-3) for v in views]
-        views = [(v - m) / s for v, m, s in zip(views, self.mean, self.scale)]
+        self.mean = [v.mean(0, dtype=float) for v in views]
+        self.scale = [np.maximum(np.sqrt(np.maximum(0, np.einsum("ij,ij->j", v, v, dtype=float) / len(v) - m**2)), 1e-3) for v, m in zip(views, self.mean)]
+        for v, m, s in zip(views, self.mean, self.scale):  # in place: x is the model's own
+            v -= m.astype(x.dtype)
+            v /= s.astype(x.dtype)
         labelled = np.flatnonzero(y >= 0)
         held = labelled[::HELD_OUT] if len(labelled) >= 8 * HELD_OUT else labelled
         fit = np.setdiff1d(labelled, held) if len(labelled) >= 8 * HELD_OUT else labelled
@@ -206,11 +213,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rows = _columns(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_collect, "y int, x binary").toArrow()
     if not rows.num_rows:
         return Model(np.zeros((0, 1)), np.zeros(0))
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(rows.num_rows, -1).astype(float)
     y = rows["y"].to_numpy()
+    x, at = np.empty((rows.num_rows, N_TEXT + BUCKETS + 14), np.float32), 0
+    for chunk in rows["x"].chunks:
+        for value in chunk:
+            x[at] = np.frombuffer(value.as_buffer(), np.float32)
+            at += 1
+    del rows
     # The rows' order depends on how the job ran; the model must not.
     order = np.lexsort((y, *x[:, :8].T, *x[:, 60:90].T))
-    return Model(x[order], y[order], rounds)
+    x = x[order]
+    return Model(x, y[order], rounds)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
