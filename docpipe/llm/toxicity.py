@@ -17,10 +17,11 @@ ordinary text, so a few words decide: a document's score
 is that of its most toxic passage, the difference of the two log-likelihoods of PASSAGE
 consecutive words over their number (a shorter text is one passage).
 
-The classes are counted over at most about MAX_LABELLED labelled documents, drawn by a hash of
-doc_id; so the labels can be sent to every task, and no text is shuffled. The shared counts are
-those of all documents. Sequences seen in either class have their log ratio in a table; for others p cancels and the
-ratio depends on the context h alone, which has a table too. Both tables are computed by
+The classes are counted over all labelled documents, whatever their number. No text is shuffled:
+ids and classes go to every task as sorted arrays, in slices of about LABEL_SLICE labels, and each
+slice after the first is one more pass over its own documents. The shared counts are those of all
+documents. Sequences seen in either class have their log ratio in a table; for others p cancels and
+the ratio depends on the context h alone, which has a table too. Both tables are computed by
 DataFrame joins. Scoring ships them if they have at most SHIP rows, else the corpus's different
 words join them; both ways give the same scores.
 
@@ -44,13 +45,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut, id_column
 from .kernel import HashTable, U, Words, blocks
 
 ORDER, DISCOUNT, SHARED, PASSAGE, SHIP = 7, 0.75, 20.0, 2, 1 << 22
-MAX_LABELLED = 200_000
+LABEL_SLICE = 1 << 23
 COUNTS = ("t0", "o0", "t1", "o1", "n")
 EDGE = 0x20  # stands before and behind each word
 
@@ -73,8 +75,20 @@ def sequences(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nd
     return keys, word, w.doc
 
 
-def _count(order: int):
-    """Per task: every different sequence with its counts by half and class."""
+def _class_of(column: pa.Array, ids: np.ndarray, klass: np.ndarray) -> np.ndarray:
+    """The class of each id of the column by the sorted ids, -1 without one."""
+    out = np.full(len(column), -1, np.int64)
+    if len(ids):
+        own = column.fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        hit = (ids[place] == own) & column.is_valid().to_numpy(zero_copy_only=False)
+        out[hit] = klass[place[hit]]
+    return out
+
+
+def _count(order: int, shipped: Broadcast, every: bool):
+    """Per task: every different sequence with its counts by half and class. Only the documents
+    of the shipped classes are read, and not counted in n, unless `every` says all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, U), np.zeros((0, 5), np.int64))]
@@ -89,8 +103,11 @@ def _count(order: int):
             return keys[head], (np.add.reduceat(counts, head) if len(head) else counts)
 
         for batch in batches:
-            klass = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-            for row, texts in blocks(batch.column(0)):
+            klass = _class_of(batch.column(0), *shipped.value)
+            column = batch.column(1)
+            if not every:
+                column, klass = column.filter(pa.array(klass >= 0)), klass[klass >= 0]
+            for row, texts in blocks(column):
                 keys, word, doc = sequences(texts, order)
                 own = klass[row : row + len(texts)][doc[word]]
                 part = []
@@ -101,6 +118,8 @@ def _count(order: int):
                     counts[:, 4] = np.diff(np.append(head, len(sort)))
                     if c >= 0:
                         counts[:, c] = counts[:, 4]
+                    if not every:
+                        counts[:, 4] = 0
                     part.append((sort[head], counts))
                 held += part
                 waiting += sum(len(k) for k, _ in part)
@@ -119,7 +138,7 @@ def _half(doc_id: str | Column) -> Column:
     return F.xxhash64(doc_id).bitwiseAND(F.lit(1)).cast("int")
 
 
-def count(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def count(docs: DataFrame, labels: DataFrame, order: int = ORDER, label_slice: int = LABEL_SLICE) -> DataFrame:
     """(g, and COUNTS: toxic and ordinary in each half, and all) for every sequence of the corpus."""
     known = cut(
         labels.select(id_column(labels), labels["toxic"].cast("int").alias("toxic"))
@@ -127,12 +146,16 @@ def count(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_labelled:
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .where("toxic = most").select("doc_id", (2 * _half("doc_id") + 1 - F.col("toxic")).cast("int").alias("class"))
     )
-    n = known.count()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 32)) < int((1 << 32) * max_labelled / n))
+    slices = max(1, -(-known.count() // label_slice))
     texts = docs.select(id_column(docs), docs["text"].cast("string").alias("text")).where("text is not null")
-    labelled = texts.join(F.broadcast(known), "doc_id", "left").select("text", "class")
-    counted = labelled.mapInArrow(_count(order), ", ".join(["g long", *(f"{c} long" for c in COUNTS)]))
+    counted: DataFrame | None = None
+    for k in range(slices):
+        part = known.where(F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(slices)) == k).toArrow()
+        ids, klass = part["doc_id"].to_numpy(), part["class"].to_numpy().astype(np.int8)
+        sort = np.argsort(ids)
+        shipped = docs.sparkSession.sparkContext.broadcast((ids[sort], klass[sort]))
+        one = texts.mapInArrow(_count(order, shipped, k == 0), ", ".join(["g long", *(f"{c} long" for c in COUNTS)]))
+        counted = one if counted is None else counted.union(one)
     return counted.groupBy("g").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 

@@ -363,6 +363,21 @@ def test_toxic_documents_on_unlabelled_rows(spark):
     assert toxicity.toxic_documents(empty(spark), known).count() == 0
 
 
+def test_classes_count_every_label(spark):
+    n = 210_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    found = {tuple(map(r.__getitem__, ("toxic", "ordinary", "n"))) for r in toxicity.count(docs, labels).selectExpr("t0 + t1 as toxic", "o0 + o1 as ordinary", "n").collect()}
+    assert found == {(n // 3, n - n // 3, n)}
+
+
+def test_slices_of_labels_count_alike(spark):
+    rows, labels = toxic_rows(120)
+    docs, known = frame(spark, [*rows, rows[0], (None, "vilga drosk")]), spark.createDataFrame([*labels, (0, 1, 1)], LABELS)
+    whole, sliced = (sorted(toxicity.count(docs, known, **k).collect()) for k in ({}, {"label_slice": 7}))
+    assert whole == sliced and sum(r["t0"] + r["t1"] for r in whole)
+
+
 def test_both_ways_of_scoring_agree(spark):
     rows, labels = toxic_rows(120)
     rows += [(900, "one"), (901, "vilga"), (902, ""), (0, "a second text under one id")]
