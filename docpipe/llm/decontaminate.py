@@ -1,16 +1,25 @@
 """Benchmark decontamination by spaced seeds.
 
-A mask keeps WEIGHT of the SPAN tokens of a window; windows that agree on the kept ones have
-equal hashes, whatever stands at the others. Every window of every document is looked up, for
-every mask, in the hashes of the benchmark. Around a hit the benchmark item is laid over the
-document at that offset and its equal tokens are counted; counts of several offsets of one
-item add up by item position, so substitutions, insertions and deletions are tolerated.
-A document leaks an item if at least RATIO of the item's tokens are found.
+A mask keeps some of the tokens of a window; windows that agree on the kept ones have equal
+hashes, whatever stands at the others. Every window of every document is looked up, for every
+mask, in the hashes of the benchmark. A hit puts a benchmark item at an offset in a document.
+
+PAIRS keep two tokens. Of an item's n tokens let m be equal at an offset. At most (n - m) / 2 of
+the m - 1 steps from one of them to the next are longer than 2, so at least m - 1 - (n - m) / 2
+pairs hit there: with m = RATIO * n, one at least from LEAST tokens on, wherever the others stand,
+so no item is missed. Offsets with under a third of those hits (parts of an item between
+insertions have fewer than the whole) and, once the item is laid over the document there, those
+with fewer than PART equal tokens are left out. MASKS keep 9 of 12 tokens: an offset that they
+hit always counts.
+
+Equal tokens of offsets that differ by at most SHIFT, and of those that MASKS hit, add up by item
+position, so substitutions, insertions and deletions are tolerated. A document leaks an item if at
+least RATIO of the item's tokens are found.
 
 The benchmark's hashes go to the executors in slices of at most SLICE of them, one pass over
 the documents for each slice, so what is broadcast doesn't grow with the benchmark.
 
-Items shorter than SPAN are seeded by all their tokens, contiguously. Defined results: null
+Items of fewer than LEAST tokens are seeded by all their tokens, contiguously. Defined results: null
 or wordless items and documents leak nothing; null ids are ignored; equal items are reported
 each under its own item_id; rows that repeat a doc_id are looked at one by one and the best
 of each pair is reported; further columns are ignored; empty tables give no rows.
@@ -28,7 +37,8 @@ from .common import id_column
 from .kernel import HashTable, U, Words, blocks, mix, powers
 
 MASKS = ("110110101111", "101110011111", "111011101011", "111101011011")
-SPAN, RATIO, SLICE = 12, 0.5, 1 << 21
+PAIRS = ("11", "101")
+LEAST, RATIO, PART, SHIFT, SLICE = 8, 0.5, 4, 8, 1 << 21
 SCHEMA = "doc_id long, item_id long, matched int, item_tokens int, ratio double, start int, stop int"
 
 
@@ -58,16 +68,16 @@ class Index:
         self.hashes, self.first = w.hashes(), w.first
         self.ids = np.array([i for i, _ in items], np.int64)
         count = np.diff(w.first)
-        self.masks = [*MASKS, *("1" * n for n in sorted({int(c) for c in count if 0 < c < SPAN}))]
+        self.masks = [*PAIRS, *MASKS, *("1" * n for n in sorted({int(c) for c in count if 0 < c < LEAST}))]
         keys, item, offset = [], [], []
-        for mask in self.masks:
+        for k, mask in enumerate(self.masks):
             h = seeds(self.hashes, mask)
             if not len(h):
                 continue
             owner = w.doc[: len(h)]
             inside = owner == w.doc[len(mask) - 1 :]
-            if len(mask) < SPAN:
-                inside &= count[owner] == len(mask)
+            whole = k >= len(PAIRS) + len(MASKS)
+            inside &= count[owner] == len(mask) if whole else count[owner] >= LEAST
             keys.append(h[inside])
             item.append(owner[inside])
             offset.append(np.flatnonzero(inside) - w.first[owner[inside]])
@@ -83,11 +93,17 @@ class Index:
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[(unique >> U(64 - self.bits)).astype(np.int64)] = True
 
-    def search(self, words: Words) -> list[tuple]:
-        """(text, item, matched, tokens, start, stop), start and stop in words of the text."""
+    def search(self, words: Words, ratio: float = RATIO) -> list[tuple]:
+        """(text, item, matched, tokens, start, stop), start and stop in words of the text, of
+        the items of which at least `ratio` is found."""
         h = words.hashes()
-        texts, items, diagonals = [], [], []
-        for mask in self.masks:
+        # One number for an item in a text at a diagonal, which may begin before the text.
+        count, length = np.diff(self.first), np.diff(words.first)
+        front = int(count.max(initial=0))
+        wide = front + int(length.max(initial=0)) + 1
+        light: list[np.ndarray] = []
+        heavy: list[np.ndarray] = []
+        for k, mask in enumerate(self.masks):
             s = seeds(h, mask)
             at = np.flatnonzero(self.maybe[(s >> U(64 - self.bits)).astype(np.int64)])
             if not len(at):
@@ -99,32 +115,53 @@ class Index:
             many = self.begin[place + 1] - self.begin[place]
             entry = np.repeat(self.begin[place], many) + _within(many)
             at = np.repeat(at, many)
-            texts.append(words.doc[at])
-            items.append(self.item[entry])
-            diagonals.append(at - self.offset[entry])
-        if not texts:
+            text = words.doc[at]
+            diagonal = at - self.offset[entry] - words.first[text] + front
+            (light if k < len(PAIRS) else heavy).append((text * len(count) + self.item[entry]) * wide + diagonal)
+        none = np.zeros(0, np.int64)
+        sure = np.unique(np.concatenate([none, *heavy]))
+        hits, n_hits = np.unique(np.concatenate([none, *light]), return_counts=True)
+        size = count[hits // wide % max(1, len(count))]
+        equal = np.ceil(ratio * size)
+        hits = np.union1d(sure, hits[3 * n_hits >= equal - 1 - (size - equal) / 2])
+        if not len(hits):
             return []
-        hits = np.unique(np.stack([np.concatenate(texts), np.concatenate(items), np.concatenate(diagonals)]), axis=1)
-        if not hits.shape[1]:
-            return []
-        text, item, diagonal = hits
-        size = self.first[item + 1] - self.first[item]
-        k = _within(size)
-        pair = np.repeat(np.arange(len(text)), size)
+        owner, diagonal = np.divmod(hits, wide)
+        text, item = np.divmod(owner, len(count))
+        diagonal += words.first[text] - front
+        size = count[item]
+        pair, k = np.repeat(np.arange(len(hits)), size), _within(size)
         there = diagonal[pair] + k
-        low, high = words.first[text][pair], words.first[text + 1][pair]
-        inside = (there >= low) & (there < high)
-        pair, k, there, low = pair[inside], k[inside], there[inside], low[inside]
+        inside = (there >= words.first[text][pair]) & (there < words.first[text + 1][pair])
+        pair, k, there = pair[inside], k[inside], there[inside]
         equal = h[there] == self.hashes[self.first[item[pair]] + k]
-        pair, k, there, low = pair[equal], k[equal], there[equal], low[equal]
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x, y, pos, at in zip(text[pair].tolist(), item[pair].tolist(), k.tolist(), (there - low).tolist()):
-            found.setdefault((x, y), []).append((pos, at))
+        pair, k, there = pair[equal], k[equal], there[equal]
+        n_equal = np.bincount(pair, minlength=len(hits))
+        always = np.isin(hits, sure, assume_unique=True)
+        good = always | (n_equal >= PART)
+        # What the offsets of an item in a text have together, at most.
+        begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        most = np.repeat(np.add.reduceat(n_equal * good, begins), np.diff(np.append(begins, len(hits))))
+        good &= most >= ratio * size
+        ends = np.cumsum(n_equal)
+        found: dict[int, list[int]] = {}
+        for x in np.flatnonzero(good).tolist():
+            found.setdefault(int(owner[x]), []).append(x)
         out = []
-        for (x, y), both in found.items():
-            tokens = int(self.first[y + 1] - self.first[y])
-            matched = len({p for p, _ in both})
-            out.append((x, y, matched, tokens, min(a for _, a in both), max(a for _, a in both) + 1))
+        for same in found.values():
+            y, t = int(item[same[0]]), int(text[same[0]])
+            tokens = int(count[y])
+            spots = {x: slice(ends[x] - n_equal[x], ends[x]) for x in same}
+            fixed = [x for x in same if always[x]]
+            best: tuple | None = None
+            for x in same:
+                near = {*fixed, *(z for z in same if 0 <= diagonal[z] - diagonal[x] <= SHIFT)}
+                matched = len(np.unique(np.concatenate([k[spots[z]] for z in near])))
+                if best is None or matched > best[0]:
+                    at = np.concatenate([there[spots[z]] for z in near]) - words.first[t]
+                    best = matched, int(at.min()), int(at.max()) + 1
+            if best[0] >= ratio * tokens:
+                out.append((t, y, best[0], tokens, *best[1:]))
         return out
 
 
@@ -140,7 +177,7 @@ def _finder(index: Callable[[], Index], ratio: float):
         for batch in batches:
             ids = batch.column(0)
             for row, texts in blocks(batch.column(1)):
-                rows = [r for r in ix.search(Words(texts)) if r[2] >= ratio * r[3]]
+                rows = ix.search(Words(texts), ratio)
                 if not rows:
                     continue
                 x, y, matched, tokens, start, stop = map(np.array, zip(*rows))
@@ -171,7 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, slice_has
     # A benchmark is read by slices on the driver: only one slice is held at a time.
     for row in items.orderBy("item_id", "text").toLocalIterator():
         part.append((row["item_id"], row["text"]))
-        hashes += len(MASKS) * (len(row["text"]) // 2 + 1)
+        hashes += len(PAIRS + MASKS) * (len(row["text"]) // 2 + 1)
         if hashes >= slice_hashes:
             passed(part)
             part, hashes = [], 0

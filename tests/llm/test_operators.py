@@ -254,6 +254,48 @@ def test_leaks_tolerate_substitutions(spark):
     assert decontaminate.leaks(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def offsets_by_hand(text, item):
+    """The most tokens of the item that stand in the text at one offset."""
+    return max(sum(text[d + k] == w for k, w in enumerate(item) if 0 <= d + k < len(text)) for d in range(-len(item), len(text)))
+
+
+def test_leaks_at_the_ratio_against_brute_force():
+    rng = random.Random(14)
+    items, texts, want = [], [], set()
+    for n in (8, 9, 11, 12, 15, 20, 30, 39, 60):
+        item = words(rng, n, 100_000)
+        gone = [set(rng.sample(range(n), k)) for k in range(n // 2 + 2)] + [set(range(p, n, step)) for step in (2, 3, 4) for p in range(step)]
+        for out in gone:
+            body = words(rng, 60, 100_000)
+            at = rng.randrange(61)
+            body[at:at] = [f"swap{rng.randrange(10_000)}" if k in out else w for k, w in enumerate(item)]
+            if 2 * offsets_by_hand(body, item) >= n:
+                want.add((len(texts), len(items)))
+            texts.append(body)
+        items.append(item)
+    # Words as frequent as in prose, where seeds hit by accident.
+    for d in range(60):
+        texts.append([f"c{int(rng.paretovariate(0.6))}" for _ in range(150)])
+    items += [[f"c{int(rng.paretovariate(0.6))}" for _ in range(n)] for n in (9, 15, 24, 40)]
+    want |= {(t, k) for t in range(len(texts) - 60, len(texts)) for k in range(len(items) - 4, len(items)) if 2 * offsets_by_hand(texts[t], items[k]) >= len(items[k])}
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    found = {r[:2] for r in index.search(kernel.Words([" ".join(t).encode() for t in texts]))}
+    assert want <= found and len(want) > 150
+    assert not any(t < len(texts) - 60 for t, _ in found - want)
+
+
+def test_leaks_with_insertions_and_substitutions():
+    rng = random.Random(15)
+    items = [words(rng, n, 100_000) for n in range(16, 60, 4)]
+    texts = []
+    for item in items:
+        own = [w if k % 4 else "swap" for k, w in enumerate(item)]
+        own[len(own) // 2 : len(own) // 2] = ["put", "in"]
+        texts.append(" ".join(words(rng, 50, 100_000) + own + words(rng, 50, 100_000)).encode())
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    assert {r[:2] for r in index.search(kernel.Words(texts))} == {(k, k) for k in range(len(items))}
+
+
 # --------------------------------------------------------------------- BPE --
 
 def test_bpe_equals_another_implementation(spark):
