@@ -6,8 +6,11 @@ classifier labels the documents of a pool of which it is sure for the other, bot
 both are fitted again. Then each view is calibrated on held-out labelled documents (Platt),
 and a logistic regression of the two calibrated logits, fitted on the same, gives the score.
 
-Fitting uses at most MAX_LABELLED labelled documents and a pool of at most MAX_POOL unlabelled
-ones, the first by a hash of doc_id: as in the paper the pool is a bounded random draw. Every
+Fitting uses at most MAX_LABELLED labelled documents, the first by a hash of doc_id, and every
+unlabelled one. The features of all are written once, in narrow form; the pool stays in the
+executors, where each round scores it with both views and each Newton step adds up its gradients
+and Hessians, whose size is fixed, in at most TASKS tasks. What each view is sure of is cut off by
+rank to a step of 1 / STEPS in the logit; equal ranks go in together. Every
 document is scored. keep is score >= KEEP, the point where rejecting is the better bet.
 
 Defined results: null text counts as empty, null source or lang as a value of its own; labels
@@ -18,18 +21,18 @@ the score 0.5 and is kept; further columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_column
+from .common import cut, id_column
 from .kernel import Words, blocks
 
-MAX_LABELLED, MAX_POOL, ROUNDS, SURE, KEEP, HELD_OUT = 20_000, 20_000, 4, 0.97, 0.5, 4
-BUCKETS = 256
+MAX_LABELLED, ROUNDS, SURE, KEEP, HELD_OUT = 20_000, 4, 0.97, 0.5, 4
+BUCKETS, STEPS, N_STEPS, TASKS = 256, 100, 3000, 64
 
 # Classes of bytes: other marks, lower, upper, digit, space, newline, sentence marks, beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
@@ -74,19 +77,27 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return np.hstack([np.sqrt(bigrams), np.sqrt(ends), shape])
 
 
-def meta_features(source: list, lang: list, size: np.ndarray) -> np.ndarray:
-    """Hashed one-hots of source and lang, and the length in steps and as it is."""
-    out = np.zeros((len(source), BUCKETS + 14))
-    for column, values in ((0, source), (1, lang)):
-        for value in set(values):
-            at = xxhash.xxh64_intdigest(f"{column}{value!r}") % BUCKETS
-            out[[k for k, x in enumerate(values) if x == value], at] = 1
-    out[np.arange(len(source)), BUCKETS + np.minimum(11, np.log2(size + 1).astype(int) * 3 // 4)] = 1
+def _buckets(column: int, values: list) -> np.ndarray:
+    at = {value: xxhash.xxh64_intdigest(f"{column}{value!r}") % BUCKETS for value in set(values)}
+    return np.fromiter((at[value] for value in values), np.int64, len(values))
+
+
+def meta_of(source: np.ndarray, lang: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One-hots of the buckets of source and lang, and the length in steps and as it is."""
+    out = np.zeros((len(size), BUCKETS + 14))
+    row = np.arange(len(size))
+    out[row, source] = 1
+    out[row, lang] = 1
+    out[row, BUCKETS + np.minimum(11, np.log2(size + 1).astype(int) * 3 // 4)] = 1
     out[:, BUCKETS + 12] = np.log1p(size) / 10
     out[:, BUCKETS + 13] = (np.log1p(size) / 10) ** 2
     return out
 
 
+def meta_features(source: list, lang: list, size: np.ndarray) -> np.ndarray:
+    return meta_of(_buckets(0, source), _buckets(1, lang), size)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
     """Of batches (doc_id, text, source, lang, ...): both views of some rows at a time."""
     for batch in batches:
@@ -96,11 +107,122 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             yield batch, row, text_features(texts), meta_features(source, lang, size)
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, row, text, meta in _features(batches):
-        both = np.hstack([text, meta]).astype(np.float32)
-        bytes_of = pa.array([x.tobytes() for x in both], pa.binary())
-        yield pa.record_batch([batch.column(4).slice(row, len(both)), bytes_of], ["y", "x"])
+NARROW = "doc_id long, x binary, source long, lang long, size long"
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, texts in blocks(batch.column(1)):
+            x = text_features(texts).astype(np.float32)
+            source, lang = (_buckets(k, batch.column(2 + k).slice(row, len(texts)).to_pylist()) for k in (0, 1))
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            yield pa.record_batch(
+                [batch.column(0).slice(row, len(texts)), pa.array([v.tobytes() for v in x], pa.binary()), *map(pa.array, (source, lang, size))],
+                [c.split()[0] for c in NARROW.split(", ")],
+            )
+
+
+def _wide(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    """Both views of rows of NARROW."""
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_TEXT)
+    return [x.astype(float), meta_of(*(rows[c].to_numpy() for c in ("source", "lang", "size")))]
+
+
+class Pool:
+    """The unlabelled documents, rows of NARROW, of which only sums leave the executors."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.coalesce(TASKS)
+
+    def add(self, of: Callable[[list[np.ndarray]], np.ndarray], block: int = 4096) -> np.ndarray | float:
+        """The sum of `of` both views over all rows, 0 without any."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for row in range(0, batch.num_rows, block):
+                    part = of(_wide(batch.slice(row, block)))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+        parts = self.rows.mapInArrow(run, "s binary").toArrow()["s"].to_pylist()  # TASKS at most
+        return sum(np.frombuffer(part) for part in parts) if parts else 0.0
+
+
+def _moments(views: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[len(views[0])], *(v.sum(0) for v in views), *((v * v).sum(0) for v in views)])
+
+
+def _standard(views: list[np.ndarray], mean: list[np.ndarray], scale: list[np.ndarray]) -> list[np.ndarray]:
+    return [(v - m) / s for v, m, s in zip(views, mean, scale)]
+
+
+def _step(z: np.ndarray, sure: float) -> np.ndarray:
+    """The steps by which a logit is above that of `sure`; -1 below."""
+    over = z - np.log(sure / (1 - sure))
+    return np.where(over < 0, -1, np.minimum(N_STEPS - 1, np.maximum(over, 0) * STEPS)).astype(int)
+
+
+def _ranks(views: list[np.ndarray], beta: list[np.ndarray], sure: float) -> np.ndarray:
+    """How many documents each view puts on each step, of label 0 and of label 1."""
+    out = []
+    for b, v in zip(beta, views):
+        z = apply(b, v)
+        for own in (_step(-z, sure), _step(z, sure)):
+            out.append(np.bincount(own[own >= 0], minlength=N_STEPS))
+    return np.concatenate(out).astype(float)
+
+
+def _guesses(views: list[np.ndarray], history: list[tuple], sure: float) -> list[np.ndarray]:
+    """What each view has learned from the other in the rounds so far; -1 without a label.
+    history: the views' weights, and the first steps taken by view and label, of each round."""
+    out = [np.full(len(v), -1) for v in views]
+    for beta, first in history:
+        for v in (0, 1):
+            z = apply(beta[v], views[v])
+            for label, own in ((1, z), (0, -z)):
+                out[1 - v][_step(own, sure) >= first[v][label]] = label
+    return out
+
+
+def _slopes(views: list[np.ndarray], target: list[np.ndarray], beta: list[np.ndarray]) -> np.ndarray:
+    """Gradients and Hessians of both views' likelihoods over the rows with a target."""
+    out = []
+    for v, y, b in zip(views, target, beta):
+        own = y >= 0
+        part = np.ones((int(own.sum()), len(b)))
+        part[:, :-1] = v[own]
+        p = _sigmoid(part @ b)
+        out += [part.T @ (y[own] - p), (part.T @ (part * np.maximum(p * (1 - p), 1e-6)[:, None])).reshape(-1)]
+    return np.concatenate(out)
+
+
+def _both(views: list[np.ndarray], y: np.ndarray, pool: Pool, shape: tuple, history: list[tuple], beta: list[np.ndarray], sure: float, ridge: float = 1.0, steps: int = 25) -> list[np.ndarray]:
+    """Weights of both views by Newton's method, as logistic() has them, over labelled rows and
+    the pool with its guessed labels."""
+
+    def of(part: list[np.ndarray]) -> np.ndarray:
+        part = _standard(part, *shape)
+        return _slopes(part, _guesses(part, history, sure), beta)
+
+    for _ in range(steps):
+        total = _slopes(views, [y, y], beta) + (pool.add(of) if history else 0.0)
+        moved, at, after = 0.0, 0, []
+        for b in beta:
+            d = len(b)
+            penalty = np.full(d, ridge)
+            penalty[-1] = 1e-3
+            gradient, hessian = total[at : at + d], total[at + d : at + d + d * d].reshape(d, d)
+            at += d + d * d
+            step = np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * b)
+            most = np.abs(step).max()
+            after.append(b + step * min(1.0, 5 / max(1e-9, most)))
+            moved = max(moved, most)
+        beta = after
+        if moved < 1e-5:
+            break
+    return beta
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25, block: int = 4096) -> np.ndarray:
@@ -136,47 +258,43 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Model:
     """Both views' classifiers, standardisation and calibration, and how they are combined."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE):
-        """x: both views side by side, which is standardised in place; y: 1, 0, or -1 without a
-        label."""
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: Pool, rounds: int = ROUNDS, sure: float = SURE):
+        """views and y, 1 or 0: of the labelled documents."""
         self.ok = bool((y == 1).any() and (y == 0).any())
         if not self.ok:
             return
-        views = [x[:, :N_TEXT], x[:, N_TEXT:]]
-        self.mean = [v.mean(0, dtype=float) for v in views]
-        self.scale = [np.maximum(np.sqrt(np.maximum(0, np.einsum("ij,ij->j", v, v, dtype=float) / len(v) - m**2)), 1e-3) for v, m in zip(views, self.mean)]
-        for v, m, s in zip(views, self.mean, self.scale):  # in place: x is the model's own
-            v -= m.astype(x.dtype)
-            v /= s.astype(x.dtype)
-        labelled = np.flatnonzero(y >= 0)
+        (n,), *sums = np.split(_moments(views) + pool.add(_moments), np.cumsum([1, *(v.shape[1] for v in views * 2)])[:-1])
+        self.mean = [m / n for m in sums[:2]]
+        self.scale = [np.maximum(np.sqrt(np.maximum(0, q / n - m**2)), 1e-3) for q, m in zip(sums[2:], self.mean)]
+        shape = self.mean, self.scale
+        views = _standard(views, *shape)
+        n_pool = int(n) - len(y)
+        labelled = np.arange(len(y))
         held = labelled[::HELD_OUT] if len(labelled) >= 8 * HELD_OUT else labelled
         fit = np.setdiff1d(labelled, held) if len(labelled) >= 8 * HELD_OUT else labelled
         if len(np.unique(y[fit])) < 2 or len(np.unique(y[held])) < 2:
             fit = held = labelled
-        pool = np.flatnonzero(y < 0)
-        guessed = [np.full(len(x), -1) for _ in views]  # what a view learned from the other
         share = y[fit].mean()
         self.rounds: list[tuple[int, int]] = []
+        history: list[tuple] = []
+        self.beta = [np.zeros(v.shape[1] + 1) for v in views]
         for turn in range(rounds + 1):
-            self.beta = []
-            for v in (0, 1):
-                own = np.concatenate([fit, pool[guessed[v][pool] >= 0]])
-                target = np.where(y[own] >= 0, y[own], guessed[v][own])
-                self.beta.append(logistic(views[v][own], target.astype(float)))
-            if turn == rounds or not len(pool):
+            self.beta = _both([v[fit] for v in views], y[fit], pool, shape, history, self.beta, sure)
+            if turn == rounds or not n_pool:
                 break
-            given = []
+            beta = self.beta
+            ranks = pool.add(lambda part: _ranks(_standard(part, *shape), beta, sure)).reshape(2, 2, N_STEPS)
+            # At most a growing part of the pool, in the proportion of the labels.
+            most = max(1, n_pool * (turn + 1) // (2 * rounds))
+            first = np.zeros((2, 2), int)
+            given = [0, 0]
             for v in (0, 1):
-                p = _sigmoid(apply(self.beta[v], views[v][pool]))
-                # At most a growing part of the pool, in the proportion of the labels.
-                most = max(1, len(pool) * (turn + 1) // (2 * rounds))
-                found = 0
-                for label, confidence, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                    best = np.argsort(-confidence, kind="stable")[: max(1, int(most * part))]
-                    best = pool[best[confidence[best] >= sure]]
-                    guessed[1 - v][best] = label
-                    found += len(best)
-                given.append(found)
+                for label, part in ((1, share), (0, 1 - share)):
+                    above = np.cumsum(ranks[v, label, ::-1])[::-1]
+                    enough = np.flatnonzero(above >= max(1, int(most * part)))
+                    first[v, label] = enough[-1] if len(enough) else 0
+                    given[v] += int(above[first[v, label]])
+            history.append((beta, first))
             self.rounds.append(tuple(given))
         # Platt scaling of each view, then their logits together.
         self.platt = [logistic(apply(b, v[held])[:, None], y[held].astype(float)) for b, v in zip(self.beta, views)]
@@ -200,30 +318,20 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(id_column(docs), *(c.alias(k) for k, c in there.items()))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
     known = (
         labels.select(id_column(labels), labels["quality"].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     )
-    ids = docs.select(id_column(docs)).where("doc_id is not null").distinct()
-    draw = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = draw(ids.join(known, "doc_id"), max_labelled).union(
-        draw(ids.join(known, "doc_id", "left_anti").withColumn("y", F.lit(-1)), max_pool)
-    )
-    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_collect, "y int, x binary").toArrow()
-    if not rows.num_rows:
-        return Model(np.zeros((0, 1)), np.zeros(0))
-    y = rows["y"].to_numpy()
-    x, at = np.empty((rows.num_rows, N_TEXT + BUCKETS + 14), np.float32), 0
-    for chunk in rows["x"].chunks:
-        for value in chunk:
-            x[at] = np.frombuffer(value.as_buffer(), np.float32)
-            at += 1
-    del rows
+    rows = _columns(docs).where("doc_id is not null").mapInArrow(_narrow, NARROW)
+    rows = cut(rows.join(known, "doc_id", "left"))  # features are shuffled, no text
+    chosen = rows.where("y is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    labelled = rows.join(F.broadcast(chosen), "doc_id", "left_semi").where("y is not null").toArrow()
+    y, views = labelled["y"].to_numpy(), _wide(labelled)
     # The rows' order depends on how the job ran; the model must not.
+    x = np.hstack(views)
     order = np.lexsort((y, *x[:, :8].T, *x[:, 60:90].T))
-    x = x[order]
-    return Model(x, y[order], rounds)
+    return Model([v[order] for v in views], y[order], Pool(rows.where("y is null").drop("y")), rounds)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:

@@ -378,6 +378,16 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["score"] == 0.5 and r["keep"] for r in none)
 
 
+def test_quality_learns_from_every_unlabelled_row(spark):
+    n, bad = 30_000, F.col("id") % 3 == 0
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.when(bad, "$$$ CLICK !!! X9# buy").otherwise(F.concat(F.lit("some plain words of text, "), F.col("id"))).alias("text"),
+        F.lit("en").alias("lang"), F.when(bad, "src2").otherwise("src1").alias("source"),
+    )
+    model = quality.train(docs, docs.where("doc_id < 200").select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic")))
+    assert min(model.rounds[-1]) >= (n - 200) // 2 - 2
+
+
 # --------------------------------------------------------------- toxicity --
 
 def toxic_rows(n=600):
