@@ -1,19 +1,25 @@
 """Repeated passages by suffix arrays of shards.
 
 A passage of at least MIN_WORDS words that occurs twice holds a fingerprint that occurs twice:
-of every window of MIN_WORDS words the least hash of its GRAM-word sequences is taken
-(winnowing), so equal windows give equal fingerprints. This exact filter says which stretches
-of text can repeat at all. Stretches that share a fingerprint, directly or through others,
-form components; a component goes to one shard whole, so no repeat crosses shards. Each shard
-is sorted by the external induced sorting of `suffix.py`, however large it is, and equal
-neighbours in the suffix array are the repeats: the occurrence with the smallest (doc_id,
-position) stays, every later one is reported.
-
-Words are runs of non-space bytes, compared as they stand (64-bit hashes of whole windows).
-Defined results: null and empty texts have no passages; rows with null doc_id are ignored;
-rows that repeat a doc_id and text are one text; for one doc_id with several texts positions
-refer to each text by its `text_hash`; a passage repeated within one text counts like any
-other; further columns are ignored; an empty table gives no rows.
+of every window of MIN_WORDS words the least hash of its GRAM-word sequences is a mark
+(winnowing), so equal windows hold an equal mark at the same place. The surroundings of a mark
+are all windows that hold it, and equal surroundings collapse before any text is shuffled: the
+least (doc_id, text, position) stands for them, and each other place is a later occurrence as
+a whole. What is left are marks with several different surroundings. All of those of a mark go
+to one shard, named by the place where the mark occurs first, so that neighbouring marks travel
+as one stretch; a text goes to as many shards as its marks name and nothing is chained further.
+Each shard is sorted by the external induced sorting of `suffix.py`, and equal neighbours in
+the suffix array are the repeats: the occurrence with the least (doc_id, position) stays, every
+later one is reported. A mark with more than `hot` different surroundings would fill a shard by
+itself; its windows are grouped by their hashes instead, with partial sums before the shuffle,
+so no task ever holds one mark's places. Both ways are exact and give the same rows.
+
+Words are runs of non-space bytes, compared as they stand (64-bit hashes of words; surroundings
+and windows agree in 128 bits). Defined results: null and empty texts have no passages; rows
+with null doc_id are ignored; rows that repeat a doc_id and text are one text; for one doc_id
+with several texts (ordered by `text_hash`) positions refer to each text by its `text_hash`; a
+passage repeated within one text counts like any other; texts may be of any length; further
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import connected_components, cut, id_column, scratch_root, unused
-from .kernel import Words, blocks, signed, windows
+from .common import cut, id_column, scratch_root, unused
+from .kernel import U, Words, blocks, mix, prefix, signed, span, windows
 from .suffix import Scratch, suffix_array
 
-MIN_WORDS, GRAM = 50, 25
-SHARD_WORDS, SORT_MEMORY, FILTER_BITS = 1_000_000, 1 << 20, 1 << 26
+MIN_WORDS = 50
+SHARD_WORDS, SORT_MEMORY, FILTER_BITS = 500_000, 1 << 20, 1 << 26
 SPANS = "doc_id long, text_hash long, start long, stop long, n_words long, first_doc_id long"
 
 
@@ -66,141 +72,148 @@ def _winnow(grams: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(near)
 
 
-def _marks(min_words: int, gram: int):
+def _marks(min_words: int, gram: int, full: bool):
+    """Marks of texts (doc_id, text_hash, text): the marks alone, or with their places and the
+    hashes of their surroundings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = min_words - gram + 1
+        size, edge = min_words - gram + 1, U(0xFFFFFFFFFFFFFFFF)
         for batch in batches:
-            keys = batch.column(0)
-            for row, texts in blocks(batch.column(1)):
+            for row, texts in blocks(batch.column(2)):
                 w = Words(texts, space=True, fold=False)
-                grams = windows(w.hashes(), gram)
+                h = w.hashes()
+                grams = windows(h, gram)
                 if not len(grams):
                     continue
-                # Sequences that run over the end of a text differ for each place they stand at,
-                # so that none of them is a fingerprint of two places.
-                crossing = np.flatnonzero(w.doc[: len(grams)] != w.doc[gram - 1 :])
-                grams[crossing] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                # Sequences that run over the end of a text are no marks.
+                grams[np.flatnonzero(w.doc[: len(grams)] != w.doc[gram - 1 :])] = edge
                 at = _winnow(grams, size)
-                at = at[grams[at] != np.uint64(0xFFFFFFFFFFFFFFFF)]
+                at = at[grams[at] != edge]
+                mark = pa.array(signed(grams[at]))
+                if not full:
+                    yield pa.record_batch([mark], ["mark"])
+                    continue
                 doc = w.doc[at]
-                yield pa.record_batch(
-                    [keys.slice(row, len(texts)).take(pa.array(doc)), pa.array(signed(grams[at])), pa.array((at - w.first[doc]).astype(np.int32))],
-                    ["key", "mark", "word"],
-                )
+                low, high = np.maximum(w.first[doc], at - size + 1), np.minimum(w.first[doc + 1], at + min_words)
+                around = span(prefix(h), low, high) ^ mix((at - low).astype(U) + U(1))
+                ids = [batch.column(k).slice(row, len(texts)).take(pa.array(doc)) for k in (0, 1)]
+                yield pa.record_batch([*ids, mark, pa.array((at - w.first[doc]).astype(np.int32)), pa.array(signed(around))], ["doc_id", "text_hash", "mark", "word", "around"])
 
     return run
 
 
-def _stretches(min_words: int):
-    """(key, leader, low, high): marks of a text at most min_words apart are of one stretch, and
-    the least of them leads it; low and high are the words of its first and last mark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            edge = np.concatenate([[0], np.cumsum(size)])
-            word, mark = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
-            if not len(mark):
-                continue
-            new = np.append(True, np.diff(word) > min_words)
-            new[edge[:-1][edge[:-1] < len(mark)]] = True
-            head = np.flatnonzero(new)
-            last = np.append(head[1:], len(mark)) - 1
-            text = np.repeat(np.arange(len(size)), size)[head]
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(text)), pa.array(np.minimum.reduceat(mark, head)), pa.array(word[head].astype(np.int32)), pa.array(word[last].astype(np.int32))],
-                ["key", "leader", "low", "high"],
-            )
-
-    return run
+def _islands(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each of the intervals, sorted by key and low, starts apart from those before."""
+    new = np.append(True, key[1:] != key[:-1])
+    if len(low) > 1:
+        order = np.cumsum(new) - 1
+        lift = order * (int(high.max()) + 2)
+        new[1:] |= (low + lift)[1:] > np.maximum.accumulate(high + lift)[:-1]
+    return new
 
 
-def _leaders(min_words: int):
-    """(mark, leader) for the marks of each stretch."""
+def _cutter(min_words: int, gram: int, shards: int):
+    """Texts (doc_id, text_hash, text, marks) to stretches for the shards, and to the places that
+    repeat the surroundings of an earlier one (shard -1), which need no sorting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min_words - gram + 1
         for batch in batches:
-            size = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
-            edge = np.concatenate([[0], np.cumsum(size)])
-            word, mark = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            if not len(mark):
-                continue
-            new = np.append(True, np.diff(word) > min_words)
-            new[edge[:-1][edge[:-1] < len(mark)]] = True
-            head = np.flatnonzero(new)
-            least = np.repeat(np.minimum.reduceat(mark, head), np.diff(np.append(head, len(mark))))
-            pairs = np.unique(np.stack([mark, least]), axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["mark", "leader"])
+            for row, texts in blocks(batch.column(2)):
+                w = Words(texts, space=True, fold=False)
+                lists = batch.column(3).slice(row, len(texts))
+                count = lists.value_lengths().to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                word, mark, around, shard, origin = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+                doc = np.repeat(np.arange(len(texts)), count)
+                n = np.diff(w.first)[doc]
+                low, high = np.maximum(0, word - size + 1), np.minimum(n, word + min_words)
+                order = np.lexsort((word, shard, doc))
+                word, mark, around, shard, origin, doc, low, high = (x[order] for x in (word, mark, around, shard, origin, doc, low, high))
+                new = _islands(doc * (shards + 1) + shard + 1, low, high)
+                head = np.flatnonzero(new)
+                island = np.cumsum(new) - 1
+                stop = np.maximum.reduceat(high, head)
+                first, last = w.first[doc[head]] + low[head], w.first[doc[head]] + stop - 1
+                base = w.base[doc[head]]
+                b0, b1 = w.start[first] - base, w.end[last] - base
+                sorts = shard[head] >= 0
+                # A stretch of copies is told once for each of its marks whose surroundings start it.
+                begins = (shard < 0) & (low == low[head][island])
+                rows = np.concatenate([np.flatnonzero(sorts), island[begins]])
+                inner = np.concatenate([np.arange(len(word))[sorts[island]], np.flatnonzero(begins)])
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(np.append(head, len(word)))[sorts], np.ones(int(begins.sum()), np.int64)]))]).astype(np.int32)
+                pieces = [texts[d][x:y] if s else None for d, x, y, s in zip(doc[head][rows].tolist(), b0[rows].tolist(), b1[rows].tolist(), sorts[rows].tolist())]
+                to = np.where(sorts[rows], shard[head][rows], (doc[head][rows] + row) % shards)
+                ids = [batch.column(k).take(pa.array(doc[head][rows] + row)) for k in (0, 1)]
+                of = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(kind)))
+                yield pa.record_batch(
+                    [
+                        pa.array(to.astype(np.int32)), *ids, pa.array(low[head][rows].astype(np.int32)), pa.array(stop[rows].astype(np.int32)),
+                        pa.array(b0[rows]), pa.array(b1[rows]), pa.array(np.where(sorts, 0, origin[head])[rows]), pa.array(pieces, pa.binary()),
+                        of((word - low[head][island])[inner], np.int32), of(mark[inner], np.int64), of(around[inner], np.int64),
+                        pa.array(np.diff(w.first)[doc[head][rows]].astype(np.int32)),
+                    ],
+                    [x.split()[0] for x in PIECES.split(", ")],
+                )
 
     return run
 
 
-def _cutter(min_words: int, gram: int):
-    """Texts (doc_id, text, text_hash, stretches) to their stretches."""
+PIECES = "shard int, doc_id long, text_hash long, w0 int, w1 int, b0 long, b1 long, origin long, text binary, at array<int>, marks array<long>, arounds array<long>, n int"
+RUNS = "kind int, doc_id long, text_hash long, w0 int, w1 int, b0 long, b1 long, origin long, mark long, around long"
+EXACT, COPY, ORIGIN = range(3)  # a run; one whose origin may be earlier; where surroundings begin first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, texts in blocks(batch.column(1)):
-                w = Words(texts, space=True, fold=False)
-                out: list[list] = [[] for _ in range(5)]
-                for k, text in enumerate(texts):
-                    n = w.first[k + 1] - w.first[k]
-                    for s in batch.column(3)[row + k].as_py():
-                        begin, end = max(0, s["low"] - (min_words - gram)), min(n, s["high"] + min_words)
-                        if end - begin < min_words:
-                            continue
-                        a = w.start[w.first[k] + begin] - w.base[k]
-                        b = w.end[w.first[k] + end - 1] - w.base[k]
-                        for column, value in zip(out, (batch.column(0)[row + k].as_py(), batch.column(2)[row + k].as_py(), int(a), text[a:b], s["component"])):
-                            column.append(value)
-                if out[0]:
-                    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types)], ["doc_id", "text_hash", "begin", "text", "component"])
 
-    return run
+def _runs(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    names = [x.split() for x in RUNS.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    return pa.record_batch(
+        [pa.array(np.full(n, kind, np.int32)) if c == "kind" else pa.array(columns[c]).cast(kinds[t]) if c in columns else pa.nulls(n, kinds[t]) for c, t in names],
+        [c for c, _ in names],
+    )
 
 
 class Shard:
-    """Stretches of text on disk, sorted into repeated spans. A stretch that repeats another
-    whole isn't sorted again: all of it is a later occurrence of what the first one starts with."""
-
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
-        self.hash_file, self.n = scratch.file(), 0
-        self.out = open(self.hash_file, "wb")
-        self.places = open(scratch.file(), "w+b")
-        self.first, self.doc, self.text, self.vocabulary = [0], [], [], np.zeros(0, np.uint64)
-        self.known: dict[bytes, int] = {}  # digest of a stretch to its region
-        self.copies: list[tuple[int, ...]] = []  # region, doc, text, start, stop
-
-    def add(self, doc: list[int], text_hash: list[int], begin: list[int], texts: list[bytes]) -> None:
-        new = []
-        for k, t in enumerate(texts):
-            region = self.known.setdefault(xxhash.xxh3_128_digest(t), len(self.doc) + len(new))
-            if region == len(self.doc) + len(new):
-                new.append(k)
-            else:
-                self.copies.append((region, doc[k], text_hash[k], begin[k], begin[k] + len(t)))
-        doc, text_hash, begin, texts = ([x[k] for k in new] for x in (doc, text_hash, begin, texts))
+    """Stretches of text on disk, sorted into later occurrences. In memory are only the distinct
+    words and one batch at a time."""
+
+    def __init__(self, scratch: Scratch, min_words: int, gram: int):
+        self.scratch, self.min_words, self.size = scratch, min_words, min_words - gram + 1
+        self.files = {k: open(scratch.file(), "w+b") for k in ("hashes", "places", "stretches", "marks")}
+        self.n, self.vocabulary = 0, np.zeros(0, np.uint64)
+
+    def add(self, part: pa.RecordBatch, texts: list[bytes]) -> None:
         w = Words(texts, space=True, fold=False)
         h = w.hashes()
-        self.out.write(h)
+        self.files["hashes"].write(h)
         self.vocabulary = np.union1d(self.vocabulary, h)
-        offset = np.array(begin, np.int64)[w.doc] - w.base[w.doc]
-        self.places.write(np.stack([w.start + offset, w.end + offset], 1).astype(np.int32))
-        self.first += (w.first[1:] + self.n).tolist()
-        self.doc += doc
-        self.text += text_hash
+        doc, text_hash, w0, b0, total = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3, 5, 12))
+        offset = b0[w.doc] - w.base[w.doc]
+        self.files["places"].write(np.stack([w.start + offset, w.end + offset], 1).astype(np.int64))
+        first = w.first[:-1] + self.n
+        self.files["stretches"].write(np.stack([first, doc, text_hash, w0], 1))
+        count = part.column(9).value_lengths().to_numpy(zero_copy_only=False)
+        own = np.repeat(np.arange(len(texts)), count)
+        at, mark, around = (part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (9, 10, 11))
+        # The windows that hold the mark, within the stretch and its text.
+        low = np.maximum(0, at - self.size + 1)
+        high = np.minimum(at, np.minimum(np.diff(w.first)[own], (total - w0)[own]) - self.min_words)
+        keep = high >= low
+        self.files["marks"].write(np.stack([first[own] + low, high - low + 1, mark, around], 1)[keep])
         self.n += len(h)
 
-    def spans(self, min_words: int) -> Iterator[pa.RecordBatch]:
-        self.out.close()
-        self.places.flush()
+    def _table(self, name: str, kind: type, width: int) -> np.ndarray:
+        file = self.files[name]
+        file.flush()
+        n = os.path.getsize(file.name) // (np.dtype(kind).itemsize * width)
+        return np.memmap(file.name, kind, "r", shape=(n, width)) if n else np.zeros((0, width), kind)
+
+    def runs(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        scratch, n = self.scratch, self.n
-        hashes = np.memmap(self.hash_file, np.uint64, "r", shape=(n,))
-        places = np.memmap(self.places.name, np.int32, "r", shape=(n, 2))
+        scratch, n, min_words = self.scratch, self.n, self.min_words
+        hashes = self._table("hashes", np.uint64, 1)[:, 0]
         digits = int(np.sqrt(len(self.vocabulary))) + 1
         small = scratch.array(2 * n + 1, np.int32)
         for row in range(0, n, scratch.memory):
@@ -209,11 +222,13 @@ class Shard:
             small[2 * row + 1 : 2 * (row + len(word)) : 2] = word % digits + 1
         small[2 * n] = 0
         del hashes
-        os.unlink(self.hash_file)
+        self.files["hashes"].close()
+        os.unlink(self.files["hashes"].name)
         sa, lcp = suffix_array(small, digits + 2, 2 * min_words + 2, scratch)
         scratch.drop(small)
         del small
-        first = np.array(self.first, np.int64)
+        places, stretches, marks = self._table("places", np.int64, 2), self._table("stretches", np.int64, 4), self._table("marks", np.int64, 4)
+        first = np.append(stretches[:, 0], n)
         source = scratch.array(n, np.int32 if n < (1 << 31) - 1 else np.int64)  # of each word that starts a later occurrence: the first one, plus one
         step = max(1024, 2 * scratch.memory)
         row = 0
@@ -226,8 +241,7 @@ class Shard:
             if len(keep):
                 new = np.cumsum(common < 2 * min_words)[keep]
                 at = at[keep] // 2
-                region = np.searchsorted(first, at, "right")
-                whole = first[region] - at >= min_words
+                whole = first[np.searchsorted(first, at, "right")] - at >= min_words
                 at, new = at[whole], new[whole]
                 if len(at):
                     head = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
@@ -239,95 +253,166 @@ class Shard:
         scratch.drop(sa)
         scratch.drop(lcp)
         del sa, lcp
-        begins = np.concatenate([np.flatnonzero(source[row : row + step]) + row for row in range(0, n, step)])
-        doc, text = np.array(self.doc, np.int64), np.array(self.text, np.int64)
-        if self.copies:
-            region, *columns = np.array(self.copies, np.int64).T
-            before = np.asarray(source[first[region]]).astype(np.int64)
-            before = np.where(before > 0, np.searchsorted(first, np.maximum(before - 1, 0), "right") - 1, region)
-            yield pa.record_batch([*map(pa.array, columns), pa.array(np.diff(first)[region]), pa.array(doc[before])], [x.split()[0] for x in SPANS.split(", ")])
-        if not len(begins):
-            return
-        region = np.searchsorted(first, begins, "right") - 1
-        new = np.append(True, (begins[1:] > begins[:-1] + min_words) | (region[1:] != region[:-1]))
-        head = np.flatnonzero(new)
-        last = np.append(head[1:], len(begins)) - 1
-        low, high, region = begins[head], begins[last] + min_words, region[head]
-        origin = np.searchsorted(first, np.asarray(source[low]) - 1, "right") - 1
-        for row in range(0, len(low), 50_000):
-            part = slice(row, row + 50_000)
-            yield pa.record_batch(
-                [pa.array(x) for x in (doc[region[part]], text[region[part]], places[low[part], 0].astype(np.int64), places[high[part] - 1, 1].astype(np.int64), high[part] - low[part], doc[origin[part]])],
-                [x.split()[0] for x in SPANS.split(", ")],
-            )
-
-
-def _sorter(root: str | None, min_words: int, memory: int):
+        region = lambda at: np.searchsorted(first, at, "right") - 1
+        covered = scratch.array(n, np.int8)
+        for row in range(0, len(marks), step // 32 + 1):
+            low, count, mark, around = np.asarray(marks[row : row + step // 32 + 1]).T
+            covered[np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())] = 1
+            begin = np.asarray(source[low]).astype(np.int64)
+            some = np.flatnonzero(begin > 0)
+            if len(some):
+                yield _runs(ORIGIN, len(some), mark=mark[some], around=around[some], origin=stretches[region(begin[some] - 1), 1])
+        for row in range(0, n, step):
+            at = np.flatnonzero(np.asarray(source[row : row + step]).astype(bool) & np.asarray(covered[row : row + step]).astype(bool)) + row
+            if not len(at):
+                continue
+            own = region(at)
+            origin = stretches[region(np.asarray(source[at]).astype(np.int64) - 1), 1]
+            head = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]) | (origin[1:] != origin[:-1])))
+            low, high, own = at[head], at[np.append(head[1:], len(at)) - 1] + min_words, own[head]
+            shift = stretches[own, 3] - first[own]
+            yield _runs(EXACT, len(head), doc_id=stretches[own, 1], text_hash=stretches[own, 2], w0=low + shift, w1=high + shift, b0=places[low, 0], b1=places[high - 1, 1], origin=origin[head])
+
+
+def _sorter(root: str | None, min_words: int, gram: int, memory: int):
+    """Stretches, sorted by shard and place, to the runs of each shard; copies pass through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = root or next((os.environ[k].split(",")[0] for k in ("LOCAL_DIRS", "SPARK_LOCAL_DIRS") if k in os.environ), None)
-        scratch = Scratch(own, memory)
+        scratch, shard, at, last = None, None, None, None
         try:
-            shard = Shard(scratch)
-            last = None
             for batch in batches:
-                docs, texts, begins = (batch.column(k).to_pylist() for k in range(3))
-                for row, part in blocks(batch.column(3)):
-                    keep = []  # a row that repeats one is the same text
-                    for k in range(len(part)):
-                        own = docs[row + k], texts[row + k], begins[row + k]
-                        if own != last:
-                            keep.append(k)
-                        last = own
-                    shard.add(*([x[row + k] for k in keep] for x in (docs, texts, begins)), [part[k] for k in keep])
-            yield from shard.spans(min_words)
+                copies = batch.filter(pc.is_null(batch.column(8)))
+                if len(copies):
+                    only = lambda k: copies.column(k).flatten()
+                    yield pa.record_batch([pa.array(np.full(len(copies), COPY, np.int32)), *(copies.column(k) for k in range(1, 8)), only(10), only(11)], [x.split()[0] for x in RUNS.split(", ")])
+                batch = batch.filter(pc.is_valid(batch.column(8)))
+                key = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+                fresh = [k != (key[i - 1] if i else last) for i, k in enumerate(key)]  # a row that repeats one is the same text
+                last = key[-1] if key else last
+                batch = batch.filter(pa.array(fresh, pa.bool_()))
+                number = batch.column(0).to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist() if len(number) else []
+                for low, high in zip(edges, [*edges[1:], len(number)]):
+                    if number[low] != at:
+                        if shard is not None:
+                            yield from shard.runs()
+                            scratch.close()
+                        scratch, at = Scratch(own, memory), number[low]
+                        shard = Shard(scratch, min_words, gram)
+                    part = batch.slice(low, high - low)
+                    for row, texts in blocks(part.column(8)):
+                        shard.add(part.slice(row, len(texts)), texts)
+            if shard is not None:
+                yield from shard.runs()
         finally:
-            scratch.close()
+            if scratch is not None:
+                scratch.close()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None = None, shard_words: int = SHARD_WORDS, memory: int = SORT_MEMORY) -> DataFrame:
+def _windows_of_hot(min_words: int, gram: int):
+    """Texts (doc_id, text_hash, text, marks) to every window that holds one of the marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min_words - gram + 1
+        for batch in batches:
+            for row, texts in blocks(batch.column(2), 1 << 18):
+                w = Words(texts, space=True, fold=False)
+                sums = prefix(w.hashes())
+                lists = batch.column(3).slice(row, len(texts))
+                count = lists.value_lengths().to_numpy(zero_copy_only=False)
+                word, mark, around = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                doc = np.repeat(np.arange(len(texts)), count)
+                low, high = np.maximum(0, word - size + 1), np.minimum(word, np.diff(w.first)[doc] - min_words)
+                many = np.maximum(0, high - low + 1)
+                of = np.repeat(np.arange(len(word)), many)
+                w0 = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
+                at = w.first[doc[of]] + w0
+                base = w.base[doc[of]]
+                ids = [batch.column(k).slice(row, len(texts)).take(pa.array(doc[of])) for k in (0, 1)]
+                head = w0 == low[of]
+                yield pa.record_batch(
+                    [pa.array(mark[of]), pa.array(signed(span(sums, at, at + min_words))), *ids, pa.array(w0.astype(np.int32)), pa.array(w.start[at] - base), pa.array(w.end[at + min_words - 1] - base), pa.array(around[of], mask=~head)],
+                    ["mark", "window", "doc_id", "text_hash", "w0", "b0", "b1", "around"],
+                )
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None = None, shard_words: int = SHARD_WORDS, memory: int = SORT_MEMORY, hot: int | None = None) -> DataFrame:
     """SPANS: the later occurrences of repeated passages, as bytes start to stop of the text,
-    joined where they overlap, with the document of the first occurrence."""
+    joined where they touch, with the document in which the first MIN_WORDS words of the span
+    occur first."""
     spark = docs.sparkSession
     gram = gram or max(1, min_words // 2)
-    # A key stands for a document's text; rows that repeat one under one doc_id share it.
-    texts = _texts(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("key", F.xxhash64("doc_id", "text_hash"))
-    marks = texts.select("key", "text").mapInArrow(_marks(min_words, gram), "key long, mark long, word int")
-    own = W.partitionBy("mark")
-    several = marks.withColumn("lo", F.min(F.struct("key", "word")).over(own)).withColumn("hi", F.max(F.struct("key", "word")).over(own)).where("lo <> hi")
-    by_text = cut(
-        several.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("word", "mark"))).alias("m"))
-        .select("key", F.col("m.word").alias("word"), F.col("m.mark").alias("mark"))
+    hot = hot or max(1, shard_words // (2 * min_words))
+    texts = _texts(docs).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
+    own = ("doc_id", "text_hash")
+    place = F.struct(*own, "word")
+    twice = cut(texts.mapInArrow(_marks(min_words, gram, False), "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
+    marks = texts.mapInArrow(_marks(min_words, gram, True), "doc_id long, text_hash long, mark long, word int, around long")
+    marks = cut(_perhaps(marks, twice, "mark").join(twice, "mark", "left_semi").distinct())
+    # Equal surroundings of a mark are one; the first of them stands for all.
+    around = marks.groupBy("mark", "around").agg(F.min(place).alias("rep"), F.count("*").alias("n"))
+    around = cut(around)
+    of_mark = cut(around.groupBy("mark").agg(F.min("rep").alias("lead"), F.count("*").alias("n_around"), F.sum("n").alias("total")).where("total > 1").drop("total"))
+    around = cut(around.join(of_mark, "mark"))
+    total, n_hot = around.agg(F.sum(F.when((F.col("n_around") > 1) & (F.col("n_around") <= hot), 1)), F.sum(F.when(F.col("n_around") > hot, 1))).first()
+    # A mark stands for about (min_words - gram + 2) / 2 words, and stretches have two ends.
+    shards = max(1, -(-(total or 0) * (min_words - gram + 2) // shard_words))
+    lead = F.xxhash64("lead.doc_id", "lead.text_hash", F.floor(F.col("lead.word") / 512))
+    placed = marks.join(around, ["mark", "around"]).withColumn("copy", F.col("rep") != place).where("copy or n_around > 1")
+    to_sort = placed.where(F.col("copy") | (F.col("n_around") <= hot)).withColumn("shard", F.when(F.col("copy"), -1).otherwise(F.pmod(lead, F.lit(shards))).cast("int"))
+    lists = cut(to_sort.groupBy(*own).agg(F.collect_list(F.struct("word", "mark", "around", "shard", F.col("rep.doc_id").alias("origin"))).alias("m")))
+    found = (
+        _perhaps(texts, lists, *own).join(lists, [*own]).select(*own, "text", "m")
+        .mapInArrow(_cutter(min_words, gram, shards), PIECES)
+        .repartitionById(shards, "shard").sortWithinPartitions("shard", *own, "w0")
+        .mapInArrow(_sorter(scratch_root(spark), min_words, gram, memory), RUNS)
     )
-    # Stretches that share a mark belong together: their leaders are joined to the least of them,
-    # so the graph has a node for each different stretch and copies add nothing to it.
-    pairs = by_text.select("word", "mark").mapInArrow(_leaders(min_words), "mark long, leader long").repartition("mark").distinct()
-    links = pairs.withColumn("a", F.min("leader").over(own)).where("leader <> a").select("a", F.col("leader").alias("b")).distinct()
-    parts = connected_components(links)
-    placed = by_text.mapInArrow(_stretches(min_words), "key long, leader long, low int, high int").join(parts, F.col("leader") == F.col("node"), "left")
-    of_text = placed.groupBy("key").agg(F.collect_list(F.struct("low", "high", F.coalesce("component", "leader").alias("component"))).alias("stretches"))
-    total, n_texts = by_text.agg(F.sum(F.size("word")), F.count("*")).first()
-    # A mark stands for about (min_words - gram + 2) / 2 words.
-    shards = max(1, round((total or 0) * (min_words - gram + 2) / 2 / shard_words))
-    placed = (
-        _perhaps(texts, by_text, n_texts).join(of_text, "key").select("doc_id", "text", "text_hash", "stretches")
-        .mapInArrow(_cutter(min_words, gram), "doc_id long, text_hash long, begin long, text binary, component long")
-        .repartition(shards, "component").sortWithinPartitions("doc_id", "text_hash", "begin")
-        .select("doc_id", "text_hash", "begin", "text")
+    if n_hot:
+        found = found.union(_hot_runs(texts, placed.where(~F.col("copy") & (F.col("n_around") > hot)), min_words, gram))
+    found = cut(found)
+    origins = found.where(F.col("kind") == ORIGIN).select("mark", "around", F.col("origin").alias("earlier"))
+    copies = found.where(F.col("kind") == COPY).join(origins, ["mark", "around"], "left").withColumn("origin", F.coalesce("earlier", "origin"))
+    runs = found.where(F.col("kind") == EXACT).drop("mark", "around", "kind").union(copies.select(*own, "w0", "w1", "b0", "b1", "origin"))
+    before = W.partitionBy(*own).orderBy("w0", "w1").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*own).orderBy("w0", "w1").rowsBetween(W.unboundedPreceding, 0)
+    apart = F.coalesce(F.col("w0") > F.max("w1").over(before), F.lit(True))
+    return (
+        runs.distinct().withColumn("apart", apart).withColumn("span", F.sum(F.col("apart").cast("long")).over(upto))
+        .groupBy(*own, "span").agg(
+            F.min("b0").alias("start"), F.max("b1").alias("stop"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.min(F.struct("w0", "origin"))["origin"].alias("first_doc_id"),
+        ).drop("span")
     )
-    return placed.mapInArrow(_sorter(scratch_root(spark), min_words, memory), SPANS)
-
-
-def _perhaps(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The texts whose key is in wanted, and a few others: a bit for each of FILTER_BITS values of
-    a key says which can be dropped before they are shuffled. The bits are sent to all tasks;
-    their number is bounded, and with too many keys for it the filter merely drops less."""
-    bits = min(FILTER_BITS, 1 << max(12, (16 * max(1, n)).bit_length()))
-    slot = F.pmod(F.shiftright("key", 6), F.lit(bits // 64)).cast("int")
-    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    filled = wanted.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("set"))
-    return texts.join(F.broadcast(filled), slot == F.col("slot")).where(F.col("set").bitwiseAND(bit) != 0).drop("slot", "set")
+
+
+def _hot_runs(texts: DataFrame, places: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """RUNS of marks with very many different surroundings: windows grouped by their hashes."""
+    own = ("doc_id", "text_hash")
+    lists = cut(places.groupBy(*own).agg(F.collect_list(F.struct("word", "mark", "around")).alias("m")))
+    windows_of = texts.join(lists, [*own]).select(*own, "text", "m").mapInArrow(_windows_of_hot(min_words, gram), "mark long, window long, doc_id long, text_hash long, w0 int, b0 long, b1 long, around long")
+    place = F.struct(*own, "w0")
+    first = cut(windows_of.groupBy("mark", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("mark", "window", "first"))
+    later = windows_of.join(first, ["mark", "window"]).where(place != F.col("first"))
+    none = F.lit(None).cast("long")
+    runs = later.select(F.lit(EXACT).alias("kind"), *own, "w0", (F.col("w0") + min_words).alias("w1"), "b0", "b1", F.col("first.doc_id").alias("origin"), none.alias("mark"), none.alias("around"))
+    starts = later.where("around is not null").select(F.lit(ORIGIN).alias("kind"), *(none.alias(c) for c in own), *(F.lit(None).cast("int").alias(c) for c in ("w0", "w1")), none.alias("b0"), none.alias("b1"), F.col("first.doc_id").alias("origin"), "mark", "around")
+    return runs.union(starts)
+
+
+def _perhaps(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key is in wanted, and a few others, before they are shuffled for an exact
+    join. The bits sent to all tasks are FILTER_BITS at most, at any size; with more keys than
+    they can tell apart rows are only shuffled that the join then drops."""
+    code = F.xxhash64(*key)
+    bits = min(FILTER_BITS, 1 << max(12, (16 * max(1, wanted.count())).bit_length()))
+    slot = F.pmod(F.shiftright(code, 6), F.lit(bits // 64)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(key)}) & 63 as int))")
+    filled = wanted.select(slot.alias("slot__"), bit.alias("bit__")).groupBy("slot__").agg(F.bit_or("bit__").alias("set__"))
+    return rows.join(F.broadcast(filled), slot == F.col("slot__")).where(F.col("set__").bitwiseAND(bit) != 0).drop("slot__", "set__")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -53,12 +53,13 @@ class Scratch:
 
 
 class Queues:
-    """A queue of (position, prefix) for each symbol; beyond a multiple of `memory` tuples all go to disk."""
+    """A queue of (position, prefix) for each symbol; beyond a multiple of `memory` tuples all go
+    to disk. Each spill is a file of its own, which goes when its last tuples are popped."""
 
     def __init__(self, n: int, scratch: Scratch):
-        self.limit, self.held = 2 * scratch.memory, 0
+        self.limit, self.held, self.scratch = 2 * scratch.memory, 0, scratch
         self.parts: list[list] = [[] for _ in range(n)]
-        self.file = open(scratch.file(), "w+b", buffering=0)
+        self.left: dict[str, int] = {}
 
     def push(self, symbol: int, at: np.ndarray, lcp: np.ndarray) -> None:
         self.parts[symbol].append(at << PREFIX_BITS | lcp)
@@ -67,12 +68,15 @@ class Queues:
             self.spill()
 
     def spill(self) -> None:
-        self.file.seek(0, 2)
-        for waiting in self.parts:
-            for k, x in enumerate(waiting):
-                if isinstance(x, np.ndarray):
-                    waiting[k] = (self.file.tell(), len(x))
-                    self.file.write(x)
+        name, n = self.scratch.file(), 0
+        with open(name, "wb") as file:
+            for waiting in self.parts:
+                for k, x in enumerate(waiting):
+                    if isinstance(x, np.ndarray):
+                        waiting[k] = (name, file.tell(), len(x))
+                        file.write(x)
+                        n += 1
+        self.left[name] = n
         self.held = 0
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -81,17 +85,20 @@ class Queues:
             return None
         for k, x in enumerate(waiting):
             if isinstance(x, tuple):
-                self.file.seek(x[0])
-                waiting[k] = np.frombuffer(self.file.read(x[1] * 8), np.int64)
+                name, at, n = x
+                waiting[k] = np.fromfile(name, np.int64, n, offset=at)
+                self.left[name] -= 1
+                if not self.left[name]:
+                    os.unlink(name)
+                    del self.left[name]
             else:
                 self.held -= len(x)
         all_of = waiting[0] if len(waiting) == 1 else np.concatenate(waiting)
         return all_of >> PREFIX_BITS, (all_of & ((1 << PREFIX_BITS) - 1)).astype(np.int32)
 
     def close(self) -> None:
-        name = self.file.name
-        self.file.close()
-        os.unlink(name)
+        for name in self.left:
+            os.unlink(name)
 
 
 class RangeMin:

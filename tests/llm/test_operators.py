@@ -126,12 +126,12 @@ def repeat_rows():
     return rows
 
 
-@pytest.mark.parametrize(("shard", "memory"), [(1_500_000, 1 << 22), (500, 512)])
-def test_repeats_by_hand(spark, shard, memory):
+@pytest.mark.parametrize(("shard", "memory", "hot"), [(1_500_000, 1 << 22, None), (500, 512, 1000), (5000, 1 << 12, 2), (5000, 1 << 12, 1)])
+def test_repeats_by_hand(spark, shard, memory, hot):
     rows = repeat_rows()
     want = spans_by_hand(rows, 30)
     found: dict = {}
-    for r in substrings.repeated_spans(frame(spark, [*rows, *rows[:5]]), 30, shard_words=shard, memory=memory).collect():
+    for r in substrings.repeated_spans(frame(spark, [*rows, *rows[:5]]), 30, shard_words=shard, memory=memory, hot=hot).collect():
         assert r["first_doc_id"] <= r["doc_id"] and r["n_words"] >= 30
         found.setdefault(r["doc_id"], []).append([r["start"], r["stop"], r["first_doc_id"]])
     for spans in found.values():  # spans of two stretches may touch
