@@ -11,8 +11,9 @@ as one stretch; a text goes to as many shards as its marks name and nothing is c
 Each shard is sorted by the external induced sorting of `suffix.py`, and equal neighbours in
 the suffix array are the repeats: the occurrence with the least (doc_id, position) stays, every
 later one is reported. A mark with more than `hot` different surroundings would fill a shard by
-itself; its windows are grouped by their hashes instead, with partial sums before the shuffle,
-so no task ever holds one mark's places. Both ways are exact and give the same rows.
+itself; its windows, each of a text once, are grouped by their hashes instead, with partial sums
+before the shuffle, so no task ever holds one mark's places. Both ways are exact and give the
+same rows.
 
 Words are runs of non-space bytes, compared as they stand (64-bit hashes of words; surroundings
 and windows agree in 128 bits). Defined results: null and empty texts have no passages; rows
@@ -113,8 +114,9 @@ def _islands(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _cutter(min_words: int, gram: int, shards: int):
-    """Texts (doc_id, text_hash, text, marks) to stretches for the shards, and to the places that
-    repeat the surroundings of an earlier one (shard -1), which need no sorting."""
+    """Texts (doc_id, text_hash, text, marks) to stretches for the shards; to the places that repeat
+    the surroundings of an earlier one (shard DONE), which need no sorting; and to the windows of
+    marks with very many surroundings (shard CROWDED), each window of a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = min_words - gram + 1
@@ -130,6 +132,12 @@ def _cutter(min_words: int, gram: int, shards: int):
                 low, high = np.maximum(0, word - size + 1), np.minimum(n, word + min_words)
                 order = np.lexsort((word, shard, doc))
                 word, mark, around, shard, origin, doc, low, high = (x[order] for x in (word, mark, around, shard, origin, doc, low, high))
+                crowded = shard == CROWDED
+                if crowded.any():
+                    yield _windows(batch, row, w, min_words, doc[crowded], low[crowded], (high - min_words)[crowded], mark[crowded], around[crowded], shards)
+                    word, mark, around, shard, origin, doc, low, high = (x[~crowded] for x in (word, mark, around, shard, origin, doc, low, high))
+                    if not len(word):
+                        continue
                 new = _islands(doc * (shards + 1) + shard + 1, low, high)
                 head = np.flatnonzero(new)
                 island = np.cumsum(new) - 1
@@ -149,10 +157,10 @@ def _cutter(min_words: int, gram: int, shards: int):
                 of = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(kind)))
                 yield pa.record_batch(
                     [
-                        pa.array(to.astype(np.int32)), *ids, pa.array(low[head][rows].astype(np.int32)), pa.array(stop[rows].astype(np.int32)),
+                        pa.array(to.astype(np.int32)), pa.array(np.where(sorts[rows], EXACT, COPY).astype(np.int32)), *ids, pa.array(low[head][rows].astype(np.int32)), pa.array(stop[rows].astype(np.int32)),
                         pa.array(b0[rows]), pa.array(b1[rows]), pa.array(np.where(sorts, 0, origin[head])[rows]), pa.array(pieces, pa.binary()),
                         of((word - low[head][island])[inner], np.int32), of(mark[inner], np.int64), of(around[inner], np.int64),
-                        pa.array(np.diff(w.first)[doc[head][rows]].astype(np.int32)),
+                        pa.array(np.diff(w.first)[doc[head][rows]].astype(np.int32)), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()),
                     ],
                     [x.split()[0] for x in PIECES.split(", ")],
                 )
@@ -160,9 +168,35 @@ def _cutter(min_words: int, gram: int, shards: int):
     return run
 
 
-PIECES = "shard int, doc_id long, text_hash long, w0 int, w1 int, b0 long, b1 long, origin long, text binary, at array<int>, marks array<long>, arounds array<long>, n int"
-RUNS = "kind int, doc_id long, text_hash long, w0 int, w1 int, b0 long, b1 long, origin long, mark long, around long"
-EXACT, COPY, ORIGIN = range(3)  # a run; one whose origin may be earlier; where surroundings begin first
+def _windows(batch: pa.RecordBatch, row: int, w: Words, min_words: int, doc: np.ndarray, low: np.ndarray, high: np.ndarray, mark: np.ndarray, around: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Rows of PIECES: the windows that start at words low to high of their texts, each once (WINDOW),
+    and the first window of each mark (HEAD)."""
+    h = w.hashes()
+    edge = np.zeros(len(h) + 1, np.int64)
+    np.add.at(edge, w.first[doc] + low, 1)
+    np.add.at(edge, w.first[doc] + high + 1, -1)
+    at = np.concatenate([np.flatnonzero(np.cumsum(edge)[:-1] > 0), w.first[doc] + low])
+    n, own = len(at) - len(doc), w.doc[at]
+    keys = [span(prefix(x), at, at + min_words) for x in (h, mix(h ^ U(0xA5A5A5A5A5A5A5A5)))]
+    ids = [batch.column(k).slice(row).take(pa.array(own)) for k in (0, 1)]
+    w0 = at - w.first[own]
+    only = lambda x: pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n, np.int32), np.arange(len(x) + 1, dtype=np.int32))), pa.array(x))
+    columns = {
+        "shard": (signed(keys[0]) % shards).astype(np.int32), "kind": np.repeat(np.array([WINDOW, HEAD], np.int32), [n, len(doc)]), "w0": w0.astype(np.int32), "w1": (w0 + min_words).astype(np.int32),
+        "b0": w.start[at] - w.base[own], "b1": w.end[at + min_words - 1] - w.base[own], "k1": signed(keys[0]), "k2": signed(keys[1]),
+    }
+    nothing = {"origin": pa.int64(), "text": pa.binary(), "at": pa.list_(pa.int32()), "n": pa.int32()}
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    given = {"doc_id": ids[0], "text_hash": ids[1], "marks": only(mark), "arounds": only(around)}
+    return pa.record_batch([given[c] if c in given else pa.array(columns[c]) if c in columns else pa.nulls(len(at), nothing[c]) for c in names], names)
+
+
+PIECES = "shard int, kind int, doc_id long, text_hash long, w0 int, w1 int, b0 long, b1 long, origin long, text binary, at array<int>, marks array<long>, arounds array<long>, n int, k1 long, k2 long"
+RUNS = "kind int, doc_id long, text_hash long, w0 int, w1 int, b0 long, b1 long, origin long, mark long, around long, k1 long, k2 long"
+# A run (or stretch to sort); a run whose origin may be earlier; where surroundings begin first; a
+# window to be grouped; the first window of a crowded mark's surroundings.
+EXACT, COPY, ORIGIN, WINDOW, HEAD = range(5)
+DONE, CROWDED = -1, -2
 
 
 def _runs(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
@@ -188,14 +222,14 @@ class Shard:
         h = w.hashes()
         self.files["hashes"].write(h)
         self.vocabulary = np.union1d(self.vocabulary, h)
-        doc, text_hash, w0, b0, total = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3, 5, 12))
+        doc, text_hash, w0, b0, total = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3, 4, 6, 13))
         offset = b0[w.doc] - w.base[w.doc]
         self.files["places"].write(np.stack([w.start + offset, w.end + offset], 1).astype(np.int64))
         first = w.first[:-1] + self.n
         self.files["stretches"].write(np.stack([first, doc, text_hash, w0], 1))
-        count = part.column(9).value_lengths().to_numpy(zero_copy_only=False)
+        count = part.column(10).value_lengths().to_numpy(zero_copy_only=False)
         own = np.repeat(np.arange(len(texts)), count)
-        at, mark, around = (part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (9, 10, 11))
+        at, mark, around = (part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (10, 11, 12))
         # The windows that hold the mark, within the stretch and its text.
         low = np.maximum(0, at - self.size + 1)
         high = np.minimum(at, np.minimum(np.diff(w.first)[own], (total - w0)[own]) - self.min_words)
@@ -282,12 +316,12 @@ def _sorter(root: str | None, min_words: int, gram: int, memory: int):
         scratch, shard, at, last = None, None, None, None
         try:
             for batch in batches:
-                copies = batch.filter(pc.is_null(batch.column(8)))
-                if len(copies):
-                    only = lambda k: copies.column(k).flatten()
-                    yield pa.record_batch([pa.array(np.full(len(copies), COPY, np.int32)), *(copies.column(k) for k in range(1, 8)), only(10), only(11)], [x.split()[0] for x in RUNS.split(", ")])
-                batch = batch.filter(pc.is_valid(batch.column(8)))
-                key = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+                rest = batch.filter(pc.is_null(batch.column(9)))
+                if len(rest):
+                    first = lambda k: pa.array([x[0] if x else None for x in rest.column(k).to_pylist()], pa.int64())
+                    yield pa.record_batch([*(rest.column(k) for k in range(1, 9)), first(11), first(12), rest.column(14), rest.column(15)], [x.split()[0] for x in RUNS.split(", ")])
+                batch = batch.filter(pc.is_valid(batch.column(9)))
+                key = list(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))))
                 fresh = [k != (key[i - 1] if i else last) for i, k in enumerate(key)]  # a row that repeats one is the same text
                 last = key[-1] if key else last
                 batch = batch.filter(pa.array(fresh, pa.bool_()))
@@ -301,7 +335,7 @@ def _sorter(root: str | None, min_words: int, gram: int, memory: int):
                         scratch, at = Scratch(own, memory), number[low]
                         shard = Shard(scratch, min_words, gram)
                     part = batch.slice(low, high - low)
-                    for row, texts in blocks(part.column(8)):
+                    for row, texts in blocks(part.column(9)):
                         shard.add(part.slice(row, len(texts)), texts)
             if shard is not None:
                 yield from shard.runs()
@@ -312,72 +346,51 @@ def _sorter(root: str | None, min_words: int, gram: int, memory: int):
     return run
 
 
-def _windows_of_hot(min_words: int, gram: int):
-    """Texts (doc_id, text_hash, text, marks) to every window that holds one of the marks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = min_words - gram + 1
-        for batch in batches:
-            for row, texts in blocks(batch.column(2), 1 << 18):
-                w = Words(texts, space=True, fold=False)
-                sums = prefix(w.hashes())
-                lists = batch.column(3).slice(row, len(texts))
-                count = lists.value_lengths().to_numpy(zero_copy_only=False)
-                word, mark, around = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-                doc = np.repeat(np.arange(len(texts)), count)
-                low, high = np.maximum(0, word - size + 1), np.minimum(word, np.diff(w.first)[doc] - min_words)
-                many = np.maximum(0, high - low + 1)
-                of = np.repeat(np.arange(len(word)), many)
-                w0 = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
-                at = w.first[doc[of]] + w0
-                base = w.base[doc[of]]
-                ids = [batch.column(k).slice(row, len(texts)).take(pa.array(doc[of])) for k in (0, 1)]
-                head = w0 == low[of]
-                yield pa.record_batch(
-                    [pa.array(mark[of]), pa.array(signed(span(sums, at, at + min_words))), *ids, pa.array(w0.astype(np.int32)), pa.array(w.start[at] - base), pa.array(w.end[at + min_words - 1] - base), pa.array(around[of], mask=~head)],
-                    ["mark", "window", "doc_id", "text_hash", "w0", "b0", "b1", "around"],
-                )
-
-    return run
-
-
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None = None, shard_words: int = SHARD_WORDS, memory: int = SORT_MEMORY, hot: int | None = None) -> DataFrame:
     """SPANS: the later occurrences of repeated passages, as bytes start to stop of the text,
     joined where they touch, with the document in which the first MIN_WORDS words of the span
     occur first."""
     spark = docs.sparkSession
     gram = gram or max(1, min_words // 2)
-    hot = hot or max(1, shard_words // (2 * min_words))
+    # The surroundings of one mark, some 1.5 * min_words words each, take a small part of a shard.
+    hot = hot or max(1, shard_words // 1000)
     texts = _texts(docs).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
     own = ("doc_id", "text_hash")
     place = F.struct(*own, "word")
     twice = cut(texts.mapInArrow(_marks(min_words, gram, False), "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     marks = texts.mapInArrow(_marks(min_words, gram, True), "doc_id long, text_hash long, mark long, word int, around long")
-    marks = cut(_perhaps(marks, twice, "mark").join(twice, "mark", "left_semi").distinct())
+    # An inner join: a semi-join would be moved below the filter before it.
+    marks = cut(_perhaps(marks, twice, "mark").join(twice, "mark"))
     # Equal surroundings of a mark are one; the first of them stands for all.
-    around = marks.groupBy("mark", "around").agg(F.min(place).alias("rep"), F.count("*").alias("n"))
-    around = cut(around)
-    of_mark = cut(around.groupBy("mark").agg(F.min("rep").alias("lead"), F.count("*").alias("n_around"), F.sum("n").alias("total")).where("total > 1").drop("total"))
-    around = cut(around.join(of_mark, "mark"))
-    total, n_hot = around.agg(F.sum(F.when((F.col("n_around") > 1) & (F.col("n_around") <= hot), 1)), F.sum(F.when(F.col("n_around") > hot, 1))).first()
+    around = cut(marks.groupBy("mark", "around").agg(F.min(place).alias("rep"), F.count("*").alias("n")))
+    of_mark = around.groupBy("mark").agg(F.min("rep").alias("lead"), F.count("*").alias("n_around"), F.sum("n").alias("total")).where("total > 1")
+    lead = F.xxhash64("lead.doc_id", "lead.text_hash", F.floor(F.col("lead.word") / 512))
+    of_mark = cut(of_mark.select("mark", "n_around", lead.alias("lead")))
+    total, n_hot = of_mark.agg(F.sum(F.when((F.col("n_around") > 1) & (F.col("n_around") <= hot), F.col("n_around"))), F.max(F.col("n_around") > hot)).first()
     # A mark stands for about (min_words - gram + 2) / 2 words, and stretches have two ends.
     shards = max(1, -(-(total or 0) * (min_words - gram + 2) // shard_words))
-    lead = F.xxhash64("lead.doc_id", "lead.text_hash", F.floor(F.col("lead.word") / 512))
-    placed = marks.join(around, ["mark", "around"]).withColumn("copy", F.col("rep") != place).where("copy or n_around > 1")
-    to_sort = placed.where(F.col("copy") | (F.col("n_around") <= hot)).withColumn("shard", F.when(F.col("copy"), -1).otherwise(F.pmod(lead, F.lit(shards))).cast("int"))
-    lists = cut(to_sort.groupBy(*own).agg(F.collect_list(F.struct("word", "mark", "around", "shard", F.col("rep.doc_id").alias("origin"))).alias("m")))
-    found = (
+    to = F.when(F.col("n_around") > hot, CROWDED).otherwise(F.pmod("lead", F.lit(shards))).cast("int")
+    around = cut(around.join(of_mark, "mark").where("n > 1 or n_around > 1").select("mark", "around", "rep", F.when(F.col("n_around") > 1, to).alias("to")))
+    placed = marks.join(around, ["mark", "around"]).withColumn("shard", F.when(F.col("rep") != place, DONE).otherwise(F.col("to"))).where("shard is not null")
+    # Rows that repeat a doc_id and text have equal lists, one of which is enough.
+    lists = cut(placed.groupBy(*own).agg(F.collect_set(F.struct("word", "mark", "around", "shard", F.col("rep.doc_id").alias("origin"))).alias("m")))
+    found = cut(
         _perhaps(texts, lists, *own).join(lists, [*own]).select(*own, "text", "m")
         .mapInArrow(_cutter(min_words, gram, shards), PIECES)
         .repartitionById(shards, "shard").sortWithinPartitions("shard", *own, "w0")
         .mapInArrow(_sorter(scratch_root(spark), min_words, gram, memory), RUNS)
     )
-    if n_hot:
-        found = found.union(_hot_runs(texts, placed.where(~F.col("copy") & (F.col("n_around") > hot)), min_words, gram))
-    found = cut(found)
     origins = found.where(F.col("kind") == ORIGIN).select("mark", "around", F.col("origin").alias("earlier"))
-    copies = found.where(F.col("kind") == COPY).join(origins, ["mark", "around"], "left").withColumn("origin", F.coalesce("earlier", "origin"))
-    runs = found.where(F.col("kind") == EXACT).drop("mark", "around", "kind").union(copies.select(*own, "w0", "w1", "b0", "b1", "origin"))
+    runs = found.where(F.col("kind") == EXACT).select(*own, "w0", "w1", "b0", "b1", "origin")
+    if n_hot:
+        at = F.struct(*own, "w0")
+        windows_of = found.where(F.col("kind") == WINDOW)
+        first = cut(windows_of.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("k1", "k2", "first"))
+        later = found.where(F.col("kind").isin(WINDOW, HEAD)).join(first, ["k1", "k2"]).where(at != F.col("first"))
+        runs = runs.union(later.where(F.col("kind") == WINDOW).select(*own, "w0", "w1", "b0", "b1", F.col("first.doc_id")))
+        origins = origins.union(later.where(F.col("kind") == HEAD).select("mark", "around", F.col("first.doc_id")))
+    copies = found.where(F.col("kind") == COPY).join(origins, ["mark", "around"], "left")
+    runs = runs.union(copies.select(*own, "w0", "w1", "b0", "b1", F.coalesce("earlier", "origin")))
     before = W.partitionBy(*own).orderBy("w0", "w1").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(*own).orderBy("w0", "w1").rowsBetween(W.unboundedPreceding, 0)
     apart = F.coalesce(F.col("w0") > F.max("w1").over(before), F.lit(True))
@@ -389,20 +402,6 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None
     )
 
 
-def _hot_runs(texts: DataFrame, places: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """RUNS of marks with very many different surroundings: windows grouped by their hashes."""
-    own = ("doc_id", "text_hash")
-    lists = cut(places.groupBy(*own).agg(F.collect_list(F.struct("word", "mark", "around")).alias("m")))
-    windows_of = texts.join(lists, [*own]).select(*own, "text", "m").mapInArrow(_windows_of_hot(min_words, gram), "mark long, window long, doc_id long, text_hash long, w0 int, b0 long, b1 long, around long")
-    place = F.struct(*own, "w0")
-    first = cut(windows_of.groupBy("mark", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("mark", "window", "first"))
-    later = windows_of.join(first, ["mark", "window"]).where(place != F.col("first"))
-    none = F.lit(None).cast("long")
-    runs = later.select(F.lit(EXACT).alias("kind"), *own, "w0", (F.col("w0") + min_words).alias("w1"), "b0", "b1", F.col("first.doc_id").alias("origin"), none.alias("mark"), none.alias("around"))
-    starts = later.where("around is not null").select(F.lit(ORIGIN).alias("kind"), *(none.alias(c) for c in own), *(F.lit(None).cast("int").alias(c) for c in ("w0", "w1")), none.alias("b0"), none.alias("b1"), F.col("first.doc_id").alias("origin"), "mark", "around")
-    return runs.union(starts)
-
-
 def _perhaps(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     """The rows whose key is in wanted, and a few others, before they are shuffled for an exact
     join. The bits sent to all tasks are FILTER_BITS at most, at any size; with more keys than
