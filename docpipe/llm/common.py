@@ -56,40 +56,39 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b); the component is its smallest node.
-
-    Alternates large-star and small-star steps, each a window minimum over the node, until
-    the edges stop changing; every round is checkpointed. Loops and repeats do no harm.
+    """(node, component) for the nodes of edges (a, b), of any type that has an order; the component
+    is its smallest node.
+
+    Alternates large-star and small-star steps until the edges stop changing; every round is
+    checkpointed. A node's minimum is an aggregate with partial sums, joined back to its edges, so
+    a node with very many neighbours is no single task's (its partition of the join is one that
+    adaptive execution splits). The rounds grow with the logarithm of the longest chain; edges that
+    still change after max_rounds are an error. Loops and repeats do no harm.
     """
-    from pyspark.sql import Window as W
-
-    own = W.partitionBy("u")
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+    def with_least(e: DataFrame) -> DataFrame:
+        """Edges (u, v) with the least v of each u."""
+        return e.join(cut(e.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
     def large(e: DataFrame) -> DataFrame:
-        n = both(e).withColumn("m", F.least("u", F.min("v").over(own)))
-        return n.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+        return with_least(both).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
-        n = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        n = n.withColumn("m", F.min("v").over(own))
-        return n.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-            n.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        )
+        n = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+        return n.select(F.col("v").alias("a"), F.col("m").alias("b")).union(n.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
-    e = edges.select("a", "b").where("a <> b").distinct()
+    e = cut(edges.select("a", "b").where("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
         e = cut(small(large(e)).where("a <> b").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            stars = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+            roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return stars.union(roots)
         before = now
-    stars = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return stars.union(roots)
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:

@@ -43,7 +43,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
-    return minhash.near_groups(docs)
+    return minhash.near_groups(docs).select("doc_id", "keep_id", "group_size", "n_links")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
