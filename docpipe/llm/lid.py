@@ -3,33 +3,37 @@
 Each language has a probability for every piece of a fixed public vocabulary. The likelihood
 of a word is the sum over all ways of cutting it into pieces of the product of their
 probabilities, by the forward algorithm; a text's is the product over its words. Training is
-expectation-maximisation over all labelled documents: each partition computes expected counts
-of pieces (forward and backward) for its distinct words, and only language x vocabulary sums
-leave it. The model's size is fixed by the vocabulary and the number of languages.
+expectation-maximisation over all labelled documents. Their distinct words are counted once by
+language; every round then computes expected counts of pieces (forward and backward) for these
+words under each language's own probabilities, and only language x vocabulary sums leave a task.
+Rounds end when the mean log-likelihood of a word gains less than GAIN of itself, at MAX_ROUNDS
+at the latest. The model's size is fixed by the vocabulary and the number of languages, of which
+there may be MAX_LANGS; more are an error, as then lang is no language.
 
 Words are runs of non-space bytes with a mark in front for the space, case folded; the marks
 and the bytes of unknown characters are pieces too, so that every word has a segmentation.
 
 Defined results: null, empty and blank texts and empty tables of labels give a null language
 and zero confidence; a tie goes to the alphabetically first language; rows without a lang or
-text don't train; null doc_ids and repeated rows are scored like any other; further columns
-are ignored; an empty table gives no rows.
+text don't train; null doc_ids and repeated rows are scored like any other; texts and words
+of any length are summed whole; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_column
+from .common import cut, id_column
 from .kernel import HashTable, U, Words, _BYTE_HASH, blocks, prefix, span
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, LONGEST, SMOOTH, ROUNDS = 0x20, 24, 0.1, 1
+MARK, LONGEST, SMOOTH, MAX_ROUNDS, GAIN, MAX_LANGS = 0x20, 63, 0.1, 20, 1e-3, 1000
 CACHE = 1 << 18
 
 
@@ -44,7 +48,9 @@ class Pieces:
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 piece = model.id_to_piece(i).lower().replace("▁", " ").encode()
-                if len(piece) <= LONGEST and piece.count(b" ") - piece.startswith(b" ") == 0:
+                if len(piece) > LONGEST:
+                    raise ValueError(f"a piece of more than {LONGEST} bytes: {piece!r}")
+                if piece.count(b" ") - piece.startswith(b" ") == 0:
                     found.add(piece)
         self.pieces = sorted(found)
         data = np.frombuffer(b"".join(self.pieces), np.uint8)
@@ -142,11 +148,11 @@ def likelihood(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray,
     return out
 
 
-def expected(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, logp: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected counts (columns of weight x pieces): the word w counts weight[w, k] times.
-    logp has one column."""
+def expected(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, logp: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected counts of the pieces, the word w counting weight[w] times, and the words'
+    log-likelihood. logp has one column."""
     size, sums = end - start, prefix(_BYTE_HASH[data])
-    out = np.zeros((weight.shape[1], len(p.pieces)))
+    out, total = np.zeros(len(p.pieces)), 0.0
     lifted = np.exp(logp + p.length[:, None] * np.log(LIFT))
     for rows, plain in _chunks(size):
         edges, own = p.edges(sums, start[rows], end[rows]), size[rows]
@@ -159,12 +165,13 @@ def expected(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, lo
         if plain:
             alpha, beta = _plain(edges, own, lifted)[:, 0], _plain(back, own, lifted)[:, 0]
             posterior = alpha[at] * lifted[piece, 0] * beta[rest] / alpha[whole]
+            total += float((weight[rows] * (np.log(alpha[np.cumsum(own + 1) - 1]) - own * np.log(LIFT))).sum())
         else:
             alpha, beta = _logs(edges, own, logp)[:, 0], _logs(back, own, logp)[:, 0]
             posterior = np.exp(alpha[at] + logp[piece, 0] + beta[rest] - alpha[whole])
-        for k in range(weight.shape[1]):
-            out[k] += np.bincount(piece, posterior * weight[rows[word], k], len(p.pieces))
-    return out
+            total += float((weight[rows] * alpha[np.cumsum(own + 1) - 1]).sum())
+        out += np.bincount(piece, posterior * weight[rows[word]], len(p.pieces))
+    return out, total
 
 
 def marked_words(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,93 +192,89 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-class Counter:
-    """Counts distinct words by language, and turns them into expected counts of pieces: in
-    one go for the words met first, block by block for what the bounded table has no room for."""
-
-    def __init__(self, p: Pieces, model: tuple[list[str], np.ndarray] | None):
-        self.p, self.model, self.sums = p, model, {}
-        self.names: list[str] = []
-        self.known, self.data, self.start, self.end = HashTable(np.zeros(0, U)), [], [], []
-        self.size, self.counts = 0, np.zeros((0, 0))
-
-    def _settle(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> None:
-        n = len(self.p.pieces)
-        for row in range(0, len(start), 100_000):
-            part = slice(row, row + 100_000)
-            if self.model is None:  # equal probabilities: one lattice serves all languages
-                found = expected(self.p, data, start[part], end[part], np.full((n, 1), -np.log(n)), weight[part])
-            else:
-                langs, logp = self.model
-                found = np.concatenate([expected(self.p, data, start[part], end[part], logp[:, [langs.index(x)]], weight[part, [k]][:, None]) for k, x in enumerate(self.names)])
-            for k, x in enumerate(self.names):
-                self.sums[x] = self.sums.get(x, 0) + found[k]
-
-    def add(self, texts: list[bytes], langs: list[str]) -> None:
-        w, keys, data, start = marked_words(texts)
-        if not len(keys):
-            return
-        self.names += [x for x in dict.fromkeys(langs) if x not in self.names]
-        k = len(self.names)
-        if self.counts.shape[1] < k:
-            self.counts = np.pad(self.counts, ((0, 0), (0, k - self.counts.shape[1])))
-        lang = np.array([self.names.index(x) for x in langs])[w.doc]
-        place = self.known.find(keys)
-        new = np.flatnonzero(place < 0)
-        n = len(self.counts)
-        if len(new):
-            unique, one, which = np.unique(keys[new], return_index=True, return_inverse=True)
-            one = new[one]
-            size = w.end[one] - start[one]
-            counts = np.bincount(which * k + lang[new], minlength=len(one) * k).reshape(-1, k).astype(float)
-            if n < CACHE:
-                edge = np.concatenate([[0], np.cumsum(size)])
-                gather = np.arange(edge[-1]) + np.repeat(start[one] - edge[:-1], size)
-                self.data.append(data[gather])
-                self.start.append(edge[:-1] + self.size)
-                self.end.append(edge[1:] + self.size)
-                self.size += edge[-1]
-                self.counts = np.concatenate([self.counts, counts])
-                self.known = HashTable(np.concatenate([self.known.keys, unique]))
-            else:
-                self._settle(data, start[one], w.end[one], counts)
-        old = place >= 0
-        if n:
-            self.counts[:n] += np.bincount(place[old] * k + lang[old], minlength=n * k).reshape(n, k)
-
-    def total(self) -> dict[str, np.ndarray]:
-        if self.data:
-            self._settle(np.concatenate(self.data), np.concatenate(self.start), np.concatenate(self.end), self.counts)
-        return self.sums
-
-
-def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) to (lang, word, n), summed over some blocks at a time."""
+    held: dict[tuple[str, bytes], int] = {}
+
+    def rows() -> pa.RecordBatch:
+        lang, word = zip(*held)
+        return pa.record_batch([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
+
+    for batch in batches:
+        langs, names = pc.fill_null(batch.column(0), "").dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column(0).dictionary_encode().dictionary.to_pylist()
+        for row, texts in blocks(batch.column(1)):
+            w, keys, data, start = marked_words(texts)
+            if not len(keys):
+                continue
+            own = langs[row : row + len(texts)][w.doc]
+            order = np.lexsort((keys, own))
+            head = np.flatnonzero(np.append(True, (keys[order][1:] != keys[order][:-1]) | (own[order][1:] != own[order][:-1])))
+            n = np.diff(np.append(head, len(order)))
+            one = order[head]
+            for x, a, b, k in zip(own[one].tolist(), start[one].tolist(), w.end[one].tolist(), n.tolist()):
+                key = names[x], data[a:b].tobytes()
+                held[key] = held.get(key, 0) + k
+            if len(held) > CACHE:
+                yield rows()
+                held.clear()
+    if held:
+        yield rows()
+
+
+def _expect(vocabulary: str, model: Callable[[], tuple[list[str], np.ndarray] | None]):
+    """(lang, word, n) to (lang, piece, n): expected counts; piece -1 has the log-likelihood and
+    -2 the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, known, sums = pieces(vocabulary), model(), {}
+        n = len(p.pieces)
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            weights = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            for x in dict.fromkeys(langs.tolist()):
+                logp = np.full((n, 1), -np.log(n)) if known is None else known[1][:, [known[0].index(x)]]
+                own = np.flatnonzero(langs == x)
+                column, weight = batch.column(1).take(pa.array(own)), weights[own]
+                total = sums.setdefault(x, np.zeros(n + 2))
+                for row, words in blocks(column):
+                    end = np.cumsum([len(v) for v in words])
+                    data = np.frombuffer(b"".join(words), np.uint8)
+                    counts, fit = expected(p, data, np.append(0, end[:-1]), end, logp, weight[row : row + len(words)])
+                    total[:n] += counts
+                    total[n:] += fit, weight[row : row + len(words)].sum()
+        for x, total in sums.items():
+            some = np.append(np.flatnonzero(total[:n]), [n, n + 1])
+            piece = np.where(some < n, some, n - 1 - some)
+            yield pa.record_batch([pa.array([x] * len(some)), pa.array(piece.astype(np.int32)), pa.array(total[some])], ["lang", "piece", "n"])
+
+    return run
+
+
+def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_rounds: int = MAX_ROUNDS, gain: float = GAIN) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (pieces x languages), from all rows with a lang."""
     spark = docs.sparkSession
     rows = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).where("lang is not null and text is not null")
+    words = cut(rows.mapInArrow(_count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
+    place = {x: k for k, x in enumerate(langs)}
+    n = len(pieces(vocabulary).pieces)
     model: tuple[list[str], np.ndarray] | None = None
-    for _ in range(rounds):
+    before = -np.inf
+    for _ in range(max_rounds if langs else 0):
         shipped = spark.sparkContext.broadcast(model)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counter = Counter(pieces(vocabulary), shipped.value)
-            for batch in batches:
-                langs = batch.column(0).to_pylist()
-                for row, texts in blocks(batch.column(1)):
-                    counter.add(texts, langs[row : row + len(texts)])
-            for x, total in counter.total().items():
-                some = np.flatnonzero(total)
-                yield pa.record_batch(
-                    [pa.array([x] * len(some)), pa.array(some.astype(np.int32)), pa.array(total[some])], ["lang", "piece", "n"]
-                )
-
-        summed = rows.mapInArrow(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-        got = summed.toPandas()  # languages x vocabulary at most
-        n = len(pieces(vocabulary).pieces)
-        langs = sorted(got["lang"].unique())
+        summed = words.mapInArrow(_expect(vocabulary, lambda shipped=shipped: shipped.value), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        got = summed.toArrow()  # languages x vocabulary at most
+        piece, count = got["piece"].to_numpy(), got["n"].to_numpy()
+        lang = np.array([place[x] for x in got["lang"].to_pylist()])
         table = np.full((n, len(langs)), SMOOTH)
-        np.add.at(table, (got["piece"].to_numpy(int), got["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int)), got["n"].to_numpy(float))
+        table[piece[piece >= 0], lang[piece >= 0]] += count[piece >= 0]
+        fit = count[piece == -1].sum() / count[piece == -2].sum()
         model = (langs, np.log(table / table.sum(0)))
+        if fit - before < gain * abs(fit):
+            break
+        before = fit
     return model if model else ([], np.zeros((0, 0)))
 
 
