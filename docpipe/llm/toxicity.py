@@ -15,15 +15,20 @@ what a class has seen a few times, or happens not to have seen, is no evidence,
 that both classes see rarely has the same probability in both. Toxic documents are mostly
 ordinary text, so a few words decide: a document's score
 is that of its most toxic passage, the difference of the two log-likelihoods of PASSAGE
-consecutive words over their number (a shorter text is one passage).
+consecutive words over their number (a shorter text is one passage). The same difference over the
+whole document and all its words is reported as document_score; it doesn't decide, since a toxic
+expression in a text of thousands of ordinary words leaves next to nothing of it.
 
 The classes are counted over all labelled documents, whatever their number. No text is shuffled:
 ids and classes go to every task as sorted arrays, in slices of about LABEL_SLICE labels, and each
 slice after the first is one more pass over its own documents. The shared counts are those of all
 documents. Sequences seen in either class have their log ratio in a table; for others p cancels and
 the ratio depends on the context h alone, which has a table too. Both tables are computed by
-DataFrame joins. Scoring ships them if they have at most SHIP rows, else the corpus's different
-words join them; both ways give the same scores.
+DataFrame joins. Log ratios are whole multiples of 1 / STEPS nats (a part of the model, at any
+size), and a sequence isn't kept whose ratio is that of its context, nor a context with ratio 0,
+as both then say what is said without them. Scoring ships the tables if they have at most SHIP
+rows, else the corpus's different words join them; sums of whole numbers are exact, so both ways
+give the same scores.
 
 There are two models, each of one half of the labelled documents; both come from one pass,
 which counts by halves. A document's score is the mean of theirs, so that an expression counts
@@ -52,7 +57,7 @@ from .common import cut, id_column
 from .kernel import HashTable, U, Words, blocks
 
 ORDER, DISCOUNT, SHARED, PASSAGE, SHIP = 7, 0.75, 20.0, 2, 1 << 22
-LABEL_SLICE = 1 << 23
+LABEL_SLICE, STEPS = 1 << 23, 64
 COUNTS = ("t0", "o0", "t1", "o1", "n")
 EDGE = 0x20  # stands before and behind each word
 
@@ -186,8 +191,8 @@ def shared_probability(grams: DataFrame, order: int, discount: float = DISCOUNT)
 
 def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, shared: float = SHARED) -> DataFrame:
     """(kind, key, r0, r1): kind 1 has the log ratio of a sequence, kind 0 that of the
-    backoff weights of a context; r0 and r1 are those of the models without half 0 and
-    without half 1."""
+    backoff weights of a context, in steps of 1 / STEPS; r0 and r1 are those of the models without
+    half 0 and without half 1."""
     context = W.partitionBy("h")
     every = grams.withColumn("h", F.shiftright("g", 8))
     every = every.withColumn("nall", F.sum("n").over(context)).withColumn("nkinds", F.count("*").over(context))
@@ -210,33 +215,37 @@ def ratios(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, sha
         top = F.greatest(F.col(f"{rc}n") - discount, F.lit(0.0)) / (F.col(f"{rc}all") + shared)
         return top + F.col(f"{rc}g") * F.col("p")
 
+    step = lambda x: F.round(F.log(x) * STEPS).cast("int")
+    own_context = {f"{r}c": step(F.col(f"{r}tg") / F.col(f"{r}og")) for r in parts}
     every_p = (F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("nkinds") * F.col("p")) / F.col("nall")
     top = seen.join(shared_probability(grams, order, discount), "s").withColumn("p", every_p).select(
-        F.lit(1).alias("kind"), F.col("g").alias("key"), *(F.log(p(f"{r}t") / p(f"{r}o")).alias(r) for r in parts)
-    )
-    contexts = seen.groupBy("h").agg(*(F.first(F.log(F.col(f"{r}tg") / F.col(f"{r}og"))).alias(r) for r in parts))
+        F.lit(1).alias("kind"), F.col("g").alias("key"), *(step(p(f"{r}t") / p(f"{r}o")).alias(r) for r in parts), *(v.alias(k) for k, v in own_context.items())
+    ).where("r0 <> r0c or r1 <> r1c").select("kind", "key", *parts)
+    contexts = seen.groupBy("h").agg(*(F.first(own_context[f"{r}c"]).alias(r) for r in parts)).where("r0 <> 0 or r1 <> 0")
     return top.union(contexts.select(F.lit(0), F.col("h"), *parts))
 
 
 class Tables:
     def __init__(self, kind: np.ndarray, key: np.ndarray, *ratio: np.ndarray):
         top = kind == 1
-        table = np.stack(ratio, 1)
-        none = np.zeros((1, table.shape[1]))
+        table = np.stack(ratio, 1).astype(np.int16)
+        none = np.zeros((1, table.shape[1]), np.int16)
         self.top, self.top_ratio = HashTable(key[top].view(U)), np.concatenate([table[top], none])
         self.context, self.context_ratio = HashTable(key[~top].view(U)), np.concatenate([table[~top], none])
 
-    def score(self, texts: list[bytes], order: int, half: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The mean score of both models, that of the model without the text's half, and the
-        number of words."""
+    def score(self, texts: list[bytes], order: int, half: np.ndarray, passage: int) -> tuple[np.ndarray, ...]:
+        """The mean score of both models, that of the model without the text's half, the mean over
+        the whole text, and the number of words."""
         keys, word, doc = sequences(texts, order)
         place = self.top.find(keys)
         value = self.top_ratio[place]
         unseen = np.flatnonzero(place < 0)
         value[unseen] = self.context_ratio[self.context.find(keys[unseen] >> U(8))]
         n = np.bincount(doc, minlength=len(texts))
-        both = [passages(np.bincount(word, value[:, k], len(doc)), n, passage) for k in (0, 1)]
-        return (both[0] + both[1]) / 2, np.where(half == 0, *both), n
+        words = [np.bincount(word, value[:, k], len(doc)) for k in (0, 1)]
+        both = [passages(w, n, passage) / STEPS for w in words]
+        whole = np.bincount(doc, words[0] + words[1], len(texts)) / 2 / STEPS / np.maximum(n, 1)
+        return (both[0] + both[1]) / 2, np.where(half == 0, *both), whole, n
 
 
 def passages(value: np.ndarray, n: np.ndarray, passage: int) -> np.ndarray:
@@ -259,7 +268,7 @@ def passages(value: np.ndarray, n: np.ndarray, passage: int) -> np.ndarray:
 
 
 _tables: dict[str, Tables] = {}
-SCORES = "doc_id long, score double, held_score double, n_words long"
+SCORES = "doc_id long, score double, held_score double, document_score double, n_words long"
 
 
 def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHIP, passage: int = PASSAGE) -> DataFrame:
@@ -269,7 +278,8 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHI
     if model.count() > ship:
         return _score_joined(texts, model, order, passage)
     table = model.toArrow()  # SHIP rows at most
-    shipped = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("kind", "key", "r0", "r1")))
+    kinds = {"kind": np.int8, "key": np.int64, "r0": np.int16, "r1": np.int16}
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy().astype(k) for c, k in kinds.items()))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +289,11 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, ship: int = SHI
         for batch in batches:
             half = batch.column(2).to_numpy()
             for row, part in blocks(batch.column(1)):
-                mean, held, n = _tables[name].score(part, order, half[row : row + len(part)], passage)
+                mean, held, whole, n = _tables[name].score(part, order, half[row : row + len(part)], passage)
                 some = np.flatnonzero(n)
                 yield pa.record_batch(
-                    [batch.column(0).slice(row, len(part)).take(pa.array(some)), pa.array(mean[some]), pa.array(held[some]), pa.array(n[some])],
-                    ["doc_id", "score", "held_score", "n_words"],
+                    [batch.column(0).slice(row, len(part)).take(pa.array(some)), *(pa.array(x[some]) for x in (mean, held, whole, n))],
+                    ["doc_id", "score", "held_score", "document_score", "n_words"],
                 )
 
     return texts.mapInArrow(run, SCORES)
@@ -314,16 +324,17 @@ def _score_joined(texts: DataFrame, model: DataFrame, order: int, passage: int)
     for kind, key in ((1, "g"), (0, "h")):
         tables[key] = model.where(f"kind = {kind}").select(F.col("key").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("r0", "r1")))
     joined = grams.join(tables["g"], "g", "left").join(tables["h"], "h", "left")
-    value = {c: F.coalesce(f"g_{c}", f"h_{c}", F.lit(0.0)) for c in ("r0", "r1")}
+    value = {c: F.coalesce(f"g_{c}", f"h_{c}", F.lit(0)) for c in ("r0", "r1")}
     words = joined.groupBy("word").agg(*(F.sum(v).alias(f"v{c}") for c, v in value.items()))
     own = W.partitionBy("doc_id", "r")
     window = own.orderBy("at").rowsBetween(0, passage - 1)
-    seen = placed.join(words, "word").withColumn("n", F.count("*").over(own))
-    seen = seen.withColumns({k: F.avg(f"v{k}").over(window) for k in ("r0", "r1")})
+    seen = placed.join(words, "word").withColumn("n", F.count("*").over(own)).withColumn("all", F.sum(F.expr("vr0 + vr1")).over(own))
+    seen = seen.withColumns({k: F.avg(f"v{k}").over(window) / STEPS for k in ("r0", "r1")})
     whole = seen.where(F.col("at") <= F.greatest(F.lit(0), F.col("n") - passage))
-    best = whole.groupBy("doc_id", "r").agg(F.max("r0").alias("r0"), F.max("r1").alias("r1"), F.max("n").alias("n_words"))
+    best = whole.groupBy("doc_id", "r").agg(F.max("r0").alias("r0"), F.max("r1").alias("r1"), F.max("n").alias("n_words"), F.max("all").alias("all"))
     held = F.when(_half("doc_id") == 0, F.col("r0")).otherwise(F.col("r1"))
-    return best.select("doc_id", ((F.col("r0") + F.col("r1")) / 2).alias("score"), held.alias("held_score"), "n_words")
+    document = (F.col("all") / 2 / STEPS / F.col("n_words")).alias("document_score")
+    return best.select("doc_id", ((F.col("r0") + F.col("r1")) / 2).alias("score"), held.alias("held_score"), document, "n_words")
 
 
 def threshold(scores: DataFrame, labels: DataFrame) -> float:
@@ -347,12 +358,13 @@ def threshold(scores: DataFrame, labels: DataFrame) -> float:
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, shared: float = SHARED, passage: int = PASSAGE) -> DataFrame:
-    """(doc_id, score, n_words) of the documents found toxic; score is in nats a word."""
+    """(doc_id, score, document_score, n_words) of the documents found toxic; scores are in nats a
+    word, of the most toxic passage and of the whole document."""
     grams = cut(count(docs, labels, order))
     classes = grams.agg(F.sum(F.expr("t0 + t1")), F.sum(F.expr("o0 + o1"))).first()
     if not (classes[0] and classes[1]):
-        return docs.sparkSession.createDataFrame([], "doc_id long, score double, n_words long")
+        return docs.sparkSession.createDataFrame([], "doc_id long, score double, document_score double, n_words long")
     scores = cut(score(docs, cut(ratios(grams, order, shared=shared)), order, passage=passage))
     return scores.where(F.col("score") >= threshold(scores, labels)).groupBy("doc_id").agg(
-        F.max("score").alias("score"), F.max_by("n_words", "score").alias("n_words")
+        F.max("score").alias("score"), *(F.max_by(c, F.struct("score", "document_score", "n_words")).alias(c) for c in ("document_score", "n_words"))
     )
