@@ -1,7 +1,7 @@
 """Quality classifier by co-training (Blum and Mitchell, 1998).
 
-Two views of a document: its text (character-class bigrams, shapes of words, repetition) and
-its metadata (source, lang, length). Each view has a logistic regression; in every round each
+Two views of a document: its text (hashed words, character-class bigrams, shapes of words,
+repetition) and its metadata (source, lang, length). Each view has a logistic regression; in every round each
 classifier labels the documents of a pool of which it is sure for the other, both ways, and
 both are fitted again. Then each view is calibrated on held-out labelled documents (Platt),
 and a logistic regression of the two calibrated logits, fitted on the same, gives the score.
@@ -15,7 +15,8 @@ document is scored. keep is score >= KEEP, the point where rejecting is the bett
 
 Defined results: null text counts as empty, null source or lang as a value of its own; labels
 that are null or contradict each other are ignored; null doc_ids are scored but don't train;
-rows that repeat are scored like any other; without labels of both kinds every document gets
+rows that repeat are scored like any other, and of the rows of a labelled doc_id the first by its
+features trains; texts of any length are read whole; a tie at KEEP is kept; without labels of both kinds every document gets
 the score 0.5 and is kept; further columns are ignored; an empty table gives no rows.
 """
 
@@ -39,7 +40,8 @@ _CLASS = np.zeros(256, np.uint8)
 for _chars, _kind in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), (b"0123456789", 3), (b" \t", 4), (b"\n\r", 5), (b".,;:'\"?!-()", 6)):
     _CLASS[np.frombuffer(_chars, np.uint8)] = _kind
 _CLASS[128:] = 7
-N_TEXT = 64 + 8 + 8
+N_SHAPE, N_WORDS = 64 + 8 + 8, 64
+N_TEXT = N_SHAPE + N_WORDS
 
 
 def text_features(texts: list[bytes]) -> np.ndarray:
@@ -48,7 +50,7 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     size = np.diff(w.base)
     kind = _CLASS[w.data]
     owner = np.repeat(np.arange(n, dtype=np.int64), size)
-    pairs = owner[:-1] * 64 + kind[:-1] * 8 + kind[1:]
+    pairs = (owner[:-1] * 64 + kind[:-1] * 8 + kind[1:])[owner[:-1] == owner[1:]]
     bigrams = np.bincount(pairs, minlength=n * 64)[: n * 64].reshape(n, 64) / np.maximum(size, 1)[:, None]
     count = np.maximum(np.diff(w.first), 1)
     length = w.end - w.start
@@ -74,7 +76,9 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     shape[:, 5] = np.bincount(w.doc, length == 1, n) / count
     shape[:, 6] = np.bincount(w.doc, length > 20, n) / count
     shape[:, 7] = size <= 1
-    return np.hstack([np.sqrt(bigrams), np.sqrt(ends), shape])
+    # The words themselves, hashed with a sign (so that words of one bucket don't add up).
+    lexical = np.bincount(w.doc * N_WORDS + (h >> np.uint64(58)).astype(np.int64), 1.0 - 2.0 * (h & np.uint64(1)).astype(float), n * N_WORDS).reshape(n, N_WORDS) / count[:, None]
+    return np.hstack([np.sqrt(bigrams), np.sqrt(ends), shape, np.sign(lexical) * np.sqrt(np.abs(lexical))])
 
 
 def _buckets(column: int, values: list) -> np.ndarray:
@@ -326,7 +330,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rows = _columns(docs).where("doc_id is not null").mapInArrow(_narrow, NARROW)
     rows = cut(rows.join(known, "doc_id", "left"))  # features are shuffled, no text
     chosen = rows.where("y is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    labelled = rows.join(F.broadcast(chosen), "doc_id", "left_semi").where("y is not null").toArrow()
+    # One row of each drawn id, so that no id that repeats sends more than its share.
+    one = rows.join(F.broadcast(chosen), "doc_id", "left_semi").where("y is not null").groupBy("doc_id").agg(F.min(F.struct("x", "source", "lang", "size", "y")).alias("r"))
+    labelled = one.select("doc_id", "r.*").toArrow()
     y, views = labelled["y"].to_numpy(), _wide(labelled)
     # The rows' order depends on how the job ran; the model must not.
     x = np.hstack(views)
