@@ -4,7 +4,8 @@ A text is cut into pieces by character classes: each run of letters, numbers or
 with at most one space before it, the contractions 's 't 're 've 'm 'll 'd, and the rest of
 the white space, as the public pattern of such vocabularies has it. Distinct pieces of a
 batch go into padded matrices of one length bucket each; in every round each row merges the
-leftmost pair of least rank, found in a hash table of pairs, and rows are compacted. Pieces
+leftmost pair of least rank, found in a hash table of pairs, and rows are compacted. A piece of
+more than WIDE bytes merges all its pairs of least rank in a round, in the same order. Pieces
 are looked up by hash again in later batches, so a piece is merged once per task.
 
 The vocabulary is a file of base64 tokens and ranks, given by path; every single byte must be
@@ -28,7 +29,7 @@ from .common import id_column
 from .kernel import HashTable, U, _BYTE_HASH, blocks, prefix, span
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE = 1 << 18
+CACHE, WIDE = 1 << 18, 256
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SCHEMA = "doc_id long, tokens array<int>, n_tokens int, decoded_equal boolean"
 
@@ -164,6 +165,55 @@ class Codec:
                 rank[there, k[there]] = ranks(part[there, k[there]], part[there, k[there] + 1])
         return rows, size
 
+    def merge_wide(self, row: np.ndarray) -> np.ndarray:
+        """One long row of token ids, merged to the end with the same result. A round merges all
+        pairs of the least rank from the left, up to one that opens a pair of lower rank, which
+        would have to go first. Merged tokens are unlinked; the row is compacted when half are."""
+        worst = np.iinfo(np.int32).max
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            place = self.pairs.find((left.astype(U) << U(32)) | right.astype(U))
+            return np.where(place >= 0, self.merged[place], worst)
+
+        ids = row.astype(np.int64)
+        while len(ids) > 1:
+            n = len(ids)
+            after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+            rank = np.append(ranks(ids[:-1], ids[1:]), worst).astype(np.int32)
+            gone = np.zeros(n, bool)
+            n_gone = 0
+            while 2 * n_gone <= n and (best := int(rank.min())) < worst:
+                at = np.flatnonzero(rank == best)
+                # Of pairs that overlap every second one goes.
+                chain = np.append(True, after[at[:-1]] != at[1:])
+                run = np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+                follows = after[after[at]]  # behind each pair, as it stands when the pair merges
+                right = np.where(follows < n, ranks(np.full(len(at), best), ids[np.minimum(follows, n - 1)]), worst)
+                ahead = before[at]
+                merged_ahead = np.append(False, after[after[at[:-1]]] == at[1:])
+                own = np.where(merged_ahead, best, ids[np.maximum(ahead, 0)])
+                left = np.where(ahead >= 0, ranks(own, np.full(len(at), best)), worst)
+                early = np.flatnonzero((left < best) | (right < best))
+                if len(early):
+                    at = at[: early[0] + 1]
+                second = after[at]
+                ids[at] = best
+                gone[second] = True
+                rank[second] = worst
+                n_gone += len(at)
+                after[at] = after[second]
+                there = after[at] < n
+                before[after[at][there]] = at[there]
+                for k in (before[at], at):
+                    k = k[k >= 0]
+                    follow = after[k]
+                    rank[k] = np.where(follow < n, ranks(ids[k], ids[np.minimum(follow, n - 1)]), worst)
+            ids = ids[~gone]
+            if 2 * n_gone <= n:
+                break
+        return ids.astype(np.int32)
+
     def _encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the pieces, joined, and where each begins."""
         length = end - start
@@ -177,6 +227,12 @@ class Codec:
             stop = int(np.searchsorted(length[order], bucket, "right"))
             stop = min(stop, row + max(1, 2_000_000 // bucket))
             chosen = order[row:stop]
+            if width > WIDE:
+                for c in chosen:
+                    out[c] = self.merge_wide(self.byte_id[data[start[c] : end[c]]])
+                    counts[c] = len(out[c])
+                row = stop
+                continue
             column = np.arange(int(length[chosen].max()))
             at = start[chosen][:, None] + column
             inside = column < length[chosen][:, None]
