@@ -22,11 +22,13 @@ the documents for each slice, so what is broadcast doesn't grow with the benchma
 Items of fewer than LEAST tokens are seeded by all their tokens, contiguously. Defined results: null
 or wordless items and documents leak nothing; null ids are ignored; equal items are reported
 each under its own item_id; rows that repeat a doc_id are looked at one by one and the best
-of each pair is reported; further columns are ignored; empty tables give no rows.
+of each pair is reported; of offsets that match equally the first counts; texts and items of any
+length, periodic ones too, are compared whole in bounded blocks; further columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,8 +103,8 @@ class Index:
         count, length = np.diff(self.first), np.diff(words.first)
         front = int(count.max(initial=0))
         wide = front + int(length.max(initial=0)) + 1
-        light: list[np.ndarray] = []
-        heavy: list[np.ndarray] = []
+        light: list[tuple[np.ndarray, np.ndarray]] = []
+        heavy: list[np.ndarray] = [np.zeros(0, np.int64)]
         for k, mask in enumerate(self.masks):
             s = seeds(h, mask)
             at = np.flatnonzero(self.maybe[(s >> U(64 - self.bits)).astype(np.int64)])
@@ -113,14 +115,19 @@ class Index:
             inside = words.doc[at] == words.doc[at + len(mask) - 1]
             at, place = at[inside], place[inside]
             many = self.begin[place + 1] - self.begin[place]
-            entry = np.repeat(self.begin[place], many) + _within(many)
-            at = np.repeat(at, many)
-            text = words.doc[at]
-            diagonal = at - self.offset[entry] - words.first[text] + front
-            (light if k < len(PAIRS) else heavy).append((text * len(count) + self.item[entry]) * wide + diagonal)
-        none = np.zeros(0, np.int64)
-        sure = np.unique(np.concatenate([none, *heavy]))
-        hits, n_hits = np.unique(np.concatenate([none, *light]), return_counts=True)
+            for part in _bounded(many):
+                entry = np.repeat(self.begin[place[part]], many[part]) + _within(many[part])
+                here = np.repeat(at[part], many[part])
+                text = words.doc[here]
+                diagonal = here - self.offset[entry] - words.first[text] + front
+                key, n = np.unique((text * len(count) + self.item[entry]) * wide + diagonal, return_counts=True)
+                if k < len(PAIRS):
+                    light.append((key, n))
+                else:
+                    heavy.append(key)
+        sure = np.unique(np.concatenate(heavy))
+        hits, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for x, _ in light)]), return_inverse=True)
+        n_hits = np.bincount(place, np.concatenate([np.zeros(0), *(n for _, n in light)]), len(hits))
         size = count[hits // wide % max(1, len(count))]
         equal = np.ceil(ratio * size)
         hits = np.union1d(sure, hits[3 * n_hits >= equal - 1 - (size - equal) / 2])
@@ -130,50 +137,93 @@ class Index:
         text, item = np.divmod(owner, len(count))
         diagonal += words.first[text] - front
         size = count[item]
-        pair, k = np.repeat(np.arange(len(hits)), size), _within(size)
-        there = diagonal[pair] + k
-        inside = (there >= words.first[text][pair]) & (there < words.first[text + 1][pair])
-        pair, k, there = pair[inside], k[inside], there[inside]
-        equal = h[there] == self.hashes[self.first[item[pair]] + k]
-        pair, k, there = pair[equal], k[equal], there[equal]
-        n_equal = np.bincount(pair, minlength=len(hits))
+
+        def cells(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Equal tokens of some hits laid over their texts: hit, item position, text position."""
+            hit, k = np.repeat(rows, size[rows]), _within(size[rows])
+            there = diagonal[hit] + k
+            inside = (there >= words.first[text[hit]]) & (there < words.first[text[hit] + 1])
+            hit, k, there = hit[inside], k[inside], there[inside]
+            same = h[there] == self.hashes[self.first[item[hit]] + k]
+            return hit[same], k[same], there[same]
+
+        n_equal = np.zeros(len(hits), np.int64)
+        for part in _bounded(size):
+            n_equal += np.bincount(cells(np.arange(part.start, part.stop))[0], minlength=len(hits))
         always = np.isin(hits, sure, assume_unique=True)
         good = always | (n_equal >= PART)
         # What the offsets of an item in a text have together, at most.
         begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        most = np.repeat(np.add.reduceat(n_equal * good, begins), np.diff(np.append(begins, len(hits))))
-        good &= most >= ratio * size
-        ends = np.cumsum(n_equal)
-        found: dict[int, list[int]] = {}
-        for x in np.flatnonzero(good).tolist():
-            found.setdefault(int(owner[x]), []).append(x)
+        ends = np.append(begins[1:], len(hits))
+        most = np.add.reduceat(n_equal * good, begins)
         out = []
-        for same in found.values():
-            y, t = int(item[same[0]]), int(text[same[0]])
-            tokens = int(count[y])
-            spots = {x: slice(ends[x] - n_equal[x], ends[x]) for x in same}
-            fixed = [x for x in same if always[x]]
-            best: tuple | None = None
-            for x in same:
-                near = {*fixed, *(z for z in same if 0 <= diagonal[z] - diagonal[x] <= SHIFT)}
-                matched = len(np.unique(np.concatenate([k[spots[z]] for z in near])))
-                if best is None or matched > best[0]:
-                    at = np.concatenate([there[spots[z]] for z in near]) - words.first[t]
-                    best = matched, int(at.min()), int(at.max()) + 1
-            if best[0] >= ratio * tokens:
-                out.append((t, y, best[0], tokens, *best[1:]))
+        for low, high in zip(begins[most >= ratio * size[begins]].tolist(), ends[most >= ratio * size[begins]].tolist()):
+            same = np.flatnonzero(good[low:high]) + low
+            tokens = int(size[low])
+            fixed = np.zeros(tokens, bool)  # positions found at offsets that always count
+            for part in _bounded(size[same[always[same]]]):
+                fixed[cells(same[always[same]][part])[1]] = True
+            # An equal token at a diagonal counts for the diagonals up to SHIFT before it: a sum of
+            # intervals, which are cut where the same item position had one before.
+            base = int(diagonal[low])
+            change = np.zeros(int(diagonal[high - 1]) - base + 2, np.int64)
+            before = np.full(tokens, -1)
+            for part in _bounded(size[same]):
+                hit, k, _ = cells(same[part])
+                z = diagonal[hit] - base
+                keep = ~fixed[k]
+                order = np.lexsort((z[keep], k[keep]))
+                k, z = k[keep][order], z[keep][order]
+                if not len(k):
+                    continue
+                new = np.append(True, k[1:] != k[:-1])
+                last = np.where(new, before[k], np.append(-1, z[:-1]))
+                np.add.at(change, np.maximum(np.maximum(z - SHIFT, 0), last + 1), 1)
+                np.add.at(change, z + 1, -1)
+                tail = np.append(new[1:], True)
+                before[k[tail]] = z[tail]
+            matched = np.cumsum(change)[diagonal[same] - base] + int(fixed.sum())
+            best = int(matched.argmax())
+            if matched[best] < ratio * tokens:
+                continue
+            reach = diagonal[same] - diagonal[same[best]]
+            spots = same[always[same] | (reach >= 0) & (reach <= SHIFT)]
+            start, stop = np.iinfo(np.int64).max, 0
+            for part in _bounded(size[spots]):
+                there = cells(spots[part])[2]
+                start, stop = min(start, int(there.min(initial=start))), max(stop, int(there.max(initial=0)) + 1)
+            shift = int(words.first[text[low]])
+            out.append((int(text[low]), int(item[low]), int(matched[best]), tokens, start - shift, stop - shift))
         return out
 
 
+def _bounded(sizes: np.ndarray, limit: int = 1 << 21) -> Iterator[slice]:
+    """Slices whose sizes add up to about the limit at most."""
+    upto = np.cumsum(sizes)
+    row = 0
+    while row < len(sizes):
+        stop = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + limit, "right")))
+        yield slice(row, stop)
+        row = stop
+
+
 def _within(sizes: np.ndarray) -> np.ndarray:
     """0 .. size-1 for each of the sizes."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def _finder(index: Callable[[], Index], ratio: float):
+_indexes: dict[str, Index] = {}
+
+
+def _finder(name: str, items: Callable[[], list[tuple[int, str]]], ratio: float):
+    """name: a worker keeps the index from task to task by it."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index()
+        if name not in _indexes:
+            _indexes.clear()
+            _indexes[name] = Index(items())
+        ix = _indexes[name]
         for batch in batches:
             ids = batch.column(0)
             for row, texts in blocks(batch.column(1)):
@@ -202,7 +252,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, slice_has
 
     def passed(part: list[tuple[int, str]]) -> None:
         shipped = spark.sparkContext.broadcast(part)
-        results.append(texts.mapInArrow(_finder(lambda: Index(shipped.value), ratio), SCHEMA))
+        results.append(texts.mapInArrow(_finder(uuid.uuid4().hex, lambda: shipped.value, ratio), SCHEMA))
 
     part, hashes = [], 0
     # A benchmark is read by slices on the driver: only one slice is held at a time.
