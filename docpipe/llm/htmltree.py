@@ -15,7 +15,8 @@ The tree: void elements, implied ends of p, li, dt, dd, tr, td, th and option, r
 script and style, comments dropped, unclosed elements closed at the end of their parent.
 
 Defined results: null, empty and text-less pages give empty text and no nodes; a page without
-a tag is one text; null page_ids are extracted but don't train; without a labelled page all
+a tag is one text; pages of any length are read whole, in time proportional to it; null page_ids are extracted but don't train; rows that repeat a
+page_id are extracted one by one, and one of them trains; without a labelled page all
 text is content; ties at 0.5 are content; very deep trees are cut to MAX_DEPTH levels, whose
 further levels become siblings; further columns are ignored; an empty table gives no rows.
 """
@@ -32,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 MAX_TRAIN, STEPS, MAX_DEPTH = 400, 80, 200
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+TAG_MARK = re.compile(r"[>\"']")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code em font i img kbd mark q s small span strong sub sup tt u var".split())
-HIDDEN = frozenset("script style noscript template iframe head svg".split())
 CLOSES = {
     **dict.fromkeys("p div ul ol dl table pre blockquote article section aside nav header footer main form h1 h2 h3 h4 h5 h6 hr address fieldset figure".split(), {"p"}),
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
@@ -49,6 +50,62 @@ N_KINDS, CLASS_BUCKETS = 3, 64
 N_FEATURES = 2 * (len(TAGS) + 1) + CLASS_BUCKETS + 12
 
 
+class Scanner:
+    """Tokens of a page, each byte read a bounded number of times: what isn't found once isn't
+    sought again. A quote that follows no "=" or has no end is an ordinary character, a "<" without a
+    ">" is text."""
+
+    def __init__(self, page: str):
+        self.page, self.lacks = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.lacks:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.lacks.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ">" that closes a tag, outside of quoted values; -1 without one."""
+        if self.find(">", at) < 0:
+            return -1
+        first = self.page.find(">", at)
+        while m := TAG_MARK.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            valued = self.page[at : m.start()].rstrip().endswith("=")
+            close = self.find(m[0], m.end()) if valued else -1
+            at = close + 1 if close >= 0 else m.end()
+        return first
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, int]]:
+        """(kind, name, rest, end): text, open or close tags; send() moves the place."""
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            start = self.find("<", at)
+            if start != at:
+                stop = start if start >= 0 else end
+                yield "text", "", page[at:stop], stop
+                at = stop
+                continue
+            if page.startswith("<!--", at):
+                close = self.find("-->", at)
+                at = close + 3 if close >= 0 else end
+                continue
+            m = NAME.match(page, at + 1)
+            close = self.tag_end(m.end()) if m else self.find(">", at) if page.startswith(("<!", "<?"), at) else -1
+            if close < 0:
+                yield "text", "", "<", at + 1
+                at += 1
+                continue
+            if m:
+                moved = yield "close" if m[1] else "open", m[2], page[m.end() : close], close + 1
+                at = moved if moved else close + 1
+            else:
+                at = close + 1
+
+
 class Tree:
     """Nodes in document order: tag (label markup shows as div), name as written, parent, depth,
     text, attributes; gold labels if any."""
@@ -60,23 +117,22 @@ class Tree:
         self.text, self.attrs, self.gold = [""], [""], [False]
         self.labelled = False
         open_nodes = [0]
-        at, end = 0, len(page)
-        while at < end:
-            m = TOKEN.search(page, at)
-            if m is None or m.start() > at:
-                piece = page[at : m.start() if m else end]
-                if piece.strip():
-                    self._add("#text", open_nodes, entities.unescape(piece))
-                if m is None:
-                    break
-            at = m.end()
-            name = m[2]
-            if not name:
-                if m[0] == "<":
-                    self._add("#text", open_nodes, "<")
+        end = len(page)
+        scanner = Scanner(page)
+        tokens = iter(scanner)
+        moved = None
+        while True:
+            try:
+                kind, name, rest, at = tokens.send(moved)
+            except StopIteration:
+                break
+            moved = None
+            if kind == "text":
+                if rest.strip():
+                    self._add("#text", open_nodes, entities.unescape(rest))
                 continue
             name = name.lower()
-            if m[1]:
+            if kind == "close":
                 for k in range(len(open_nodes) - 1, 0, -1):
                     if self.name[open_nodes[k]] == name:
                         del open_nodes[k:]
@@ -92,13 +148,13 @@ class Tree:
                             break
                     elif tag in STOPS:
                         break
-            node = self._add(name, open_nodes, "", m[3])
+            node = self._add(name, open_nodes, "", rest)
             if name in RAW:
                 stop = re.compile(f"</{name}\\s*>", re.I).search(page, at)
                 if name == "textarea" and page[at : stop.start() if stop else end].strip():
                     self._add("#text", [*open_nodes, node], entities.unescape(page[at : stop.start() if stop else end]))
-                at = stop.end() if stop else end
-            elif name not in VOID and not m[0].endswith("/>") and len(open_nodes) < MAX_DEPTH:
+                moved = stop.end() if stop else end
+            elif name not in VOID and not rest.endswith("/") and len(open_nodes) < MAX_DEPTH:
                 open_nodes.append(node)
 
     def _add(self, tag: str, open_nodes: list[int], text: str, attrs: str = "") -> int:
