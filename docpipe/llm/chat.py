@@ -9,11 +9,14 @@ Events (conv_id, turn, seq, kind, role, text), kind one of
 Events of a turn apply by seq, ties by kind in the order above and then by role and text. An
 event that repeats another in every column is applied once, so redelivered logs do no harm.
 
-Rendering: turns in order, each as <|role|>, newline, text, newline, <|end|>, newline.
+Rendering: turns in order, each as <|role|>, newline, text, newline, <|end|>, newline. No text can
+forge a delimiter: where it has "<", any backslashes and "|", one more backslash goes before the
+"|", so each text can be read back; of a role, characters but letters, digits, "_", "." and "-"
+show as "_".
 Defined results: events without conv_id or turn are dropped; null seq sorts first; null text
 is empty, null role is "user"; an unknown or null kind is a message; turns whose text is
 empty stay; a conversation without turns left gives no row; further columns are ignored; an
-empty log gives no rows. All of it is window and aggregate functions: one shuffle by conv_id.
+empty log gives no rows; texts may be of any length. All of it is window and aggregate functions: one shuffle by conv_id.
 """
 
 from __future__ import annotations
@@ -82,7 +85,9 @@ def fold(events: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered), one row for each conversation."""
-    one = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
+    role = F.regexp_replace("role", "[^A-Za-z0-9_.-]", "_")
+    text = F.regexp_replace("text", r"<(\\*)\|", r"<\\$1|")
+    one = F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n<|end|>\n"))
     return (
         turns.select("conv_id", "turn", one.alias("one"))
         .groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "one"))).alias("all"))
@@ -90,13 +95,13 @@ def render(turns: DataFrame) -> DataFrame:
     )
 
 
-ORACLE = """
+ORACLE = r"""
 with m as (
   select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text,
          row_number() over (partition by conv_id, turn order by role desc, text desc) as back
   from conversations where conv_id is not null and turn is not null
 )
 select conv_id, count(*) as n_turns,
-       string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' order by turn) as rendered
+       string_agg('<|' || regexp_replace(role, '[^A-Za-z0-9_.-]', '_', 'g') || '|>' || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || chr(10) || '<|end|>' || chr(10), '' order by turn) as rendered
 from m where back = 1 group by conv_id
 """
