@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
+FILTER_BITS = 1 << 26
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
 
@@ -91,5 +94,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
+def perhaps(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key is in wanted, and a few others, before they are shuffled for an exact
+    join. The bits sent to all tasks are FILTER_BITS at most, at any size; with more keys than
+    they can tell apart rows are only shuffled that the join then drops."""
+    code = F.xxhash64(*key)
+    bits = min(FILTER_BITS, 1 << max(12, (16 * max(1, wanted.count())).bit_length()))
+    slot = F.pmod(F.shiftright(code, 6), F.lit(bits // 64)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(key)}) & 63 as int))")
+    filled = wanted.select(slot.alias("slot__"), bit.alias("bit__")).groupBy("slot__").agg(F.bit_or("bit__").alias("set__"))
+    return rows.join(F.broadcast(filled), slot == F.col("slot__")).where(F.col("set__").bitwiseAND(bit) != 0).drop("slot__", "set__")
+
+
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -9,7 +9,7 @@ Candidates form a star around the smallest text of a bucket. What the stars leav
 compared in a second pass, all against all within the bucket but only across components: a
 pair inside a component can change nothing, so the groups are those of all candidate pairs. That
 pass works on blocks of BLOCK texts of a bucket, two blocks to a row, and compares whole sketches
-(16 bits of each coordinate); pairs whose sketches agree in so few coordinates that an index at the
+(8 bits of each coordinate, so that chance can only add agreements); pairs whose sketches agree in so few coordinates that an index at the
 threshold would be 6 standard deviations away are left out, all others are verified.
 
 The unit is a document's text, (doc_id, text_hash): a doc_id with several texts is judged by each
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut, id_column, unused
+from .common import connected_components, cut, id_column, perhaps, unused
 from .kernel import U, Words, blocks, mix, ngrams, prefix, signed, span
 
 SHINGLE, COORDINATES, BANDS, THRESHOLD, BLOCK = 3, 128, 32, 0.55, 256
@@ -69,7 +69,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = w.hashes()
             s, doc = ngrams(w, h, SHINGLE)
             rows = sketch(s, doc, len(texts))
-            keys, short = bands(rows), (mix(rows) & U(0xFFFF)).astype(np.uint16)
+            keys, short = bands(rows), (mix(rows) & U(0xFF)).astype(np.uint8)
             sums, again = prefix(h), prefix(mix(h ^ U(0xA5A5A5A5A5A5A5A5)))
             first, end = w.first[:-1], w.first[1:]
             some = np.flatnonzero(end > first)
@@ -120,9 +120,10 @@ NODE = "struct<doc_id: long, text_hash: long>"
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of the pairs (a, b) of texts, each a struct (doc_id, text_hash), those whose exact Jaccard
     index reaches the threshold; only texts that occur in a pair are read into shingles."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().select("t.doc_id", "t.text_hash")
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().select("t.doc_id", "t.text_hash"))
     sets = (
-        _texts(docs).join(wanted, ["doc_id", "text_hash"], "left_semi")
+        perhaps(_texts(docs), wanted, "doc_id", "text_hash").join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text")
         .mapInArrow(_shingle_rows, "doc_id long, text_hash long, s array<long>")
         .select(F.struct("doc_id", "text_hash").alias("t"), "s")
     )
@@ -142,7 +143,7 @@ def _across(fewest: int):
 
     def table(column: pa.Array, row: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         x = column.slice(row, 1).flatten()
-        sketches = np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint16).reshape(len(x), -1)
+        sketches = np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(len(x), -1)
         part = x.field(1)
         return x.field(0), np.stack([part.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1), sketches
 
@@ -203,7 +204,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = verified(docs, cut(rest), threshold).select("a", "b")
+    second = verified(docs, rest, threshold).select("a", "b")
     found = cut(first.union(second).distinct())
     parts = connected_components(found)
     # Copies hang on their text's group; they needn't pass through the components.

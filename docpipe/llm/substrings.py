@@ -33,12 +33,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut, id_column, scratch_root, unused
+from .common import cut, id_column, perhaps, scratch_root, unused
 from .kernel import U, Words, blocks, mix, prefix, signed, span, windows
 from .suffix import Scratch, suffix_array
 
 MIN_WORDS = 50
-SHARD_WORDS, SORT_MEMORY, FILTER_BITS = 500_000, 1 << 20, 1 << 26
+SHARD_WORDS, SORT_MEMORY = 500_000, 1 << 20
 SPANS = "doc_id long, text_hash long, start long, stop long, n_words long, first_doc_id long"
 
 
@@ -360,7 +360,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None
     twice = cut(texts.mapInArrow(_marks(min_words, gram, False), "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     marks = texts.mapInArrow(_marks(min_words, gram, True), "doc_id long, text_hash long, mark long, word int, around long")
     # An inner join: a semi-join would be moved below the filter before it.
-    marks = cut(_perhaps(marks, twice, "mark").join(twice, "mark"))
+    marks = cut(perhaps(marks, twice, "mark").join(twice, "mark"))
     # Equal surroundings of a mark are one; the first of them stands for all.
     around = cut(marks.groupBy("mark", "around").agg(F.min(place).alias("rep"), F.count("*").alias("n")))
     of_mark = around.groupBy("mark").agg(F.min("rep").alias("lead"), F.count("*").alias("n_around"), F.sum("n").alias("total")).where("total > 1")
@@ -375,7 +375,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None
     # Rows that repeat a doc_id and text have equal lists, one of which is enough.
     lists = cut(placed.groupBy(*own).agg(F.collect_set(F.struct("word", "mark", "around", "shard", F.col("rep.doc_id").alias("origin"))).alias("m")))
     found = cut(
-        _perhaps(texts, lists, *own).join(lists, [*own]).select(*own, "text", "m")
+        perhaps(texts, lists, *own).join(lists, [*own]).select(*own, "text", "m")
         .mapInArrow(_cutter(min_words, gram, shards), PIECES)
         .repartitionById(shards, "shard").sortWithinPartitions("shard", *own, "w0")
         .mapInArrow(_sorter(scratch_root(spark), min_words, gram, memory), RUNS)
@@ -402,18 +402,6 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int | None
     )
 
 
-def _perhaps(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key is in wanted, and a few others, before they are shuffled for an exact
-    join. The bits sent to all tasks are FILTER_BITS at most, at any size; with more keys than
-    they can tell apart rows are only shuffled that the join then drops."""
-    code = F.xxhash64(*key)
-    bits = min(FILTER_BITS, 1 << max(12, (16 * max(1, wanted.count())).bit_length()))
-    slot = F.pmod(F.shiftright(code, 6), F.lit(bits // 64)).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(key)}) & 63 as int))")
-    filled = wanted.select(slot.alias("slot__"), bit.alias("bit__")).groupBy("slot__").agg(F.bit_or("bit__").alias("set__"))
-    return rows.join(F.broadcast(filled), slot == F.col("slot__")).where(F.col("set__").bitwiseAND(bit) != 0).drop("slot__", "set__")
-
-
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the later occurrences of repeated passages. A document of which
     no word is left goes, since all of it stands elsewhere; documents that had none stay, and
