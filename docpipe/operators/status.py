@@ -13,7 +13,7 @@ from ..sources.formats import EXIT_CODES
 
 SUFFIX = {"md": "md", "json": "json", "text": "txt"}
 SKIPS = ("unsupported_format", "no_text_layer")
-STATUS = ("ord", "source", "output", "status", "reason", "format", "ocr", "counts_as")
+STATUS = ("ord", "source", "output", "status", "reason", "format", "ocr", "counts_as", "message")
 
 
 def short_target(relative: Column, suffix: str) -> Column:
@@ -50,13 +50,13 @@ def statuses(docs: DataFrame, problems: DataFrame | None = None, output: str | N
     own = docs.select(
         F.lit(1).alias("part"), F.col("ord"), F.col("doc_id").cast("string").alias("source"),
         F.when(status == "extracted", F.col(output) if output else F.lit(None).cast("string")).alias("output"), status.alias("status"),
-        reason.alias("reason"), "format", "ocr", status.alias("counts_as"),
+        reason.alias("reason"), "format", "ocr", status.alias("counts_as"), (F.col("message") if "message" in docs.columns else F.lit(None).cast("string")).alias("message"),
     )
     if problems is not None:
         listed = problems.select(
             F.lit(0).alias("part"), "ord", "source", F.lit(None).cast("string").alias("output"), F.lit("error").alias("status"),
             F.lit("io_error").alias("reason"), F.lit(None).cast("string").alias("format"), F.lit(False).alias("ocr"),
-            F.when(F.col("skip"), "skipped").otherwise("error").alias("counts_as"),
+            F.when(F.col("skip"), "skipped").otherwise("error").alias("counts_as"), "message",
         )
         own = listed.unionByName(own)
     return own.select(F.struct("part", "ord").alias("ord"), *STATUS[1:])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 from dataclasses import dataclass
+from typing import TextIO
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -38,7 +39,7 @@ def chunk(spark: SparkSession, inputs: Iterable[str], size: int = C.SIZE, overla
 
 @dataclass
 class Batch:
-    """What a batch did; statuses is a table with a row for each input."""
+    """What a batch did; statuses is a table with a row for each input, as often as it was named."""
 
     extracted: int
     skipped: int
@@ -50,16 +51,18 @@ class Batch:
 
 def run_batch(
     spark: SparkSession, inputs: Iterable[str], output: str | None = None, format: str = "md", metadata: bool = False, recursive: bool = False,
-    pages: str | None = None, chunk_size: int | None = None, chunk_overlap: int = C.OVERLAP, manifest: str | None = None, ocr=None,
+    pages: str | None = None, chunk_size: int | None = None, chunk_overlap: int = C.OVERLAP, manifest: str | None = None, ocr=None, printed: TextIO | None = None,
 ) -> Batch:
     """Extracts all inputs, writes a file for each document below output (or to it, for a single
-    named input), and the statuses as a manifest. Every file is parsed once."""
+    named input), and the statuses as a manifest. Every file is parsed once. Without an output the
+    documents go to `printed`, if it is given, in the inputs' order."""
     inputs = list(inputs)
     if pages:
         formats.page_range(pages)
     jobs, problems = listing.list_inputs(spark, inputs, recursive)
     jobs = status.with_targets(jobs, status.SUFFIX[format])
-    found = extract(listing.read_jobs(jobs), pages, ocr=ocr).join(jobs.select(F.col("path").alias("doc_id"), "target"), "doc_id")
+    # An input that is named twice is two jobs: they go by their number, not by their path.
+    found = extract(listing.read_jobs(jobs), pages, ocr=ocr).join(jobs.select("ord", "target"), "ord").withColumnRenamed("doc_id", "source").withColumn("doc_id", F.col("ord"))
     found = found.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if chunk_size is None:
@@ -67,31 +70,29 @@ def run_batch(
         else:
             text = C.rendered(C.chunks(found, chunk_size, chunk_overlap), format)
         to_dir = recursive or jobs.count() > 1
-        column = None
+        done = found.withColumn("__out", F.lit(None).cast("string"))
         if output is not None:
-            placed = text.join(found.select("doc_id", "target"), "doc_id")
-            root = output
-            if not to_dir:
-                root, name = os.path.split(output)
-                placed = placed.withColumn("target", F.lit(name))
-            errors = status.write_files(placed, root).where("error is not null")
-            bad = [r["target"] for r in errors.select("target").toLocalIterator()]
+            root, name = (output, None) if to_dir else os.path.split(output)
+            placed = text.join(found.select("doc_id", F.lit(name).alias("target") if name else "target"), "doc_id")
+            written = status.write_files(placed, root).persist(StorageLevel.MEMORY_AND_DISK)
+            errors = written.where("error is not null").groupBy("target").agg(F.min("error").alias("__error"))
             place = F.concat(F.lit(os.path.join(output, "")), "target") if to_dir else F.lit(output)
-            failed = F.col("target").isin(bad) if bad and to_dir else F.lit(bool(bad))
-            found_out = found.withColumn("__out", place).withColumn("reason", F.when(F.col("reason").isNull() & failed, "io_error").otherwise(F.col("reason")))
-            column = "__out"
-        else:
-            found_out = found
-        rows = status.statuses(found_out, problems, column)
+            done = found.withColumn("__out", place)
+            done = done.join(errors, "target", "left") if to_dir else done.crossJoin(errors.agg(F.min("__error").alias("__error")))
+            lost = F.col("reason").isNull() & F.col("__error").isNotNull()
+            done = done.withColumn("message", F.when(lost, F.col("__error")).otherwise(F.col("message"))).withColumn("reason", F.when(lost, "io_error").otherwise(F.col("reason")))
+        elif printed is not None:
+            for row in text.orderBy("doc_id").toLocalIterator():
+                printed.write(row["output"])
+        rows = status.statuses(done.withColumn("doc_id", F.col("source")), problems, "__out").persist(StorageLevel.MEMORY_AND_DISK)
         total = status.roll_up(rows).first()
         if manifest is not None:
             os.makedirs(os.path.dirname(manifest) or ".", exist_ok=True)
             with open(manifest, "w", encoding="utf-8") as f:
                 f.write(status.manifest(rows))
-        kept = spark.createDataFrame(rows.collect(), rows.schema)  # a row for each input, without its text
     finally:
         found.unpersist()
-    return Batch(total["extracted"], total["skipped"], total["failed"], total["exit_code"], status.summary(total["extracted"], total["skipped"], total["failed"]), kept)
+    return Batch(total["extracted"], total["skipped"], total["failed"], total["exit_code"], status.summary(total["extracted"], total["skipped"], total["failed"]), rows)
 
 
 def register_views(spark: SparkSession, files: DataFrame, size: int = C.SIZE, overlap: int = C.OVERLAP) -> None:
