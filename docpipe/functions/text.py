@@ -74,17 +74,6 @@ def short_hash(x: Column) -> Column:
     return F.when(x.contains(":") & (F.length(body) > 12), short).otherwise(x)
 
 
-def natural_key(x: Column) -> Column:
-    """Sort key in which digit runs compare as numbers: a struct for each run of digits and
-    of other characters. Digits sort before text, as characters do."""
-    parts = F.regexp_extract_all(x, F.lit(r"(\d+|\D+)"), 1)
-    return F.transform(parts, lambda p: F.struct(
-        F.when(p.rlike(r"^\d"), F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-        F.when(p.rlike(r"^\d"), F.try_to_number(F.substring(p, 1, 38), F.lit("9" * 38))).cast("decimal(38,0)").alias("number"),
-        p.alias("text"),
-    ))
-
-
 def resolve_path(base: Column, href: Column) -> Column:
     """base + href without query and fragment, with "." and ".." worked out."""
     parts = F.split(F.concat(base, F.regexp_replace(href, "[#?].*$", "")), "/")

@@ -1,10 +1,8 @@
 """Documents to retrieval chunks with heading paths, byte ranges and content hashes.
 
 chunks() folds each row's blocks in one Arrow-batched pass: no shuffle, linear in the text.
-Cutting is a fold whose state depends on the data, which SQL can only say quadratically. The
-steps that are relational are here as window functions too, for blocks that live in a table of
-their own (offsets, heading paths, overlaps); tests hold both against each other. Hashes are
-computed by the JVM.
+Cutting is a fold whose state depends on the data, which SQL can only say quadratically, so the
+queries' recursive SQL serves as a check alone. Hashes are computed by the JVM.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -146,45 +144,6 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, source: st
     return found.withColumn("hash", content_hash(F.col("heading_path"), F.col("text")))
 
 
-# ------------------------------------------------- the steps as windows --
-
-def offsets(blocks: DataFrame, doc: str, order: list[str], md: str) -> DataFrame:
-    """Adds start and stop, in bytes of the joined Markdown; blocks must not be empty."""
-    before = W.partitionBy(doc).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length(md) + 2).over(before), F.lit(0)).cast("long")
-    return blocks.withColumn("start", start).withColumn("stop", F.col("start") + F.octet_length(md))
-
-
-def heading_paths(blocks: DataFrame, doc: str, order: list[str], level: str, text: str) -> DataFrame:
-    """Adds heading_path; level is null for what isn't a heading."""
-    upto = W.partitionBy(doc).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    clamped = F.least(F.greatest(F.col(level), F.lit(1)), F.lit(6)).cast("int")
-    heading = F.when(F.col(level).isNotNull(), F.struct(clamped.alias("l"), F.col(text).alias("h")))
-    open_ones = F.aggregate(
-        F.collect_list(heading).over(upto), F.array().cast("array<struct<l: int, h: string>>"),
-        lambda acc, x: F.concat(F.filter(acc, lambda y: y["l"] < x["l"]), F.array(x)),
-    )
-    return blocks.withColumn("heading_path", F.transform(open_ones, lambda x: x["h"]))
-
-
-def packed(segments: DataFrame, doc: str, order: list[str], chars: str, size: int, gap: int = 2, heading: str | None = None, depth: str | None = None) -> DataFrame:
-    """(doc, groups): segments of a document, in order, as an array of half-open groups."""
-    row = F.struct(*order, F.col(chars).cast("int").alias("n"), (F.col(heading) if heading else F.lit(False)).alias("h"), (F.col(depth).cast("int") if depth else F.lit(0)).alias("d"))
-    whole = segments.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("s"))
-    state = F.struct(F.array().cast("array<int>").alias("bounds"), F.lit(0).alias("at"), F.lit(0).alias("chars"), F.lit(0).alias("d"))
-
-    def step(acc: Column, x: Column) -> Column:
-        breaks = (acc["at"] > 0) & ((acc["chars"] + gap + x["n"] > size) | (x["h"] & ((2 * acc["chars"] >= size) | (x["d"] < acc["d"]))))
-        return F.struct(
-            F.when(breaks | (acc["at"] == 0), F.concat(acc["bounds"], F.array(acc["at"]))).otherwise(acc["bounds"]).alias("bounds"),
-            (acc["at"] + 1).alias("at"),
-            F.when(breaks | (acc["at"] == 0), x["n"]).otherwise(acc["chars"] + gap + x["n"]).alias("chars"), x["d"].alias("d"),
-        )
-
-    bounds = F.aggregate("s", state, step, lambda acc: acc["bounds"])
-    return whole.select(doc, bounds.alias("starts"), F.size("s").alias("n"))
-
-
 # ---------------------------------------------------------------- sinks --
 
 def rendered(found: DataFrame, format: str = "md") -> DataFrame:

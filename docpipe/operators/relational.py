@@ -1,12 +1,10 @@
 """The look-ups inside documents as joins, for parts that live in tables: relationship ids,
-numbering definitions, reading orders, styles. None is broadcast by hand; Catalyst picks the
+numbering definitions. None is broadcast by hand; Catalyst picks the
 strategy from the sizes it knows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
-
-from ..functions.text import natural_key
+from pyspark.sql import DataFrame, functions as F
 
 
 def lookup_last(rows: DataFrame, table: DataFrame, keys: list[str], value: str, order: str, default: str | None = None) -> DataFrame:
@@ -22,21 +20,3 @@ def ordered_lists(items: DataFrame, nums: DataFrame, abstracts: DataFrame) -> Da
     ordered = ~F.col("format").isin("bullet", "none")
     formats = nums.join(abstracts, "abstract_id").select("num_id", "level", ordered.alias("ordered")).groupBy("num_id", "level").agg(F.bool_or("ordered").alias("ordered"))
     return items.join(formats, ["num_id", "level"], "left").withColumn("ordered", F.coalesce("ordered", F.lit(False)))
-
-
-def in_spine_order(spine: DataFrame, manifest: DataFrame, doc: str, ref: str, item: str, position: str, entry: str) -> DataFrame:
-    """(doc, position, entry): the first manifest item of each reference, in reading order;
-    references without an item drop out."""
-    first = W.partitionBy(doc, item).orderBy(entry)
-    items = manifest.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return spine.join(items, (spine[doc] == items[doc]) & (spine[ref] == items[item])).select(spine[doc], spine[position], items[entry])
-
-
-def natural_rank(names: DataFrame, name: str) -> DataFrame:
-    """Adds rank in the order in which digit runs count as numbers."""
-    return names.withColumn("rank", F.row_number().over(W.orderBy(natural_key(F.col(name)), name)))
-
-
-def path_rank(paths: DataFrame, path: str) -> DataFrame:
-    """Adds rank in the order of the paths' parts."""
-    return paths.withColumn("rank", F.row_number().over(W.orderBy(F.split(path, "/"))))

@@ -42,10 +42,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query(r"""
 with p as (select conv_id, turn, list_filter(list_transform(string_split(text, chr(10) || chr(10)),
-             lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda x: x <> '') as l from conversations)
+             lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda x: x <> '') as l
+           from (select conv_id, turn, text from conversations union all select doc_id, -1, text from documents))
 select conv_id, turn, generate_subscripts(l, 1) - 1 as par, unnest(l) as text from p""")
 def text_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(E.paragraphs_of(F.col("text"))).alias("par", "text"))
+    """Paragraphs of all turns, and of all documents (turn -1)."""
+    both = table(spark, folder, "conversations").select("conv_id", "turn", "text").union(table(spark, folder, "documents").select("doc_id", F.lit(-1).cast("long"), "text"))
+    found = both.select("conv_id", "turn", F.posexplode(E.paragraphs_of(F.col("text"))).alias("par", "text"))
     return found.withColumn("par", F.col("par").cast("long"))
 
 
@@ -87,13 +90,13 @@ def href_escape(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-select doc_id, '---' || chr(10) || case when doc_id % 2 = 0 then 'title: "' || replace(replace(left(text, 60), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' || chr(10) else '' end
+select doc_id, '---' || chr(10) || case when doc_id % 2 = 0 then 'title: "' || replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' || chr(10) else '' end
   || 'language: "' || lang || '"' || chr(10) || 'pages: ' || n_chars || chr(10) || 'format: "txt"' || chr(10) || '---' || chr(10) || chr(10) as front from documents""")
 def yaml_front_matter(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     none = F.lit(None).cast("string")
     meta = F.struct(
-        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 60)).alias("title"), none.alias("author"), none.alias("created"), F.col("lang").alias("language"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("title"), none.alias("author"), none.alias("created"), F.col("lang").alias("language"),
         none.alias("publisher"), F.col("n_chars").cast("int").alias("page_count"), F.lit("txt").alias("source_format"), none.alias("source_path"),
     )
     return docs.select("doc_id", meta.alias("meta")).select("doc_id", render.front_matter(F.col("meta")).alias("front"))
@@ -213,86 +216,10 @@ def csv_table_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return E.table_markdown(table(spark, folder, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
 
 
-@query(r"""
-with i as (select conv_id, turn, row_number() over (partition by conv_id order by turn, role, text) as n, text from conversations where text is not null)
-select conv_id, string_agg(n || '. ' || regexp_replace(text, '\n([^\n])', chr(10) || repeat(' ', length(n::varchar) + 2) || '\1', 'g'), chr(10) order by n) as md from i group by conv_id""")
-def list_render(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("l"))
-
-    def item(x, k):
-        marker = F.concat((k + 1).cast("string"), F.lit(". "))
-        pad = F.repeat(F.lit(" "), F.length(marker))
-        return F.concat(marker, F.regexp_replace(x["text"], r"\n([^\n])", F.concat(F.lit("\n"), pad, F.lit("$1"))))
-
-    return items.select("conv_id", F.array_join(F.transform("l", item), "\n").alias("md"))
 
 
 # --------------------------------------------------------------- chunking --
 
-def _turns(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").where("text is not null and text <> ''")
-
-
-@query("""
-select conv_id, turn, role, coalesce(sum(strlen(text) + 2) over w, 0)::bigint as start, (coalesce(sum(strlen(text) + 2) over w, 0) + strlen(text))::bigint as stop
-from conversations where text is not null and text <> '' window w as (partition by conv_id order by turn, role rows between unbounded preceding and 1 preceding)""")
-def block_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return C.offsets(_turns(spark, folder), "conv_id", ["turn", "role"], "text").select("conv_id", "turn", "role", "start", "stop")
-
-
-@query("""
-with b as (select conv_id, turn, case when turn % 2 = 0 then turn % 5 + 1 end as level, left(text, 12) as h from (select distinct on (conv_id, turn) * from conversations where text is not null and text <> '' order by conv_id, turn, role, text))
-select b.conv_id, b.turn, coalesce(string_agg(a.h, ' > ' order by a.turn), '') as path
-from b left join b a on a.conv_id = b.conv_id and a.turn <= b.turn and a.level is not null
-  and not exists (select 1 from b c where c.conv_id = a.conv_id and c.turn > a.turn and c.turn <= b.turn and c.level is not null and c.level <= a.level)
-group by b.conv_id, b.turn""")
-def heading_path(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _turns(spark, folder).groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r"))
-    rows = rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("turn") % 5 + 1).alias("level"), F.substring("r.text", 1, 12).alias("h"))
-    found = C.heading_paths(rows, "conv_id", ["turn"], "level", "h")
-    return found.select("conv_id", "turn", F.array_join("heading_path", " > ").alias("path"))
-
-
-_PACK = """
-with recursive s as (select conv_id, row_number() over (partition by conv_id order by turn, role) - 1 as i, length(text) as n from conversations where text is not null and text <> ''),
-p as (select conv_id, i, n as chars, i as start from s where i = 0
-      union all
-      select s.conv_id, s.i, case when p.chars + 2 + s.n > 400 then s.n else p.chars + 2 + s.n end, case when p.chars + 2 + s.n > 400 then s.i else p.start end
-      from p join s on s.conv_id = p.conv_id and s.i = p.i + 1)
-"""
-
-
-@query(_PACK + "select conv_id, start::bigint as first, max(i)::bigint as last, max(chars)::bigint as chars from p group by conv_id, start")
-def pack_segments(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _turns(spark, folder).select("conv_id", "turn", "role", F.length("text").alias("n"))
-    sizes = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "n"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["n"]).alias("sizes"))
-    found = C.packed(rows, "conv_id", ["turn", "role"], "n", 400).join(sizes, "conv_id")
-    group = found.select("conv_id", "sizes", "starts", "n", F.posexplode("starts").alias("k", "first"))
-    group = group.withColumn("last", F.coalesce(F.get("starts", F.col("k") + 1), "n") - 1)
-    chars = F.aggregate(F.slice("sizes", F.col("first") + 1, F.col("last") - F.col("first") + 1), F.lit(-2), lambda acc, x: acc + x + 2)
-    return group.select("conv_id", F.col("first").cast("long"), F.col("last").cast("long"), chars.cast("long").alias("chars"))
-
-
-@query(_PACK + """, g as (select conv_id, start, max(i) as last from p group by conv_id, start),
-h as (select conv_id, start, last, lag(start) over (partition by conv_id order by start) as before from g),
-o as (select h.conv_id, h.start, h.before, s.i, sum(s.n + 2) over (partition by h.conv_id, h.start order by s.i desc) as taken from h join s on s.conv_id = h.conv_id and s.i < h.start and s.i > h.before)
-select h.conv_id, h.start::bigint as first, coalesce(min(case when o.taken <= 200 then o.i end), h.start)::bigint as begins from h left join o on o.conv_id = h.conv_id and o.start = h.start group by h.conv_id, h.start""")
-def pack_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _turns(spark, folder).select("conv_id", "turn", "role", F.length("text").alias("n"))
-    sizes = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "n"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["n"]).alias("sizes"))
-    found = C.packed(rows, "conv_id", ["turn", "role"], "n", 400).join(sizes, "conv_id").select("conv_id", "sizes", "starts", F.posexplode("starts").alias("k", "first"))
-    before = F.when(F.col("k") > 0, F.get("starts", F.col("k") - 1)).otherwise(F.col("first"))
-    # Whole segments from the right, as long as the budget lasts, never the whole group before.
-    room = F.reverse(F.slice("sizes", before + 2, F.greatest(F.col("first") - before - 1, F.lit(0))))
-    taken = F.aggregate(
-        room, F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(True).alias("on")),
-        lambda acc, x: F.when(acc["on"] & (acc["chars"] + x + 2 <= 200), F.struct((acc["n"] + 1).alias("n"), (acc["chars"] + x + 2).alias("chars"), F.lit(True).alias("on")))
-        .otherwise(F.struct(acc["n"].alias("n"), acc["chars"].alias("chars"), F.lit(False).alias("on"))),
-        lambda acc: acc["n"],
-    )
-    return found.select("conv_id", F.col("first").cast("long"), (F.col("first") - taken).cast("long").alias("begins"))
-
-
 @query(r"""
 with recursive t as (select doc_id, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') as text from documents),
 c as (select doc_id, 0 as k, ''::varchar as piece, text as rest, false as done from t where text <> ''
@@ -495,51 +422,24 @@ def numbering_join(spark: SparkSession, folder: str) -> DataFrame:
     return R.ordered_lists(items, nums, abstracts).select("s_suppkey", "ordered")
 
 
-@query("""
-with m as (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey) as n from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem)),
-s as (select o_orderkey, k as position, (o_orderkey + k) % 7 + 1 as ref from orders, (values (0), (1), (2)) p(k))
-select o_orderkey as doc, position, l_partkey as entry from s join m on o_orderkey = l_orderkey and ref = l_linenumber and n = 1""")
-def spine_join(spark: SparkSession, folder: str) -> DataFrame:
-    manifest = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("item"), F.col("l_partkey").alias("entry")).distinct()
-    spine = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.array(*map(F.lit, range(3)))).alias("position"))
-    spine = spine.withColumn("ref", (F.col("doc") + F.col("position")) % 7 + 1)
-    return R.in_spine_order(spine, manifest, "doc", "ref", "item", "position", "entry")
 
 
-@query("""
-select doc_id, lang, doc_id in (select doc_id from labels where quality = 1) as styled from documents where doc_id in (select doc_id from labels)
-union all select doc_id, lang, false from documents where doc_id not in (select doc_id from labels where doc_id is not null)""")
-def style_semi(spark: SparkSession, folder: str) -> DataFrame:
-    docs, labels = table(spark, folder, "documents").select("doc_id", "lang"), table(spark, folder, "labels")
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("styled", F.lit(True))
-    known = docs.join(labels, "doc_id", "left_semi").join(good, "doc_id", "left").withColumn("styled", F.coalesce("styled", F.lit(False)))
-    return known.unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("styled", F.lit(False)))
 
 
 # ------------------------------------------------------ naming and status --
 
-@query("""
-select page_id, row_number() over (order by page_id // 100, page_id % 100, page_id) as rank from pages""")
-def natural_sort(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("page_id")
-    named = table(spark, folder, "pages").select("page_id", F.concat(F.lit("ppt/slides"), F.floor(k / 100).cast("string"), F.lit("/slide"), (k % 100).cast("string"), F.lit(".xml")).alias("name"))
-    return R.natural_rank(named, "name").select("page_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("select page_id, row_number() over (order by string_split(replace(url, 'http://', '') || '/' || page_id, '/')) as rank from pages")
-def path_sort(spark: SparkSession, folder: str) -> DataFrame:
-    path = F.concat(F.replace("url", F.lit("http://"), F.lit("")), F.lit("/"), F.col("page_id").cast("string"))
-    return R.path_rank(table(spark, folder, "pages").select("page_id", path.alias("path")), "path").select("page_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(r"""
-with j as (select page_id, 'in/' || (page_id // 3) || case page_id % 3 when 0 then '.pdf' when 1 then '.docx' else '' end as relative from pages where page_id % 7 <> 1),
+with j as (select page_id, 'in/' || (page_id // 3) || case when page_id % 7 = 1 then '-' || page_id else '' end || case page_id % 3 when 0 then '.pdf' when 1 then '.docx' else '' end as relative from pages),
 s as (select *, regexp_replace(relative, '([^/])\.[^./]*$', '\1') || '.md' as short from j)
 select page_id, case when count(*) over (partition by short) > 1 then relative || '.md' else short end as target from s""")
 def target_names(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("page_id")
-    relative = F.concat(F.lit("in/"), F.floor(k / 3).cast("string"), F.when(k % 3 == 0, ".pdf").when(k % 3 == 1, ".docx").otherwise(""))
-    return status.with_targets(table(spark, folder, "pages").where("page_id % 7 <> 1").select("page_id", relative.alias("relative")), "md").select("page_id", "target")
+    relative = F.concat(F.lit("in/"), F.floor(k / 3).cast("string"), F.when(k % 7 == 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.when(k % 3 == 0, ".pdf").when(k % 3 == 1, ".docx").otherwise(""))
+    return status.with_targets(table(spark, folder, "pages").select("page_id", relative.alias("relative")), "md").select("page_id", "target")
 
 
 def _statuses(spark: SparkSession, folder: str) -> DataFrame:
@@ -580,12 +480,3 @@ def manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = _statuses(spark, folder).withColumn("line", F.row_number().over(W.orderBy("ord")).cast("long"))
     return rows.select("source", "output", "status", "reason", "format", "line")
 
-
-@query("""
-select 'documents' as part, doc_id as ord, length(text) as chars from documents union all
-select 'conversations', conv_id * 1000 + turn, length(text) from conversations""")
-def union_order(spark: SparkSession, folder: str) -> DataFrame:
-    chars = F.length("text").cast("long").alias("chars")
-    a = table(spark, folder, "documents").select(F.lit("documents").alias("part"), F.col("doc_id").alias("ord"), chars)
-    return a.unionByName(table(spark, folder, "conversations").select(F.lit("conversations").alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), chars))
-

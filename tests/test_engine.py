@@ -11,7 +11,7 @@ from samples import ALL, pdf
 
 from docpipe.functions import text as T, values as V
 from docpipe.operators import chunk as C, extract as E, layout as L, render, status
-from docpipe.plans import api, catalogue
+from docpipe.plans import api, catalogue, made  # noqa: F401  made adds its queries
 from docpipe.sources import detect as D, formats, listing
 from docpipe.sources.formats import pagelayout
 from docpipe.streaming import ingest
@@ -180,24 +180,6 @@ def test_heading_paths_and_breaks(spark):
     assert C.pieces("x" * 10, 4) == [(0, 4), (4, 8), (8, 10)]
 
 
-def test_windows_equal_the_fold(spark):
-    docs = markdown_docs(spark, HANDBOOK, "# A\n\nx\n\n## B\n\n#### C\n\n### D\n\ny")
-    blocks = docs.select("doc_id", F.posexplode("blocks").alias("i", "b")).select("doc_id", "i", "b.*")
-    rows = C.heading_paths(C.offsets(blocks, "doc_id", ["i"], "md"), "doc_id", ["i"], "level", "plain").orderBy("doc_id", "i").collect()
-    for doc in docs.collect():
-        text, segments = C.segment([b.asDict() for b in doc["blocks"]], 10**9)
-        own = [r for r in rows if r["doc_id"] == doc["doc_id"]]
-        assert [(len(text[:a].encode()), len(text[:b].encode()), p) for a, b, _, p, _ in segments] == [(r["start"], r["stop"], r["heading_path"]) for r in own]
-    groups = C.packed(blocks.withColumn("n", F.length("md")), "doc_id", ["i"], "n", 60).collect()
-    for g in groups:
-        sizes = [r["md"] for r in rows if r["doc_id"] == g["doc_id"]]
-        at, segments = 0, []
-        for md in sizes:
-            segments.append((at, at + len(md), len(md), [], False))
-            at += len(md) + 2
-        assert g["starts"] == [a for a, _ in C.pack(segments, 60)]
-
-
 def test_chunk_sinks(spark):
     found = C.chunks(markdown_docs(spark, "# A\n\nbody text"), 400)
     r = found.first()
