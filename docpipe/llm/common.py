@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: it outlives lost executors and ends the lineage."""
     shared_dir(df.sparkSession)
@@ -41,9 +47,19 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str | None:
     """Where a task may spill: the shared folder if it is mounted as files, else None, which
     means the directories that Spark itself gives the executor for spilling."""
-    there = shared_dir(spark)
-    path = there.removeprefix("file:")
-    return "/" + path.lstrip("/") if path.startswith("/") and os.path.isabs(path) else None
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path.toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """A written table and its folder in the shared file system. Unlike a checkpoint, which keeps
+    the estimates of the plan that it ends, it has the size of its files: estimates of joins in a
+    loop don't multiply from round to round."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
 
 
 def id_column(df: DataFrame, name: str = "doc_id") -> Column:
@@ -62,35 +78,44 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b), of any type that has an order; the component
     is its smallest node.
 
-    Alternates large-star and small-star steps until the edges stop changing; every round is
-    checkpointed. A node's minimum is an aggregate with partial sums, joined back to its edges, so
-    a node with very many neighbours is no single task's (its partition of the join is one that
-    adaptive execution splits). The rounds grow with the logarithm of the longest chain; edges that
-    still change after max_rounds are an error. Loops and repeats do no harm.
+    Alternates large-star and small-star steps until the edges stop changing; each step's table is
+    written, and the one before removed. A node's minimum is an aggregate with partial sums, joined
+    back to its edges, so a node with very many neighbours is no single task's (its partition of the
+    join is one that adaptive execution splits). The rounds grow with the logarithm of the longest
+    chain; edges that still change after max_rounds are an error. Loops and repeats do no harm.
     """
-
-    def with_least(e: DataFrame) -> DataFrame:
-        """Edges (u, v) with the least v of each u."""
-        return e.join(cut(e.groupBy("u").agg(F.min("v").alias("m"))), "u")
-
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        return with_least(both).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
-
-    def small(e: DataFrame) -> DataFrame:
-        n = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-        return n.select(F.col("v").alias("a"), F.col("m").alias("b")).union(n.select(F.col("u").alias("a"), F.col("m").alias("b")))
-
-    e = cut(edges.select("a", "b").where("a <> b").distinct())
+    spark = edges.sparkSession
+
+    def step(e: DataFrame, large: bool) -> tuple[DataFrame, str]:
+        """Edges after a step, and their folder."""
+        if large:
+            e = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+        else:
+            e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        least, at = stored(e.groupBy("u").agg(F.min("v").alias("m")))
+        n = e.join(least, "u")
+        if large:
+            n = n.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+        else:
+            n = n.select(F.col("v").alias("a"), F.col("m").alias("b")).union(n.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        after, folder = stored(n.where("a <> b").distinct())
+        drop(spark, at)
+        return after, folder
+
+    e, folder = stored(edges.select("a", "b").where("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
-        e = cut(small(large(e)).where("a <> b").distinct())
+        for large in (True, False):
+            e, after = step(e, large)
+            drop(spark, folder)
+            folder = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             stars = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
             roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return stars.union(roots)
         before = now
+    drop(spark, folder)
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 

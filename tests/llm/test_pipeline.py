@@ -53,3 +53,52 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert after.columns == docs.columns and after.dtypes == docs.dtypes
         docs = after
     assert docs.count()
+
+
+def test_awkward_documents_pass_every_stage(spark, tmp_path):
+    """Null ids and texts, repeated rows, one id with two texts, a very long text, clashing columns."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(30)
+    rows, _ = quality_rows(90)
+    fresh = lambda n=100: " ".join(words(rng, n, 90_000)) + "."
+    long, one, other = fresh(60_000), fresh(), fresh()
+    extra = [(None, one), (2000, one), (2000, one), (2001, other), (2001, long), (2002, None), (None, None), (2003, ""), (2004, " \n"), (2005, long)]
+    write(spark, tmp_path / "plain", rows + [(d, t, None if d == 2004 else "en", None if d == 2003 else "src1", None) for d, t in extra])
+    docs = spark.read.parquet(str(tmp_path / "plain/documents.parquet"))
+    for name in ("score", "keep", "text_hash", "__hash", "__spans", "tokens_", "label", "k1"):
+        docs = docs.withColumn(name, F.lit("own"))
+    docs.write.parquet(str(tmp_path / "in/documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"plain/{name}.parquet")).write.parquet(str(tmp_path / f"in/{name}.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "in/documents.parquet")), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path / "in")).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        seen[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) if "text" in docs.columns else None
+        if seen[name] is not None:
+            assert all(r == "own" for c in ("score", "keep", "__hash") for r, in docs.select(c).distinct().collect())
+    at = {name: {d: sum(x == d for x, _ in rows_) for d in (None, 2000, 2001, 2002, 2005)} for name, rows_ in seen.items() if rows_ is not None}
+    # The two nulls stay (one without a text), copies under one id become one, and of the two rows
+    # with the long text the one of the smaller id stays beside that id's other text.
+    assert at["quality_classifier"][2000] == 2 and at["near_dedup"] == {None: at["quality_classifier"][None], 2000: 1, 2001: 2, 2002: at["quality_classifier"][2002], 2005: 0}
+    assert at["substring_dedup"] == at["near_dedup"] == at["decontamination"]
+    assert {r["doc_id"]: r["n_tokens"] for r in docs.where("doc_id >= 2002").collect()}.get(2002) is None
+    assert docs.where("decoded_equal = false").count() == 0 and docs.where("doc_id = 2001").agg(F.max("n_tokens")).first()[0] > 60_000
+
+
+def test_empty_tables_pass_every_stage(spark, tmp_path):
+    write(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_earlier_stages_leave_no_files(spark, tmp_path):
+    import os
+
+    from docpipe.llm.common import shared_dir
+
+    write(spark, tmp_path, quality_rows(30)[0])
+    corpus_pipeline.run(spark, str(tmp_path))
+    there = shared_dir(spark).removeprefix("file:")
+    kept = [sorted(os.listdir(os.path.join(there, d))) for d in os.listdir(there) if d.startswith("pipeline-")]
+    assert kept and all(k == ["tokenization"] for k in kept)
