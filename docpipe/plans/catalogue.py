@@ -261,12 +261,6 @@ def chunks_full(spark: SparkSession, folder: str) -> DataFrame:
     return C.chunks(both[0].unionByName(both[1]), 800, 80)
 
 
-@query()
-def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages to one Markdown file of chunks each."""
-    return C.rendered(C.chunks(_pages(spark, folder), 400, 40), "md")
-
-
 @query("""
 with n as (select doc_id, 'sha256:' || sha256(chr(30) || case when doc_id % 7 = 0 then text || '!' else text end) as hash from documents),
      o as (select doc_id, 'sha256:' || sha256(chr(30) || text) as hash from documents where doc_id % 11 <> 0)

@@ -340,9 +340,33 @@ def docx_text(spark: SparkSession, folder: str) -> DataFrame:
     return render.rendered(documents(spark, folder, "docx"), "text")
 
 
+@query(f"""with {_ROWS} select k as doc_id, '{{"blocks":[{{"text":[{{"type":"text","value":"Caféé "}},{{"type":"italic","value":[{{"type":"text","value":"' || seg || '"}}]}}],"type":"paragraph"}}'
+  || coalesce(string_agg(',{{"text":[{{"type":"text","value":"Order ' || ok || '"}},{{"type":"line_break"}},{{"type":"text","value":"status "}},{{"type":"bold","value":[{{"type":"text","value":"' || st || '"}}]}},{{"type":"text","value":" — ' || price || '"}}],"type":"paragraph"}}', '' order by n), '')
+  || '],"meta":{{"title":"' || name || '","author":"' || seg || '","created":"2023-05-01","source_format":"rtf","source_path":"' || k || '"}}}}' || chr(10) as output
+from o group by k, name, seg""")
+def rtf_json(spark: SparkSession, folder: str) -> DataFrame:
+    return render.rendered(documents(spark, folder, "rtf"), "json")
+
+
+@query(f"""with {_ROWS}, b as (
+  select distinct k, 0 as i, -1 as p, 0 as item, 0 as depth, 'heading' as type, name as plain, 2 as level from o
+  union all select distinct k, 1, -1, 0, 0, 'paragraph', 'Segment is ' || seg || ' profile', null from o
+  union all select k, 2, -1, 0, 0, 'list', string_agg('Order ' || ok || chr(10) || 'status ' || st, chr(10) order by n), null from o where ok is not null group by k
+  union all select k, 3 * n, 2, n - 1, 1, 'paragraph', 'Order ' || ok, null from o where ok is not null
+  union all select k, 3 * n + 1, 2, n - 1, 1, 'list', 'status ' || st, null from o where ok is not null
+  union all select k, 3 * n + 2, 3 * n + 1, 0, 2, 'paragraph', 'status ' || st, null from o where ok is not null
+  union all select k, 2 + case when m > 0 then 3 * m + 1 else 0 end, -1, 0, 0, 'table', 'order' || chr(9) || 'price' || coalesce(chr(10) || string_agg(ok || chr(9) || price, chr(10) order by n), ''), null from o group by k, m
+  union all select distinct k, 3 + case when m > 0 then 3 * m + 1 else 0 end, -1, 0, 0, 'paragraph', 'Balance' || chr(10) || bal, null from o)
+select k as doc_id, i::int as block_idx, p::int as parent_idx, item::int as item_no, depth::int as depth, type, plain, level::int as level from b""")
+def docx_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks as rows in pre-order, with their parents."""
+    found = E.extract(files(spark, folder, "docx"), full=True).select("doc_id", F.explode("blocks").alias("b"))
+    return found.select("doc_id", "b.block_idx", F.coalesce("b.parent_idx", F.lit(-1)).alias("parent_idx"), F.coalesce("b.item_no", F.lit(0)).alias("item_no"), "b.depth", "b.type", "b.plain", "b.level")
+
+
 # ----------------------------------------------------------------- chunks --
 
-@query("""
+_SECTIONS = """
 with recursive c as (select c_custkey // 50 as doc, c_custkey as k, row_number() over (partition by c_custkey // 50 order by c_custkey) as p, c_name, c_mktsegment, printf('%.2f', c_acctbal) as bal from customer),
 b as materialized (select doc, 0 as i, 1 as level, 'Book ' || doc as h, '# Book ' || doc as md from c where p = 1
       union all select doc, 2 * p - 1, 2 + k % 3, 'Customer ' || k, repeat('#', (2 + k % 3)::int) || ' Customer ' || k from c
@@ -358,17 +382,33 @@ w as materialized (select doc, string_agg(md, chr(10) || chr(10) order by i) as
 l as materialized (select doc, list(low order by i) as low, list(low + n order by i) as high, list(path order by i) as path from s group by doc),
 r as (select g.*, coalesce(list_min(list_filter(range(before + 1, start), lambda i: l.low[start + 1] - l.low[i + 1] <= 80)), start) as first, l.low as lows, l.high[last + 1] as high, l.path[start + 1] as path from g join l using (doc)),
 t as (select doc, chunk_idx, substr(whole, (lows[first + 1] + 1)::int, (high - lows[first + 1])::int) as text, path, lows[first + 1] as low, high from r join w using (doc))
-select doc as doc_id, chunk_idx::int as chunk_idx, text, array_to_string(path, ' > ') as path, doc::varchar as source, low::bigint as low, high::bigint as high,
+"""
+
+
+@query(_SECTIONS + """select doc as doc_id, chunk_idx::int as chunk_idx, text, array_to_string(path, ' > ') as path, doc::varchar as source, low::bigint as low, high::bigint as high,
   'sha256:' || sha256(array_to_string(path, chr(31)) || chr(30) || text) as hash from t""")
 def chunk_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Heading paths, packing, overlaps, byte ranges and hashes."""
+    return _flat(_sections(spark, folder))
+
+
+def _sections(spark: SparkSession, folder: str) -> DataFrame:
     """Customers, fifty to a page with a heading for each, to chunks of 200 characters with an overlap
-    of 80: heading paths, packing, overlaps, byte ranges and hashes."""
+    of 80."""
     key = F.col("c_custkey")
     level = (key % 3 + 2).cast("string")
     line = F.format_string("<h%s>Customer %d</h%s><p>%s of %s has %.2f to spend.</p>", level, key, level, "c_name", "c_mktsegment", "c_acctbal")
     book = table(spark, folder, "customer").groupBy(F.floor(key / 50).alias("book")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), line.alias("line")))).alias("l"))
     page = F.concat(F.format_string("<html><body><h1>Book %d</h1>", "book"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("</body></html>"))
-    return _flat(C.chunks(E.html_documents(book.select("book", page.alias("page")), "book", "page"), 200, 80))
+    return C.chunks(E.html_documents(book.select("book", page.alias("page")), "book", "page"), 200, 80)
+
+
+@query(_SECTIONS + """select doc as doc_id, string_agg('<!-- chunk ' || (chunk_idx + 1) || '/' || n || ' | ' || array_to_string(path, ' > ') || ' | bytes ' || low || '-' || high || ' | sha256:'
+  || left(sha256(array_to_string(path, chr(31)) || chr(30) || text), 12) || '… -->' || chr(10) || chr(10) || text || chr(10) || chr(10), '' order by chunk_idx) as output
+from (select *, count(*) over (partition by doc) as n from t) group by doc""")
+def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A Markdown file of chunks for each page, a header line before each chunk."""
+    return C.rendered(_sections(spark, folder), "md")
 
 
 def _flat(chunks: DataFrame) -> DataFrame:
