@@ -8,16 +8,17 @@ queries' recursive SQL serves as a check alone. Hashes are computed by the JVM.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import WS, content_hash, py_one_line, short_hash
 
-SIZE, OVERLAP = 800, 0
+SIZE, OVERLAP, BATCH_CHARS = 800, 0, 4 << 20
 CHUNK = "chunk_idx int, text string, heading_path array<string>, source string, byte_range array<bigint>"
 _ENDS = re.compile(rf"[.!?…](?=[{WS}]|$)")
 _SPACE = re.compile(f"[{WS}]")
@@ -70,20 +71,20 @@ def pack(segments: list[tuple], size: int) -> list[tuple[int, int]]:
     return groups + [(start, len(segments))] if start < len(segments) else groups
 
 
-def segment(blocks: list[dict], size: int) -> tuple[str, list[tuple]]:
-    """The Markdown of a document and its segments, in characters."""
+def segment(blocks: Iterable[tuple], size: int) -> tuple[str, list[tuple]]:
+    """The Markdown of a document and its segments, in characters. blocks: (type, level, plain, md)."""
     shown, out, at = [], [], 0
     stack: list[tuple[int, str]] = []
-    for b in blocks:
-        md = b["md"].rstrip(WS)
+    for kind, level, plain, md in blocks:
+        md = md.rstrip(WS)
         if not md.strip(WS):
             continue
-        heading = b["type"] == "heading"
+        heading = kind == "heading"
         if heading:
-            level = min(6, max(1, b["level"]))
+            level = min(6, max(1, level))
             while stack and stack[-1][0] >= level:
                 stack.pop()
-            stack.append((level, py_one_line(b["plain"])))
+            stack.append((level, py_one_line(plain)))
         path = [t for _, t in stack]
         for k, (s, e) in enumerate(pieces(md, size)):
             out.append((at + s, at + e, e - s, path, heading and k == 0))
@@ -92,7 +93,7 @@ def segment(blocks: list[dict], size: int) -> tuple[str, list[tuple]]:
     return "\n\n".join(shown), out
 
 
-def cut(blocks: list[dict], size: int, overlap: int) -> Iterator[tuple[str, list[str], int, int]]:
+def cut(blocks: Iterable[tuple], size: int, overlap: int) -> Iterator[tuple[str, list[str], int, int]]:
     """(text, heading path, first byte, byte behind the last) of each chunk."""
     size = max(size, 1)
     overlap = min(overlap, size // 2)
@@ -129,16 +130,30 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, source: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
-            for k in range(batch.num_rows):
-                doc, origin, blocks = (batch.column(j)[k].as_py() for j in range(3))
-                for n, (text, path, low, high) in enumerate(cut(blocks, size, overlap)):
-                    rows.append({key.name: doc, "chunk_idx": n, "text": text, "heading_path": path, "source": origin, "byte_range": [low, high]})
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+            lists = batch.column(2)
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).to_pylist()
+            fields = list(zip(*(x.to_pylist() for x in lists.flatten().flatten())))
+            row: list[int] = []
+            out: tuple[list, ...] = ([], [], [], [])
+            size_of = 0
+
+            def full() -> pa.RecordBatch:
+                at = pa.array(row, pa.int64())
+                number, text, path, places = out
+                columns = [batch.column(0).take(at), number, text, path, batch.column(1).take(at), places]
+                return pa.record_batch([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
+
+            for k, (low, high) in enumerate(zip([0, *ends], ends)):
+                for n, (text, path, start, stop) in enumerate(cut(fields[low:high], size, overlap)):
+                    row.append(k)
+                    for column, value in zip(out, (n, text, path, [start, stop])):
+                        column.append(value)
+                    size_of += len(text)
+                if size_of > BATCH_CHARS:
+                    yield full()
+                    row, out, size_of = [], ([], [], [], []), 0
+            if row:
+                yield full()
 
     found = docs.where("reason is null").select("doc_id", where.alias("source"), slim.alias("blocks")).mapInArrow(run, schema)
     return found.withColumn("hash", content_hash(F.col("heading_path"), F.col("text")))
