@@ -357,11 +357,11 @@ def rtf_json(spark: SparkSession, folder: str) -> DataFrame:
   union all select k, 3 * n + 2, 3 * n + 1, 0, 2, 'paragraph', 'status ' || st, null from o where ok is not null
   union all select k, 2 + case when m > 0 then 3 * m + 1 else 0 end, -1, 0, 0, 'table', 'order' || chr(9) || 'price' || coalesce(chr(10) || string_agg(ok || chr(9) || price, chr(10) order by n), ''), null from o group by k, m
   union all select distinct k, 3 + case when m > 0 then 3 * m + 1 else 0 end, -1, 0, 0, 'paragraph', 'Balance' || chr(10) || bal, null from o)
-select k as doc_id, i::int as block_idx, p::int as parent_idx, item::int as item_no, depth::int as depth, type, plain, level::int as level from b""")
+select k as doc_id, i::int as block_idx, p::int as parent_idx, item::int as item_no, depth::int as depth, type, plain, coalesce(level, 0)::int as level from b""")
 def docx_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks as rows in pre-order, with their parents."""
     found = E.extract(files(spark, folder, "docx"), full=True).select("doc_id", F.explode("blocks").alias("b"))
-    return found.select("doc_id", "b.block_idx", F.coalesce("b.parent_idx", F.lit(-1)).alias("parent_idx"), F.coalesce("b.item_no", F.lit(0)).alias("item_no"), "b.depth", "b.type", "b.plain", "b.level")
+    return found.select("doc_id", "b.block_idx", F.coalesce("b.parent_idx", F.lit(-1)).alias("parent_idx"), F.coalesce("b.item_no", F.lit(0)).alias("item_no"), "b.depth", "b.type", "b.plain", F.coalesce("b.level", F.lit(0)).alias("level"))
 
 
 # ----------------------------------------------------------------- chunks --
