@@ -776,14 +776,22 @@ def test_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (5, 1, 0), (7, 0, 1)], LABELS)
     assert bpe.encode(docs).where("decoded_equal is null or decoded_equal").count() == n
     assert quality.score(docs, quality.train(docs, labels)).count() == n
-    assert lid.identify(docs, lid.train(docs)).where("doc_id = 2 and predicted is null and confidence = 0").count() == 1
+    said = {r["doc_id"]: r for r in lid.identify(docs, lid.train(docs)).collect()}
+    assert {d for d, r in said.items() if r["predicted"] is None} == {2, 3, 4} and all(said[d]["confidence"] == 0 and said[d]["n_words"] == 0 for d in (2, 3, 4))
+    assert {said[d]["predicted"] for d in (5, 8)} == {"en"} and said[7]["predicted"] == "fr" and said[5]["n_words"] == 60_000
+    assert said[1]["predicted"] == said[6]["predicted"] == said[None]["predicted"]
     groups = {r["doc_id"]: r["keep_id"] for r in minhash.near_groups(docs).collect()}
     assert groups == {1: 1, 6: 1, 5: 5, 8: 5}
     exact = fingerprint.exact_groups(docs)
     assert {r["doc_id"]: r["group_id"] for r in exact.collect()} == {1: 1, 6: 1, 2: 2, 3: 2, 4: 2, 5: 5, 8: 5, 7: 7}
     spans = substrings.repeated_spans(docs).collect()
     assert [(r["doc_id"], r["first_doc_id"], r["n_words"]) for r in spans] == [(8, 5, 60_000)]
-    toxicity.toxic_documents(docs, labels).count()
+    toxic = toxicity.toxic_documents(docs, labels)
+    found = toxic.collect()
+    assert toxic.columns == ["doc_id", "score", "document_score", "n_words"] and len({r["doc_id"] for r in found}) == len(found)
+    assert not {r["doc_id"] for r in found} & {None, 2, 3, 4} and all(r["n_words"] > 0 for r in found)
+    scored = toxicity.score(docs, toxicity.ratios(toxicity.count(docs, labels)))
+    assert sorted(r["doc_id"] for r in scored.collect()) == [1, 1, 5, 6, 7, 8]
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
 
