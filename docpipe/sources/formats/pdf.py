@@ -22,6 +22,19 @@ _TOKEN = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
 _SPACE = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
 
 
+class TooLarge(RuntimeError):
+    """Not one of the errors that cost a page alone."""
+
+
+def _inflated(data: bytes, wbits: int = 15) -> bytes:
+    """A stream that would fill more than MAX_STREAM bytes is an error, never cut."""
+    z = zlib.decompressobj(wbits)
+    out = z.decompress(data, MAX_STREAM)
+    if len(out) == MAX_STREAM and not z.eof:
+        raise TooLarge(f"a stream of more than {MAX_STREAM} bytes")
+    return out
+
+
 class Name(str):
     __slots__ = ()
 
@@ -374,12 +387,10 @@ class Pdf:
             own = {x: self.get(v) for x, v in own.items()} if isinstance(own, dict) else {}
             name = self.get(name)
             if name in ("FlateDecode", "Fl"):
-                z = zlib.decompressobj()
                 try:
-                    data = _predicted(z.decompress(data, MAX_STREAM), own)
+                    data = _predicted(_inflated(data), own)
                 except zlib.error:
-                    z = zlib.decompressobj(-15)
-                    data = _predicted(z.decompress(data[2:], MAX_STREAM), own)
+                    data = _predicted(_inflated(data[2:], -15), own)
             elif name in ("LZWDecode", "LZW"):
                 data = _predicted(_lzw(data, own.get("EarlyChange", 1)), own)
             elif name in ("ASCIIHexDecode", "AHx"):

@@ -158,3 +158,14 @@ def test_layout_helpers():
     rows = [("infor-", 0, 100, 10, 10.0), ("mation goes on", 0, 100, 22, 10.0)]
     assert pagelayout.paragraphs(rows, 10.0) == [("paragraph", [("text", "information goes on")])]
     assert pagelayout.level(17, 10, 1, "x") == 1 and pagelayout.level(17, 10, 3, "x") is None
+
+
+def test_pdf_streams_are_never_cut(monkeypatch):
+    from docpipe.sources.formats import pdf as reader
+
+    raw = pdf([[(12, 72, 700 - 14 * k, f"line {k} of the page") for k in range(40)]], compress=True)
+    assert "line 39" in B.md(formats.extract("pdf", raw)[1][-1])
+    monkeypatch.setattr(reader, "MAX_STREAM", 100)
+    with pytest.raises(formats.Failure) as failed:
+        formats.extract("pdf", raw)
+    assert failed.value.reason == "parse_error" and "100 bytes" in failed.value.message
