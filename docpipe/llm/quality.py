@@ -9,7 +9,9 @@ and a logistic regression of the two calibrated logits, fitted on the same, give
 Fitting uses at most MAX_LABELLED labelled documents, the first by a hash of doc_id, and every
 unlabelled one. The features of all are written once, in narrow form; the pool stays in the
 executors, where each round scores it with both views and each Newton step adds up its gradients
-and Hessians, whose size is fixed, in at most TASKS tasks. What each view is sure of is cut off by
+and Hessians (of a Hessian, which is symmetric, one half), whose size is fixed, in at most TASKS
+tasks. Features that no document of the fit has (most buckets of source and lang) are left out of
+the fit: their weights are 0. The driver keeps the labelled documents in narrow form too, and widens some at a time. What each view is sure of is cut off by
 rank to a step of 1 / STEPS in the logit; equal ranks go in together. Every
 document is scored. keep is score >= KEEP, the point where rejecting is the better bet.
 
@@ -33,7 +35,7 @@ from .common import cut, id_column
 from .kernel import Words, blocks
 
 MAX_LABELLED, ROUNDS, SURE, KEEP, HELD_OUT = 20_000, 4, 0.97, 0.5, 4
-BUCKETS, STEPS, N_STEPS, TASKS = 256, 100, 3000, 64
+BUCKETS, STEPS, N_STEPS, TASKS, WIDE = 256, 100, 3000, 64, 2048
 
 # Classes of bytes: other marks, lower, upper, digit, space, newline, sentence marks, beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
@@ -126,10 +128,19 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _text(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_TEXT)
+
+
 def _wide(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
     """Both views of rows of NARROW."""
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_TEXT)
-    return [x.astype(float), meta_of(*(rows[c].to_numpy() for c in ("source", "lang", "size")))]
+    return [_text(rows).astype(float), meta_of(*(rows[c].to_numpy() for c in ("source", "lang", "size")))]
+
+
+def _parts(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Some rows at a time, few enough to be widened."""
+    for row in range(0, rows.num_rows, WIDE):
+        yield rows.slice(row, WIDE)
 
 
 class Pool:
@@ -138,28 +149,29 @@ class Pool:
     def __init__(self, rows: DataFrame):
         self.rows = rows.coalesce(TASKS)
 
-    def add(self, of: Callable[[list[np.ndarray]], np.ndarray], block: int = 4096) -> np.ndarray | float:
+    def add(self, of: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray | float:
         """The sum of `of` both views over all rows, 0 without any."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for row in range(0, batch.num_rows, block):
-                    part = of(_wide(batch.slice(row, block)))
+                for rows in _parts(batch):
+                    part = of(_wide(rows))
                     total = part if total is None else total + part
             if total is not None:
                 yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-        parts = self.rows.mapInArrow(run, "s binary").toArrow()["s"].to_pylist()  # TASKS at most
-        return sum(np.frombuffer(part) for part in parts) if parts else 0.0
+        parts = self.rows.mapInArrow(run, "s binary").toArrow()["s"]  # TASKS at most
+        return sum((np.frombuffer(part.as_py()) for part in parts), 0.0)
 
 
 def _moments(views: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[len(views[0])], *(v.sum(0) for v in views), *((v * v).sum(0) for v in views)])
 
 
-def _standard(views: list[np.ndarray], mean: list[np.ndarray], scale: list[np.ndarray]) -> list[np.ndarray]:
-    return [(v - m) / s for v, m, s in zip(views, mean, scale)]
+def _standard(views: list[np.ndarray], used: list[np.ndarray], mean: list[np.ndarray], scale: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns `used` of both views, standardised."""
+    return [(v[:, u] - m) / s for v, u, m, s in zip(views, used, mean, scale)]
 
 
 def _step(z: np.ndarray, sure: float) -> np.ndarray:
@@ -191,18 +203,20 @@ def _guesses(views: list[np.ndarray], history: list[tuple], sure: float) -> list
 
 
 def _slopes(views: list[np.ndarray], target: list[np.ndarray], beta: list[np.ndarray]) -> np.ndarray:
-    """Gradients and Hessians of both views' likelihoods over the rows with a target."""
+    """Gradients and the upper halves of the Hessians of both views' likelihoods over the rows with a target."""
     out = []
     for v, y, b in zip(views, target, beta):
         own = y >= 0
         part = np.ones((int(own.sum()), len(b)))
         part[:, :-1] = v[own]
         p = _sigmoid(part @ b)
-        out += [part.T @ (y[own] - p), (part.T @ (part * np.maximum(p * (1 - p), 1e-6)[:, None])).reshape(-1)]
+        out.append(part.T @ (y[own] - p))
+        part *= np.sqrt(np.maximum(p * (1 - p), 1e-6))[:, None]
+        out.append((part.T @ part)[np.triu_indices(len(b))])
     return np.concatenate(out)
 
 
-def _both(views: list[np.ndarray], y: np.ndarray, pool: Pool, shape: tuple, history: list[tuple], beta: list[np.ndarray], sure: float, ridge: float = 1.0, steps: int = 25) -> list[np.ndarray]:
+def _both(labelled: pa.Table, pool: Pool, shape: tuple, history: list[tuple], beta: list[np.ndarray], sure: float, ridge: float = 1.0, steps: int = 25) -> list[np.ndarray]:
     """Weights of both views by Newton's method, as logistic() has them, over labelled rows and
     the pool with its guessed labels."""
 
@@ -211,14 +225,18 @@ def _both(views: list[np.ndarray], y: np.ndarray, pool: Pool, shape: tuple, hist
         return _slopes(part, _guesses(part, history, sure), beta)
 
     for _ in range(steps):
-        total = _slopes(views, [y, y], beta) + (pool.add(of) if history else 0.0)
+        total = pool.add(of) if history else 0.0
+        for part in _parts(labelled):
+            total = total + _slopes(_standard(_wide(part), *shape), [part["y"].to_numpy()] * 2, beta)
         moved, at, after = 0.0, 0, []
         for b in beta:
             d = len(b)
             penalty = np.full(d, ridge)
             penalty[-1] = 1e-3
-            gradient, hessian = total[at : at + d], total[at + d : at + d + d * d].reshape(d, d)
-            at += d + d * d
+            half = np.zeros((d, d))
+            half[np.triu_indices(d)] = total[at + d : at + d + d * (d + 1) // 2]
+            gradient, hessian = total[at : at + d], half + np.triu(half, 1).T
+            at += d + d * (d + 1) // 2
             step = np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * b)
             most = np.abs(step).max()
             after.append(b + step * min(1.0, 5 / max(1e-9, most)))
@@ -262,32 +280,34 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Model:
     """Both views' classifiers, standardisation and calibration, and how they are combined."""
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: Pool, rounds: int = ROUNDS, sure: float = SURE):
-        """views and y, 1 or 0: of the labelled documents."""
+    def __init__(self, labelled: pa.Table, pool: Pool, rounds: int = ROUNDS, sure: float = SURE):
+        """labelled: rows of NARROW with y, 1 or 0."""
+        y = labelled["y"].to_numpy()
         self.ok = bool((y == 1).any() and (y == 0).any())
         if not self.ok:
             return
-        (n,), *sums = np.split(_moments(views) + pool.add(_moments), np.cumsum([1, *(v.shape[1] for v in views * 2)])[:-1])
+        width = [N_TEXT, BUCKETS + 14]
+        (n,), *sums = np.split(sum((_moments(_wide(part)) for part in _parts(labelled)), pool.add(_moments)), np.cumsum([1, *width, *width])[:-1])
         self.mean = [m / n for m in sums[:2]]
         self.scale = [np.maximum(np.sqrt(np.maximum(0, q / n - m**2)), 1e-3) for q, m in zip(sums[2:], self.mean)]
-        shape = self.mean, self.scale
-        views = _standard(views, *shape)
+        used = [np.flatnonzero(q) for q in sums[2:]]
+        shape = used, [m[u] for m, u in zip(self.mean, used)], [s[u] for s, u in zip(self.scale, used)]
         n_pool = int(n) - len(y)
-        labelled = np.arange(len(y))
-        held = labelled[::HELD_OUT] if len(labelled) >= 8 * HELD_OUT else labelled
-        fit = np.setdiff1d(labelled, held) if len(labelled) >= 8 * HELD_OUT else labelled
+        place = np.arange(len(y))
+        held = place[::HELD_OUT] if len(place) >= 8 * HELD_OUT else place
+        fit = np.setdiff1d(place, held) if len(place) >= 8 * HELD_OUT else place
         if len(np.unique(y[fit])) < 2 or len(np.unique(y[held])) < 2:
-            fit = held = labelled
+            fit = held = place
         share = y[fit].mean()
+        fitted, held = labelled.take(fit), labelled.take(held)
         self.rounds: list[tuple[int, int]] = []
         history: list[tuple] = []
-        self.beta = [np.zeros(v.shape[1] + 1) for v in views]
+        beta = [np.zeros(len(u) + 1) for u in used]
         for turn in range(rounds + 1):
-            self.beta = _both([v[fit] for v in views], y[fit], pool, shape, history, self.beta, sure)
+            beta = _both(fitted, pool, shape, history, beta, sure)
             if turn == rounds or not n_pool:
                 break
-            beta = self.beta
-            ranks = pool.add(lambda part: _ranks(_standard(part, *shape), beta, sure)).reshape(2, 2, N_STEPS)
+            ranks = pool.add(lambda part, beta=beta: _ranks(_standard(part, *shape), beta, sure)).reshape(2, 2, N_STEPS)
             # At most a growing part of the pool, in the proportion of the labels.
             most = max(1, n_pool * (turn + 1) // (2 * rounds))
             first = np.zeros((2, 2), int)
@@ -301,9 +321,14 @@ class Model:
             history.append((beta, first))
             self.rounds.append(tuple(given))
         # Platt scaling of each view, then their logits together.
-        self.platt = [logistic(apply(b, v[held])[:, None], y[held].astype(float)) for b, v in zip(self.beta, views)]
-        both = np.stack([apply(c, apply(b, v[held])[:, None]) for c, b, v in zip(self.platt, self.beta, views)], 1)
-        self.joint = logistic(np.clip(both, -12, 12), y[held].astype(float))
+        logit = np.concatenate([np.stack([apply(b, v) for b, v in zip(beta, _standard(_wide(part), *shape))], 1) for part in _parts(held)])
+        y = held["y"].to_numpy().astype(float)
+        self.platt = [logistic(logit[:, [v]], y) for v in (0, 1)]
+        both = np.stack([apply(c, logit[:, [v]]) for v, c in enumerate(self.platt)], 1)
+        self.joint = logistic(np.clip(both, -12, 12), y)
+        self.beta = [np.zeros(d + 1) for d in width]
+        for all_, u, b in zip(self.beta, used, beta):
+            all_[np.append(u, -1)] = b
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """score, text view's and metadata view's calibrated probability."""
@@ -333,11 +358,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     # One row of each drawn id, so that no id that repeats sends more than its share.
     one = rows.join(F.broadcast(chosen), "doc_id", "left_semi").where("y is not null").groupBy("doc_id").agg(F.min(F.struct("x", "source", "lang", "size", "y")).alias("r"))
     labelled = one.select("doc_id", "r.*").toArrow()
-    y, views = labelled["y"].to_numpy(), _wide(labelled)
     # The rows' order depends on how the job ran; the model must not.
-    x = np.hstack(views)
-    order = np.lexsort((y, *x[:, :8].T, *x[:, 60:90].T))
-    return Model([v[order] for v in views], y[order], Pool(rows.where("y is null").drop("y")), rounds)
+    x, y = _text(labelled), labelled["y"].to_numpy()
+    labelled = labelled.take(np.lexsort((y, *x[:, :8].T, *x[:, 60:90].T)))
+    return Model(labelled, Pool(rows.where("y is null").drop("y")), rounds)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:

@@ -560,6 +560,41 @@ def test_quality_learns_from_every_unlabelled_row(spark):
     assert min(model.rounds[-1]) >= (n - 200) // 2 - 2
 
 
+def test_the_fit_of_quality_takes_little_of_the_driver(spark):
+    """The labelled rows are widened some at a time, and a task sends no more than it must."""
+    import tracemalloc
+
+    n, bad = 20_000, F.col("id") % 3 == 0
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.when(bad, F.concat(F.lit("$$$ CLICK !!! "), F.col("id"))).otherwise(F.concat(F.lit("some plain words of text, "), F.col("id"))).alias("text"),
+        F.lit("en").alias("lang"), F.lit("src").alias("source"),
+    )
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    tracemalloc.start()
+    model = quality.train(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.ok and most < 100e6
+    d = [quality.N_TEXT + 1, 5]
+    views, y = [np.ones((9, w - 1)) for w in d], np.ones(9)
+    assert len(quality._slopes(views, [y, y], [np.zeros(w) for w in d])) == sum(w + w * (w + 1) // 2 for w in d)
+
+
+def test_features_without_a_document_change_no_weight(spark):
+    """Weights are those of a fit over all columns, used or not."""
+    rows, labels = quality_rows(120)
+    rows, known = [r for r in rows if r[0] % 2 == 0], spark.createDataFrame(labels, LABELS)
+    model = quality.train(frame(spark, rows), known)
+    texts = [r[1].encode() for r in rows]
+    wide = [quality.text_features(texts).astype(np.float32).astype(float), quality.meta_features([r[3] for r in rows], [r[2] for r in rows], np.array(list(map(len, texts))))]
+    y, x = np.array([r[0] % 3 != 0 for r in rows]).astype(int), wide[0].astype(np.float32)
+    order = np.lexsort((y, *x[:, :8].T, *x[:, 60:90].T))
+    fit = order[np.arange(len(order)) % quality.HELD_OUT != 0]
+    for v, beta in zip(wide, model.beta):
+        v = (v - v.mean(0)) / np.maximum(v.std(0), 1e-3)
+        assert np.allclose(beta, quality.logistic(v[fit], y[fit]), atol=1e-6)
+
+
 # --------------------------------------------------------------- toxicity --
 
 def toxic_rows(n=600):
