@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, id_column
-from .kernel import HashTable, U, Words, _BYTE_HASH, blocks, prefix, span
+from .kernel import BLOCK, HashTable, U, Words, _BYTE_HASH, blocks, mix, powers, prefix, span
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LONGEST, SMOOTH, MAX_ROUNDS, GAIN, MAX_LANGS = 0x20, 63, 0.1, 20, 1e-3, 1000
@@ -55,11 +55,21 @@ class Pieces:
         self.pieces = sorted(found)
         data = np.frombuffer(b"".join(self.pieces), np.uint8)
         ends = np.cumsum([len(p) for p in self.pieces])
-        self.table = HashTable(span(prefix(_BYTE_HASH[data]), ends - [len(p) for p in self.pieces], ends))
         self.length = np.array(list(map(len, self.pieces)))
         self.longest = int(self.length.max())
-        self.maybe = np.zeros(1 << 21, bool)
-        self.maybe[(self.table.keys >> U(43)).astype(np.int64)] = True
+        sums, start = prefix(_BYTE_HASH[data]), ends - self.length
+        self.table = HashTable(span(sums, start, ends))
+        # By 21 bits of the hash: one piece that has them, and whether the start of a piece may.
+        self.at = np.full(1 << 21, -1, np.int32)
+        self.at[self._slot(self.table.keys)] = np.arange(len(self.pieces))
+        self.begins = np.zeros(1 << 21, bool)
+        for n in range(1, self.longest):
+            own = start[self.length > n]
+            self.begins[self._slot(span(sums, own, own + n))] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys >> U(43)).astype(np.int64)
 
     def edges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """sums: prefix sums of the words' data. (word, from, to, piece) of every piece that occurs in a word, ordered by `to`;
@@ -68,18 +78,26 @@ class Pieces:
         word = np.repeat(np.arange(len(start)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         there, left = np.repeat(start, size) + at, np.repeat(size, size) - at
+        # head, scale: of the hash of what begins at a place, all that doesn't depend on its end.
+        head, scale, place = sums[there], powers(len(sums))[1][there], np.arange(len(there))
         found = []
         for n in range(1, self.longest + 1):
-            if n > 1:
-                keep = left >= n
-                word, at, there, left = word[keep], at[keep], there[keep], left[keep]
-            if not len(word):
+            if not len(place):
                 break
-            keys = span(sums, there, there + n)
-            seen = np.flatnonzero(self.maybe[(keys >> U(43)).astype(np.int64)])
-            piece = self.table.find(keys[seen])
-            seen, piece = seen[piece >= 0], piece[piece >= 0]
-            found.append((word[seen], at[seen], at[seen] + n, piece))
+            keys = mix((sums[there + n] - head) * scale)
+            slot = self._slot(keys)
+            piece = self.at[slot]
+            seen = np.flatnonzero(piece >= 0)
+            piece = piece[seen].astype(np.int64)
+            other = np.flatnonzero(self.table.keys[piece] != keys[seen])
+            if len(other):
+                piece[other] = self.table.find(keys[seen[other]])
+                seen, piece = seen[piece >= 0], piece[piece >= 0]
+            here = place[seen]
+            found.append((word[here], at[here], at[here] + n, piece))
+            # Places at which no longer piece can begin are done.
+            keep = np.flatnonzero(self.begins[slot] & (left > n))
+            there, left, head, scale, place = there[keep], left[keep], head[keep], scale[keep], place[keep]
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(4))
         joined = [np.concatenate(x) for x in zip(*found)]
@@ -110,8 +128,14 @@ def _plain(edges: tuple, size: np.ndarray, p: np.ndarray) -> np.ndarray:
     key = b * 64 + (b - a)  # no word twice in a run: sums need no scatter
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
     source, target = base[word] + a, base[word] + b
+    if p.shape[1] == 1:
+        one, weight = alpha[:, 0], p[:, 0][piece]
+        for lo, hi in zip(cut, np.append(cut[1:], len(key)) if len(key) else []):
+            one[target[lo:hi]] += one[source[lo:hi]] * weight[lo:hi]
+        return alpha
     for lo, hi in zip(cut, np.append(cut[1:], len(key)) if len(key) else []):
-        alpha[target[lo:hi]] += alpha[source[lo:hi]] * p[piece[lo:hi]]
+        at = target[lo:hi]
+        alpha[at] = alpha.take(at, 0) + alpha.take(source[lo:hi], 0) * p.take(piece[lo:hi], 0)
     return alpha
 
 
@@ -148,17 +172,18 @@ def likelihood(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray,
     return out
 
 
-def expected(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, logp: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+def expected(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, logp: np.ndarray, weight: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Expected counts of the pieces, the word w counting weight[w] times, and the words'
-    log-likelihood. logp has one column."""
-    size, sums = end - start, prefix(_BYTE_HASH[data])
+    log-likelihood. logp has one column. sums: prefix sums of data, if there already."""
+    size, sums = end - start, prefix(_BYTE_HASH[data]) if sums is None else sums
     out, total = np.zeros(len(p.pieces)), 0.0
     lifted = np.exp(logp + p.length[:, None] * np.log(LIFT))
     for rows, plain in _chunks(size):
         edges, own = p.edges(sums, start[rows], end[rows]), size[rows]
         word, a, b, piece = edges
         # Backward sums are the forward sums of the mirrored lattice.
-        order = np.argsort((own[word] - a) * 64 + np.minimum(b - a, 63), kind="stable")
+        key = (own[word] - a) * 64 + np.minimum(b - a, 63)
+        order = np.argsort(key.astype(np.uint16) if plain else key, kind="stable")
         back = tuple(x[order] for x in (word, own[word] - b, own[word] - a, piece))
         base = np.concatenate([[0], np.cumsum(own + 1)])
         at, rest, whole = base[word] + a, base[word] + own[word] - b, base[word + 1] - 1
@@ -193,32 +218,49 @@ def pieces(path: str) -> Pieces:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, text) to (lang, word, n), summed over some blocks at a time."""
-    held: dict[tuple[str, bytes], int] = {}
-
-    def rows() -> pa.RecordBatch:
-        lang, word = zip(*held)
-        return pa.record_batch([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
-
+    """Rows (lang, text) to (lang, word, n), summed over some texts at a time."""
     for batch in batches:
-        langs, names = pc.fill_null(batch.column(0), "").dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column(0).dictionary_encode().dictionary.to_pylist()
-        for row, texts in blocks(batch.column(1)):
+        coded = pc.fill_null(batch.column(0), "").dictionary_encode()
+        langs = coded.indices.to_numpy(zero_copy_only=False)
+        for row, texts in blocks(batch.column(1), 2 * BLOCK):
             w, keys, data, start = marked_words(texts)
             if not len(keys):
                 continue
             own = langs[row : row + len(texts)][w.doc]
-            order = np.lexsort((keys, own))
-            head = np.flatnonzero(np.append(True, (keys[order][1:] != keys[order][:-1]) | (own[order][1:] != own[order][:-1])))
-            n = np.diff(np.append(head, len(order)))
+            order = np.argsort(keys ^ mix(own.astype(U) + U(1)))
+            key, lang = keys[order], own[order]
+            head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lang[1:] != lang[:-1])))
             one = order[head]
-            for x, a, b, k in zip(own[one].tolist(), start[one].tolist(), w.end[one].tolist(), n.tolist()):
-                key = names[x], data[a:b].tobytes()
-                held[key] = held.get(key, 0) + k
-            if len(held) > CACHE:
-                yield rows()
-                held.clear()
+            size = w.end[one] - start[one]
+            edge = np.append(0, np.cumsum(size))
+            held = data[np.arange(edge[-1]) + np.repeat(start[one] - edge[:-1], size)]
+            word = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(held)])
+            yield pa.record_batch([coded.dictionary.take(pa.array(own[one])), word, pa.array(np.diff(np.append(head, len(order))))], ["lang", "word", "n"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows (lang, word, n) in batches of about BLOCK bytes or more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
     if held:
-        yield rows()
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _spans(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, data, start, end) of words without nulls, as blocks() has them."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + BLOCK, "right")) - 1)
+        own = ends[row : stop + 1] - ends[row]
+        yield row, np.frombuffer(column.buffers()[2], np.uint8)[ends[row] : ends[stop]], own[:-1], own[1:]
+        row = stop
 
 
 def _expect(vocabulary: str, model: Callable[[], tuple[list[str], np.ndarray] | None]):
@@ -228,20 +270,19 @@ def _expect(vocabulary: str, model: Callable[[], tuple[list[str], np.ndarray] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, known, sums = pieces(vocabulary), model(), {}
         n = len(p.pieces)
-        for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
+        for batch in _joined(batches):
+            coded = batch.column(0).dictionary_encode()
+            langs, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
             weights = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-            for x in dict.fromkeys(langs.tolist()):
-                logp = np.full((n, 1), -np.log(n)) if known is None else known[1][:, [known[0].index(x)]]
-                own = np.flatnonzero(langs == x)
-                column, weight = batch.column(1).take(pa.array(own)), weights[own]
-                total = sums.setdefault(x, np.zeros(n + 2))
-                for row, words in blocks(column):
-                    end = np.cumsum([len(v) for v in words])
-                    data = np.frombuffer(b"".join(words), np.uint8)
-                    counts, fit = expected(p, data, np.append(0, end[:-1]), end, logp, weight[row : row + len(words)])
+            for row, data, start, end in _spans(batch.column(1)):
+                there, weight, hashed = langs[row : row + len(start)], weights[row : row + len(start)], prefix(_BYTE_HASH[data])
+                for k in np.unique(there).tolist():
+                    x, own = names[k], np.flatnonzero(there == k)
+                    logp = np.full((n, 1), -np.log(n)) if known is None else known[1][:, [known[0].index(x)]]
+                    counts, fit = expected(p, data, start[own], end[own], logp, weight[own], hashed)
+                    total = sums.setdefault(x, np.zeros(n + 2))
                     total[:n] += counts
-                    total[n:] += fit, weight[row : row + len(words)].sum()
+                    total[n:] += fit, weight[own].sum()
         for x, total in sums.items():
             some = np.append(np.flatnonzero(total[:n]), [n, n + 1])
             piece = np.where(some < n, some, n - 1 - some)

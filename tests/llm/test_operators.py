@@ -459,6 +459,51 @@ def test_expected_counts_by_all_segmentations():
     assert np.allclose(got, want) and np.isclose(likely, fit)
 
 
+def test_lattices_stop_where_no_piece_can_go_on(monkeypatch):
+    """All edges are found, and few more spans are hashed than begin some piece."""
+    p, rng, hashed = lid.pieces(lid.VOCABULARY), random.Random(6), []
+    words_ = [b" " + bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(40)] + [b" international", b" aaaaaaaa", b" \xc3\xa9t\xc3\xa9", b" \xff"]
+    end = np.cumsum([len(w) for w in words_])
+    sums = kernel.prefix(kernel._BYTE_HASH[np.frombuffer(b"".join(words_), np.uint8)])
+    for name in ("mix", "span"):
+        if hasattr(lid, name):
+            monkeypatch.setattr(lid, name, lambda *x, f=getattr(lid, name): hashed.append(len(x[-1])) or f(*x))
+    found = set(zip(*(x.tolist() for x in p.edges(sums, np.append(0, end[:-1]), end))))
+    table = {piece: k for k, piece in enumerate(p.pieces)}
+    spans = [(k, a, b) for k, w in enumerate(words_) for a in range(len(w)) for b in range(a + 1, min(len(w), a + p.longest) + 1)]
+    assert found == {(k, a, b, table[words_[k][a:b]]) for k, a, b in spans if words_[k][a:b] in table}
+    assert sum(hashed) < 0.3 * len(spans)
+
+
+def test_words_and_expectations_by_language(monkeypatch):
+    """Counts of words and of pieces don't depend on how rows come in batches and blocks."""
+    import collections
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["aa", "bb", ""]), " ".join(words(rng, rng.randrange(9), 30))) for _ in range(50)] + [("aa", ""), ("bb", " Ab aB \n" + "x" * 200)]
+    want = collections.Counter((x, b" " + w.lower().encode()) for x, text in rows for w in text.split())
+    table = pa.table({"lang": [x for x, _ in rows], "text": [t for _, t in rows]})
+    sums = []
+    for size, block in ((7, 60), (1000, 1 << 20)):
+        monkeypatch.setattr(lid, "BLOCK", block)
+        counted = pa.Table.from_batches(lid._count(iter(table.to_batches(max_chunksize=size))))
+        got = collections.Counter()
+        for r in counted.to_pylist():
+            got[r["lang"], r["word"]] += r["n"]
+        assert got == want
+        out = pa.Table.from_batches(lid._expect(lid.VOCABULARY, lambda: None)(iter(counted.to_batches(max_chunksize=size)))).to_pylist()
+        sums.append({(r["lang"], r["piece"]): r["n"] for r in out})
+        assert all(np.isclose(sums[-1][x, -2], sum(n for (y, _), n in want.items() if y == x)) for x in ("aa", "bb", ""))
+    assert sums[0].keys() == sums[1].keys() and all(np.isclose(n, sums[1][k]) for k, n in sums[0].items())
+    p = lid.pieces(lid.VOCABULARY)
+    own = [(w, n) for (x, w), n in want.items() if x == "bb"]
+    end = np.cumsum([len(w) for w, _ in own])
+    by_hand, fit = lid.expected(p, np.frombuffer(b"".join(w for w, _ in own), np.uint8), np.append(0, end[:-1]), end, np.full((len(p.pieces), 1), -np.log(len(p.pieces))), np.array([float(n) for _, n in own]))
+    assert np.isclose(fit, sums[0]["bb", -1]) and all(np.isclose(v, sums[0].get(("bb", k), 0)) for k, v in enumerate(by_hand))
+
+
 def test_language_training_converges(spark):
     """Rounds go on until the likelihood settles, and each one raises it."""
     rng = random.Random(4)
