@@ -23,10 +23,11 @@ from ..sources.detect import HEAD, by_signature
 BATCH_BYTES = 8 << 20
 
 
-def extract(files: DataFrame, pages: str | None = None, full: bool = False, ocr=None) -> DataFrame:
+def extract(files: DataFrame, pages: str | None = None, full: bool = False, ocr=None, fields: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, meta, blocks, reason, message, ocr) for each row of (doc_id, content, format);
     further columns stay. reason is null for a document, else one of REASONS, and then blocks
     is null. full: blocks as pre-order rows with spans, else only the top level.
+    fields: those of a block's row that are wanted, all if there are none.
 
     ocr: bytes to bytes of a searchable PDF, tried on inputs without text or of no supported
     format. It can add a document, never a failure: if it fails the first verdict stands.
@@ -35,7 +36,10 @@ def extract(files: DataFrame, pages: str | None = None, full: bool = False, ocr=
     chosen = formats.page_range(pages) if pages else None
     extractors = dict(formats.EXTRACTORS)
     keep = [f for f in files.schema.fields if f.name != "content"]
-    schema = StructType(keep + StructType.fromDDL(f"meta {META}, blocks array<{FULL if full else SLIM}>, reason string, message string, ocr boolean").fields)
+    row_type = StructType.fromDDL((FULL if full else SLIM).removeprefix("struct<").removesuffix(">"))
+    fields = fields or tuple(row_type.names)
+    row_type = StructType([row_type[k] for k in fields])
+    schema = StructType(keep + StructType.fromDDL(f"meta {META}, blocks array<{row_type.simpleString()}>, reason string, message string, ocr boolean").fields)
     arrow = to_arrow_schema(schema)
     rows_of = B.flat if full else B.slim
     broken = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
@@ -61,7 +65,7 @@ def extract(files: DataFrame, pages: str | None = None, full: bool = False, ocr=
         except formats.Failure as e:
             return out | {"reason": e.reason, "message": e.message}
         about = {k: meta.get(k) for k in META_FIELDS} | {"source_format": kind, "source_path": str(row["doc_id"])}
-        return out | {"meta": about, "blocks": rows_of(blocks)}
+        return out | {"meta": about, "blocks": rows_of(blocks, fields)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[dict] = []

@@ -38,3 +38,20 @@ def test_title_with_references_cut_short(spark, tmp_path):
     rows = ", ".join(f"({k}, $${page(t)}$$)" for k, t in enumerate(titles))
     duckdb.execute(f"copy (select * from (values {rows}) v(page_id, html)) to '{tmp_path}/pages.parquet' (format parquet)")
     _equal(spark, str(tmp_path), "html_title", "pages")
+
+
+def test_made_files_are_spread_by_rows(spark, tmp_path, monkeypatch):
+    """Few bytes of rows are much work, so adaptive execution must not merge them into one task."""
+    monkeypatch.setattr(made, "TASK_ROWS", 50)
+    folder = _customers(tmp_path, [3] * 200)
+    found = made.files(spark, folder, "csv")
+    found.collect()
+    assert found.rdd.getNumPartitions() == 16
+    assert max(found.rdd.glom().map(len).collect()) < 40
+
+
+@pytest.mark.parametrize("name", ["docx_text", "docx_blocks", "rtf_json"])
+def test_blocks_have_the_wanted_fields_alone(spark, tmp_path, name):
+    folder = _customers(tmp_path, [2, 5, 1])
+    assert made.documents(spark, folder, "docx", "txt").schema["blocks"].dataType.elementType.names == ["txt"]
+    _equal(spark, folder, name, "customer", "orders")
