@@ -169,3 +169,37 @@ def test_pdf_streams_are_never_cut(monkeypatch):
     with pytest.raises(formats.Failure) as failed:
         formats.extract("pdf", raw)
     assert failed.value.reason == "parse_error" and "100 bytes" in failed.value.message
+
+
+def test_pdf_tokens_with_and_without_escapes():
+    data = b"12 -7 +3 .5 1234567890123456789012 /Name /A#20B /C#zz /(x) (a\\)b(c)) (plain) <41 42> true null % note\n q [1 0 R] << /K 2 0 R >> 5/N 6(s)7"
+    lexer, found = P.Lexer(data), []
+    while (v := lexer.value()) != P.END or not isinstance(v, P.Word):
+        found.append(v)
+    assert found == [12, -7, 3, 0.5, 1234567890123456789012, "Name", "A B", "C#zz", "", b"x", b"a)b(c)", b"plain", b"AB", True, None, b"q", [P.Ref((1, 0))], {"K": P.Ref((2, 0))}, 5, "N", 6, b"s", 7]
+    assert [type(v) for v in found if isinstance(v, str)] == [P.Name] * 5 and type(found[15]) is P.Word
+
+
+def test_pdf_upright_text_is_placed_as_any_other(monkeypatch):
+    """Codes are measured once for each size and not once for each glyph."""
+    from docpipe.plans import made
+
+    orders = [{"key": k, "status": "F", "price": "10.50", "date": 9000 + k} for k in range(30)]
+    raw, calls = made.make_pdf({"key": 1, "name": "Customer 1", "segment": "BUILDING", "balance": "5.25", "orders": orders}), []
+    missing = P._Advances.__missing__
+    monkeypatch.setattr(P._Advances, "__missing__", lambda self, code: calls.append(code) or missing(self, code))
+    upright = [g for _, page in P.parse(raw)[1] for g in page]
+    assert len(calls) < len(upright) / 10
+    # A rise takes the general way; one of nothing at all changes no place.
+    start = P._Painter.run
+    monkeypatch.setattr(P._Painter, "run", lambda self, data, *rest: start(self, b"1e-300 Ts 5e-324 Ts 0.0000000000000000000000000000001 Ts " + data, *rest))
+    general = [g for _, page in P.parse(raw)[1] for g in page]
+    assert len(upright) == len(general) > 0
+    for a, b in zip(upright, general):
+        assert a[4] == b[4] and all(abs(x - y) < 1e-9 for x, y in zip(a[:4], b[:4]))
+
+
+def test_page_regions_do_not_depend_on_the_order_of_glyphs():
+    glyphs = [(x * 6.0 + side, 10.0 + 40 * k, 10.0, x * 6.0 + side + 5.5, chr(97 + x)) for k in range(9) for side in (0, 300) for x in range(20)]
+    expected = pagelayout.page_blocks(glyphs)
+    assert pagelayout.page_blocks(glyphs[::-1]) == expected and sum(len(b[1][0][1]) for b in expected) >= len(glyphs)
