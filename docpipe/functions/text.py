@@ -14,6 +14,7 @@ from pyspark.sql import Column, functions as F
 WS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{WS}]+")
 _LONE_UNDERSCORE = regex.compile(r"(?<![\p{Alphabetic}\p{N}])_|_(?![\p{Alphabetic}\p{N}])")
+_PERCENT = re.compile(rb"%([0-9a-fA-F]{2}|\+[0-9a-fA-F])")
 _MARKUP = re.compile(r"([\\`*\[\]<])")
 _LEADING = re.compile(f"^([{WS}]*)(?=[#>|]|[-+] |[0-9]+[.)] )")
 
@@ -94,7 +95,7 @@ def content_hash(path: Column, text: Column) -> Column:
 # ------------------------------------------------------------------ Python --
 
 def py_one_line(text: str) -> str:
-    return _RUN.sub(" ", text).strip(" ")
+    return text if text.isalnum() else _RUN.sub(" ", text).strip(" ")
 
 
 def py_squeeze(text: str) -> str:
@@ -102,6 +103,8 @@ def py_squeeze(text: str) -> str:
 
 
 def py_escape_markdown(text: str) -> str:
+    if text.isalnum():
+        return text
     text = _MARKUP.sub(r"\\\1", text)
     return _LONE_UNDERSCORE.sub(r"\\_", text) if "_" in text else text
 
@@ -124,16 +127,9 @@ def py_natural_key(name: str) -> list[tuple]:
 
 def py_percent_decode(text: str) -> str:
     """%XX to bytes, all else as it is; a plus stays. Two bytes must follow the percent sign."""
-    raw, out, at = text.encode(), bytearray(), 0
-    while at < len(raw):
-        two = raw[at + 1 : at + 3]
-        if raw[at] == 0x25 and len(two) == 2 and re.fullmatch(rb"[0-9a-fA-F]{2}|\+[0-9a-fA-F]", two):
-            out.append(int(two.lstrip(b"+"), 16))
-            at += 3
-        else:
-            out.append(raw[at])
-            at += 1
-    return out.decode("utf-8", "replace")
+    if "%" not in text:
+        return text
+    return _PERCENT.sub(lambda m: bytes([int(m[1].lstrip(b"+"), 16)]), text.encode()).decode("utf-8", "replace")
 
 
 def py_resolve(base: str, href: str) -> str:

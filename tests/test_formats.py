@@ -203,3 +203,40 @@ def test_page_regions_do_not_depend_on_the_order_of_glyphs():
     glyphs = [(x * 6.0 + side, 10.0 + 40 * k, 10.0, x * 6.0 + side + 5.5, chr(97 + x)) for k in range(9) for side in (0, 300) for x in range(20)]
     expected = pagelayout.page_blocks(glyphs)
     assert pagelayout.page_blocks(glyphs[::-1]) == expected and sum(len(b[1][0][1]) for b in expected) >= len(glyphs)
+
+
+def test_archive_entries_without_zipfile(monkeypatch):
+    """Plain entries are read in one go; what is wrong with an entry is still found."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", b"stored")
+        z.writestr("b.txt", b"deflated " * 50, zipfile.ZIP_DEFLATED)
+        z.writestr("c.txt", b"packed " * 50, zipfile.ZIP_BZIP2)
+        z.writestr("é.txt", b"named", zipfile.ZIP_DEFLATED)
+    raw, through = out.getvalue(), []
+    read = zipfile.ZipFile.read
+    monkeypatch.setattr(zipfile.ZipFile, "read", lambda self, name: through.append(name) or read(self, name))
+    found = archive.Archive(raw)
+    assert [found.data(n) for n in ("a.txt", "b.txt", "c.txt", "é.txt", "none")] == [b"stored", b"deflated " * 50, b"packed " * 50, b"named", None]
+    assert through == ["c.txt", "é.txt"]
+    assert archive.Archive(raw.replace(b"stored", b"sTored")).data("a.txt") is None
+    assert archive.Archive(b"before" + raw).data("b.txt") == b"deflated " * 50
+
+
+def test_percent_decoding():
+    from docpipe.functions.text import py_percent_decode
+
+    assert py_percent_decode("a%20b+c%zz%4%C3%A9%+1%") == "a b+c%zz%4é\x01%" and py_percent_decode("é plain") == "é plain"
+
+
+def test_made_archives_are_whole():
+    import io
+    import zipfile
+
+    from docpipe.plans import made
+
+    z = zipfile.ZipFile(io.BytesIO(made._zip({"a/é.xml": "<ä/>", "b.xml": ""}, "application/epub+zip")))
+    assert z.testzip() is None and z.namelist()[0] == "mimetype" and z.read("mimetype") == b"application/epub+zip" and z.read("b.xml") == b""
